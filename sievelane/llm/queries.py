@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filter
+from . import mixing, sentencepiece_codec, sharding, toxicity, url_filter
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ARRIVAL_IDS = 1024
+PIECE_MODEL = os.environ.get("SIEVELANE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,19 @@ def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(version).select("doc_id", "shard", "shard_rows", "shard_bytes", F.lit(version).alias("version"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.PieceModel.load(PIECE_MODEL), keep=["doc_id"])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {_RULE_ROWS} AS t(host, path, verdict)")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -96,6 +111,8 @@ SELECT q.page_id, q.host, q.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_shard_compaction": op5_shard_compaction,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
