@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: Rows a bucket aims at while ranks are counted; a hot source is split into as many as it needs.
 BUCKET_ROWS = 4096
 
@@ -60,7 +62,7 @@ def ranked(rows: DataFrame, group: str, key: Column, counts: DataFrame) -> DataF
     """
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
     share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(2**32)
-    spread = rows.join(counts.select(group, F.ceil(F.col("n") / BUCKET_ROWS).alias("_buckets")), group).withColumns({"_digest": digest, "_bucket": F.floor(share * F.col("_buckets"))})
+    spread = rows.join(bounded(counts.select(group, F.ceil(F.col("n") / BUCKET_ROWS).alias("_buckets")), 64), group).withColumns({"_digest": digest, "_bucket": F.floor(share * F.col("_buckets"))})
     sizes = spread.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
     first = F.sum("_size").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("_size")
     own = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_digest", key)) - 1

@@ -15,12 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, drop_path
-
-
-def bounded(side: DataFrame, row_bytes: int) -> DataFrame:
-    """``side``, to be broadcast if its counted rows stay under BROADCAST_BYTES; else Spark shuffles."""
-    return F.broadcast(side) if side.count() * row_bytes * 2 <= BROADCAST_BYTES else side
+from .common import bounded, drop_path
 
 
 def hash_share(key: Column) -> Column:
