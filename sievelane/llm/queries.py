@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_codec, sharding, toxicity, url_filter
+from . import embedding_dedup, mixing, sentencepiece_codec, sharding, topk_search, toxicity, url_filter
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.tempered(docs))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, scratch(spark))
     store.append(table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / ARRIVAL_IDS))
@@ -44,6 +48,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {_RULE_ROWS} AS t(host, path, verdict)")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -97,6 +105,33 @@ SELECT p.doc_id, CAST(s.ia AS VARCHAR) || '-' || CAST(s.isl AS VARCHAR) AS shard
 FROM placed p JOIN state{tiers} s ON s.arrival = p.arrival AND s.slice = p.slice JOIN total t ON t.ia = s.ia AND t.isl = s.isl"""
 
 
+_GOOD_VECTORS = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+_DEDUP_SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(min(embedding), lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND {_GOOD_VECTORS} AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.c, e.vec_id) AS component_id, coalesce(l.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON d.x = e.vec_id LEFT JOIN low l ON l.x = e.vec_id
+"""
+
+_TOPK_SQL = f"""
+WITH good AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND {_GOOD_VECTORS} GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 _URL_SQL = f"""
 WITH rules(host, path, verdict) AS (VALUES {_RULE_ROWS}),
 p AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -110,14 +145,18 @@ SELECT q.page_id, q.host, q.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_shard_compaction": op5_shard_compaction,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_exact_topk": op9_exact_topk,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mix_sources": _MIX_SQL,
+    "op4_embedding_dedup": _DEDUP_SQL,
     "op5_shard_compaction": _compaction_sql(),
+    "op9_exact_topk": _TOPK_SQL,
     "op10_url_filter": _URL_SQL,
 }
