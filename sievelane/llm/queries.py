@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, sentencepiece_codec, sharding, topk_search, toxicity, url_filter
+from . import embedding_dedup, html_extract, mixing, sentencepiece_codec, sharding, topk_search, toxicity, url_filter
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ ARRIVAL_IDS = 1024
 PIECE_MODEL = os.environ.get("SIEVELANE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, mixing.tempered(docs))
@@ -144,6 +148,7 @@ SELECT q.page_id, q.host, q.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extract": op1_html_extract,
     "op2_mix_sources": op2_mix_sources,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_shard_compaction": op5_shard_compaction,
