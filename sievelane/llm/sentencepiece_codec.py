@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -304,7 +305,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: lis
 
 def _spans(texts: pa.Array, limit: int = 16 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, one row at least."""
-    sizes = np.array([0 if s is None else s for s in pa.compute.binary_length(texts).to_pylist()], np.int64)
+    sizes = np.array([0 if s is None else s for s in pc.binary_length(texts).to_pylist()], np.int64)
     part = np.cumsum(sizes) // limit
     starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     yield from zip(starts, [*starts[1:], len(sizes)], strict=True)
