@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, mixing, sentencepiece_codec, sharding, topk_search, toxicity, url_filter
+from . import embedding_dedup, html_extract, mixing, sentencepiece_codec, sharding, substring_dedup, topk_search, toxicity, url_filter
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.tempered(docs))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -150,6 +155,7 @@ SELECT q.page_id, q.host, q.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
     "op2_mix_sources": op2_mix_sources,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_shard_compaction": op5_shard_compaction,
     "op6_sentencepiece": op6_sentencepiece,
