@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, mixing, sentencepiece_codec, sharding, substring_dedup, topk_search, toxicity, url_filter
+from . import embedding_dedup, html_extract, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, topk_search, toxicity, url_filter
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, sentencepiece_codec.PieceModel.load(PIECE_MODEL), keep=["doc_id"])
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, "85/100")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -130,6 +134,22 @@ SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.c, e.vec_id) AS compone
 FROM embeddings e LEFT JOIN degree d ON d.x = e.vec_id LEFT JOIN low l ON l.x = e.vec_id
 """
 
+_JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM shingles),
+lists AS (SELECT doc_id, unnest(s) AS g FROM shingles),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM lists a JOIN lists b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs p JOIN sizes a ON a.doc_id = p.x JOIN sizes b ON b.doc_id = p.y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, coalesce(l.c, s.doc_id) AS component_id FROM sizes s LEFT JOIN low l ON l.x = s.doc_id
+"""
+
 _TOPK_SQL = f"""
 WITH good AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS v FROM embeddings
@@ -159,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_shard_compaction": op5_shard_compaction,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filter": op10_url_filter,
@@ -168,6 +189,7 @@ ORACLE: dict[str, str] = {
     "op2_mix_sources": _MIX_SQL,
     "op4_embedding_dedup": _DEDUP_SQL,
     "op5_shard_compaction": _compaction_sql(),
+    "op7_ngram_jaccard": _JACCARD_SQL,
     "op9_exact_topk": _TOPK_SQL,
     "op10_url_filter": _URL_SQL,
 }
