@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are the lower-cased words of letters of a text and their first four and five letters. The terms that set
-toxic examples apart (a G-test on the examples) span the vectors; their weights are
+toxic examples apart (a G-test on the examples, and most examples with the term toxic) span the vectors; their weights are
 (1 + ln tf) * idf, with document frequencies counted over all documents. Examples with the same vector
 form one entry that carries how many of them are toxic, so ties need no arbitrary choice.
 
@@ -32,8 +32,10 @@ MAX_EXAMPLES = 16_384
 MAX_TERMS = 2_048
 #: A term must set toxic examples apart with this G statistic at least.
 LEAST_G = 15.0
+#: And of the examples that hold it, this share must be toxic.
+LEAST_SHARE = 0.5
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 256
 PREFIXES = (4, 5)
 
 
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     pos, total = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     terms: list[str] = []
     if 0 < pos < total:
-        counts = _term_rows(examples).groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).filter("a >= 2")
+        counts = _term_rows(examples).groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).filter(f"a >= 2 AND a >= {LEAST_SHARE} * (a + b)")
         g = counts.withColumn("g", g_statistic(F.col("a"), F.col("b"), F.lit(float(pos)), F.lit(float(total - pos)))).filter(F.col("g") >= LEAST_G)
         terms = [r[0] for r in g.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
     vocabulary = Vocabulary(terms)
