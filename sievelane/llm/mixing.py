@@ -66,7 +66,7 @@ def ranked(rows: DataFrame, group: str, key: Column, counts: DataFrame) -> DataF
     sizes = spread.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
     first = F.sum("_size").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("_size")
     own = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_digest", key)) - 1
-    return spread.join(sizes.select(group, "_bucket", first.alias("_first")), [group, "_bucket"]).withColumn("rank", F.col("_first") + own).drop("_buckets", "_digest", "_bucket", "_first")
+    return spread.join(bounded(sizes.select(group, "_bucket", first.alias("_first")), 64), [group, "_bucket"]).withColumn("rank", F.col("_first") + own).drop("_buckets", "_digest", "_bucket", "_first")
 
 
 def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 64, resolution: int = 1000, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -98,7 +98,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     total = text_bytes(docs, text_col)
     chunks = pieces(total, CHUNK_TEXT)
     bits = max(0, int(np.ceil(np.log2(max(1, total / 6 / BUCKET_WINDOWS)))))
-    rows = docs.select(*keep, docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("_text"))
+    rows = docs.select(*[c for c in keep if c != text_col], docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("_text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("kept_sha256", T.StringType())]
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             digests.append(hashlib.sha256(text_kept).hexdigest())
             cut.append(found)
         arrow_spans = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
-        columns = [table[c] for c in names[: len(names) - 5]]
+        columns = [table["_text" if c == text_col else c] for c in names[: len(names) - 5]]
         columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()), pa.array(cut, arrow_spans)]
         return pa.table(dict(zip(names, columns, strict=True)))
 
