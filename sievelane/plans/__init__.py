@@ -1,0 +1,6 @@
+"""The registered queries; importing this package fills the registry."""
+
+from . import calibration, ranking  # noqa: F401
+from .adapters import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
