@@ -38,7 +38,7 @@ def numbered_verdict(reply: Column, n: Column | int, default: int | None = None)
 
 def batch_verdicts(reply: Column, size: int, default: int | None = None) -> Column:
     """``size`` verdicts of one reply: lines of a bare 0 or 1 if there are just so many, else numbered lines."""
-    bare = F.filter(F.transform(F.split(text(reply), "\n"), F.trim), lambda x: x.rlike("^[01]$"))
+    bare = F.filter(F.transform(F.split(text(reply), "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[01]$"))
     numbered = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda n: numbered_verdict(reply, n, default))
     return F.when(F.size(bare) == size, F.transform(bare, lambda x: x.cast("int"))).otherwise(numbered)
 

@@ -39,7 +39,7 @@ def split_line(line: Column) -> tuple[Column, Column, Column]:
 
 def split_bare(line: Column) -> tuple[Column, Column, Column]:
     """As ``split_line``, at bare pipes; fields trimmed, the rest rejoined with pipes."""
-    parts = F.transform(F.split(line, r"\|"), F.trim)
+    parts = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
     ok = F.size(parts) >= 3
     tail = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), "|")
     return F.when(ok, F.get(parts, F.lit(0))), F.when(ok, F.get(parts, F.lit(1))), F.when(ok, tail)
