@@ -2,11 +2,12 @@
 
 Two sets of n and m shingles with Jaccard similarity of at least t share at least T = t (n + m) / (1 + t) shingles.
 
-1. Every document's shingles are hashed and dealt to buckets as packed arrays. A bucket counts in how many
-   documents each occurs and returns the shared ones, with that count, to their documents. A shingle of a single document is in
-   no intersection, and a document of which more than a share 1 - t is unshared can have no partner, so it is done.
-2. Documents with equal sets form a class, and one of them stands for it from here on. Its shortest lists, in a
-   global order by (count, hash), are those of which any partner must appear in one. Documents that meet in such
+1. Every document's shingles are hashed and dealt to buckets as packed arrays; documents with equal sets form a class, which is sent
+   once by each task. A bucket counts in how many sets each hash occurs and returns the shared ones, with that count, to their
+   sets. A shingle of a single set is in no intersection, and a set of which more than a share 1 - t is unshared can have no
+   partner, so it is done.
+2. One document stands for its class from here on. Its shortest lists, in a
+   global order by (logarithm of the count, hash), are those of which any partner must appear in one. Documents that meet in such
    a list, directly or through others, form a cell; small cells share a task, and a large one is cut into
    blocks, each pair of which is a task.
 3. A task searches its inverted lists for each document: lists are divided into short and long ones, the short are
@@ -34,7 +35,9 @@ from .components import connected_components
 from .fingerprints import U, column_words, mix
 
 #: Shingles that a bucket is meant to hold; a word has about six bytes.
-BUCKET_SHINGLES = 2 << 20
+BUCKET_SHINGLES = 4 << 20
+#: Documents whose hashes are packed together.
+DOCS_SENT = 8192
 #: Documents that a search task holds (twice, where two blocks meet).
 BLOCK = 2048
 #: Bytes of a hash that are sent besides the bits that choose a bucket.
@@ -63,96 +66,116 @@ def _least_shared(n: int, t: Fraction) -> int:
     return math.ceil(n * t)
 
 
-def _shared(docs: DataFrame, size: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, count, hashes, dfs) in pieces: a row per document without hashes, and rows with its shared ones."""
+def _digest(hashes: np.ndarray) -> int:
+    """64 bits that tell sets apart; rows with equal ones form a class."""
+    return int(mix(mix(hashes ^ U(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True, dtype=U) + U(len(hashes)))[0].view(np.int64)) if len(hashes) else 0
+
+
+def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(kind, id, n, digest, bucket, hashes, logs) and the bits that choose a bucket.
+
+    Kind 0, one row per document: id, n, digest. Kind 1: hashes that the set of ``digest`` shares with other sets, all from one
+    bucket, SENT bytes each, and for each the logarithm of how many sets have it, as a byte.
+    """
     total = text_bytes(docs, text_col)
     bits = max(0, math.ceil(math.log2(max(1, total / 6 / BUCKET_SHINGLES))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "ids", "ns", "digests", "sizes", "hashes"]
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(0).to_pylist()
             rows, sets = [], []
             for row, hashes in shingle_sets(batch.column(1), size):
-                rows.append(row)
+                rows.append(ids[row])
                 sets.append(hashes)
-                if len(rows) == 4096:
-                    yield from _pack(ids, rows, sets, bits, names)
+                if len(rows) == DOCS_SENT:
+                    yield _pack(rows, sets, bits)
                     rows, sets = [], []
-            yield from _pack(ids, rows, sets, bits, names)
+            if rows:
+                yield _pack(rows, sets, bits)
 
     def count(table: pa.Table) -> pa.Table:
-        blank = {"id": [], "n": [], "digest": [], "count": [], "hashes": [], "dfs": []}
-        ids, ns, digests, own, values = [], [], [], [], []
+        bucket = table["bucket"][0].as_py()
+        ids, ns, digests = [], [], []
+        keys, own, values = [], [], []
         for i, n, d, s, h in zip(*(table[c].to_pylist() for c in ("ids", "ns", "digests", "sizes", "hashes")), strict=True):
+            digest = np.frombuffer(d, np.int64)
             if h is None:  # documents on their way through
-                blank["id"] += [None if x == _NULL else x for x in np.frombuffer(i, np.int64).tolist()]
-                blank["n"] += np.frombuffer(n, np.int64).tolist()
-                blank["digest"] += np.frombuffer(d, np.int64).tolist()
+                ids += [None if x == _NULL else x for x in np.frombuffer(i, np.int64).tolist()]
+                ns += np.frombuffer(n, np.int64).tolist()
+                digests += digest.tolist()
                 continue
-            k = len(ids)
-            at = np.frombuffer(i, np.int64)
-            ids += at.tolist()
-            ns += np.frombuffer(n, np.int64).tolist()
-            digests += np.frombuffer(d, np.int64).tolist()
-            own.append(np.repeat(np.arange(k, k + len(at)), np.frombuffer(s, np.int32)))
+            keys.append(digest)
+            own.append(np.repeat(digest, np.frombuffer(s, np.int32)))
             wide = np.zeros((len(h) // SENT, 8), np.uint8)
             wide[:, :SENT] = np.frombuffer(h, np.uint8).reshape(-1, SENT)
             values.append(wide.view(U).ravel())
-        zeros = len(blank["id"])
-        out = {"id": blank["id"], "n": blank["n"], "digest": blank["digest"], "count": [0] * zeros, "hashes": [None] * zeros, "dfs": [None] * zeros}
-        if values:
-            doc, value = np.concatenate(own), np.concatenate(values)
-            order = np.argsort(value, kind="stable")
-            run = np.cumsum(np.diff(value[order], prepend=value[order[:1]]) != 0)
-            df = np.empty(len(value), np.int32)
-            df[order] = np.bincount(run)[run]
-            keep = df > 1
-            doc, value, df = doc[keep], value[keep] | U(table["bucket"][0].as_py()) << U(8 * SENT), df[keep]
-            place, first = np.unique(doc, return_index=True)  # documents ascend
-            for k, a, b in zip(place.tolist(), first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
-                out["id"].append(ids[k])
-                out["n"].append(ns[k])
-                out["digest"].append(digests[k])
-                out["count"].append(b - a)
-                out["hashes"].append(value[a:b].tobytes())
-                out["dfs"].append(df[a:b].tobytes())
-        kinds = [("id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("count", pa.int64()), ("hashes", pa.binary()), ("dfs", pa.binary())]
+        k = len(ids)
+        out: dict[str, list] = {"kind": [0] * k, "id": ids, "n": ns, "digest": digests, "bucket": [bucket] * k, "hashes": [None] * k, "logs": [None] * k}
+        if keys:
+            names = np.unique(np.concatenate(keys))
+            room = U(max(1, int(len(names) - 1).bit_length()))
+            # one number for a hash and a set; copies of a set that came from other tasks fall together
+            pair = np.unique(np.concatenate(values) << room | np.searchsorted(names, np.concatenate(own)).astype(U))
+            value, name = pair >> room, (pair & ((U(1) << room) - U(1))).astype(np.int64)
+            run = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+            df = np.bincount(run)[run]
+            value, name, df = value[df > 1], name[df > 1], df[df > 1]
+            order = np.argsort(name, kind="stable")
+            log = np.minimum(255, np.log2(df[order]) * 8).astype(np.uint8)
+            data = value[order].view(np.uint8).reshape(-1, 8)[:, :SENT]
+            place, first = np.unique(name[order], return_index=True)
+            for j, a, b in zip(place.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                out["kind"].append(1)
+                out["digest"].append(int(names[j]))
+                out["hashes"].append(data[a:b].tobytes())
+                out["logs"].append(log[a:b].tobytes())
+            m = len(out["kind"]) - k
+            out |= {"id": ids + [None] * m, "n": ns + [None] * m, "bucket": [bucket] * (k + m)}
+        kinds = [("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("logs", pa.binary())]
         return pa.table({c: pa.array(out[c], k) for c, k in kinds})
 
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     sent = rows.mapInArrow(emit, "bucket int, ids binary, ns binary, digests binary, sizes binary, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(count, "id long, n long, digest long, count long, hashes binary, dfs binary")
+    return sent.groupBy("bucket").applyInArrow(count, "kind int, id long, n long, digest long, bucket int, hashes binary, logs binary"), bits
 
 
 _NULL = np.iinfo(np.int64).min
 
 
-def _pack(ids: pa.Array, rows: list[int], sets: list[np.ndarray], bits: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    if not rows:
-        return
-    own = ids.take(pa.array(rows))
-    null = np.array(own.is_null().to_pylist())
-    ids_, ns = own.fill_null(_NULL).to_numpy(), np.array([len(s) for s in sets], np.int64)
-    digests = np.array([int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum()) if len(s) else 0 for s in sets], U).view(np.int64)
-    # the rows themselves go through some bucket, too, so that one exchange serves both
-    out: list[tuple] = [(int(rows[0]) % (1 << bits), ids_.tobytes(), ns.tobytes(), digests.tobytes(), None, None)]
-    doc = np.repeat(np.arange(len(rows)), np.where(null, 0, ns))
-    if len(doc):
-        values = np.concatenate([s for s, skip in zip(sets, null, strict=True) if not skip])
-        bucket = (values >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(values), np.int32)
+def _pack(ids: list[int | None], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    digests = np.array([_digest(s) for s in sets], np.int64)
+    # the documents themselves go through some bucket, too, so that one exchange serves both
+    numbers = np.array([_NULL if i is None else i for i in ids], np.int64)
+    out: list[tuple] = [(int(digests[0]) & ((1 << bits) - 1), numbers.tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), digests.tobytes(), None, None)]
+    seen: dict[int, np.ndarray] = {}  # copies are sent once
+    for i, d, s in zip(ids, digests.tolist(), sets, strict=True):
+        if i is not None and len(s):
+            seen[d] = s
+    if seen:
+        names = np.array(list(seen), np.int64)
+        values = np.concatenate(list(seen.values()))
+        own = np.repeat(np.arange(len(names)), [len(s) for s in seen.values()])
+        bucket = (values >> U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(values), np.uint32)
         order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.unique(bucket), "right")
-        start = 0
+        each, starts = np.unique(bucket[order], return_index=True)
         low = (values >> U(64 - bits - 8 * SENT)) & U((1 << 8 * SENT) - 1)
-        for end in ends.tolist():
+        for b, start, end in zip(each.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             at = order[start:end]
-            who, sizes = np.unique(doc[at], return_counts=True)
+            who, sizes = np.unique(own[at], return_counts=True)
             data = low[at].view(np.uint8).reshape(-1, 8)[:, :SENT]
-            out.append((int(bucket[at[0]]), ids_[who].tobytes(), ns[who].tobytes(), digests[who].tobytes(), sizes.astype(np.int32).tobytes(), data.tobytes()))
-            start = end
+            out.append((b, None, None, names[who].tobytes(), sizes.astype(np.int32).tobytes(), data.tobytes()))
     columns = list(zip(*out, strict=True))
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "ids", "ns", "digests", "sizes", "hashes"])
+
+
+def _unpack(buckets: list[int], hashes: list[bytes], bits: int) -> np.ndarray:
+    """The hashes of a set, as numbers."""
+    parts = []
+    for b, h in zip(buckets, hashes, strict=True):
+        wide = np.zeros((len(h) // SENT, 8), np.uint8)
+        wide[:, :SENT] = np.frombuffer(h, np.uint8).reshape(-1, SENT)
+        parts.append(wide.view(U).ravel() | U(b) << U(8 * SENT))
+    return np.concatenate(parts) if parts else np.zeros(0, U)
 
 
 class Found:
@@ -234,37 +257,38 @@ def similar_components(docs: DataFrame, size: int = 4, threshold: str = "85/100"
     any of them. A row with a null id keeps its n_shingles, links with nothing and has a null component_id. Other columns are ignored.
     """
     t = Fraction(threshold)
-    parts = materialise(_shared(docs, size, t, id_col, text_col))
-    whole = parts.filter("id IS NOT NULL").groupBy("id", "n", "digest").agg(F.sum("count").alias("count"), F.collect_list("hashes").alias("hashes"), F.collect_list("dfs").alias("dfs"))
-    kept = whole.filter(F.col("count") * t.denominator >= F.col("n") * t.numerator).filter("n > 0")
-    classes = materialise(kept.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("count", "hashes", "dfs"), "id").alias("s")))
-    members = parts.filter("hashes IS NULL AND id IS NOT NULL").select("id", "n", "digest").join(classes.select("n", "digest", "rep"), ["n", "digest"])
-    reps = classes.select("rep", "n", "s.count", "s.hashes", "s.dfs")
+    found, bits = _shared(docs, size, id_col, text_col)
+    parts = materialise(found)
+    rows = parts.filter("kind = 0").select("id", "n", "digest")
+    known = rows.filter("id IS NOT NULL AND n > 0")
+    classes = known.groupBy("digest", "n").agg(F.min("id").alias("rep"))
+    piece = F.struct("bucket", "hashes", "logs")
+    shared = parts.filter("kind = 1").groupBy("digest").agg(F.collect_list(piece).alias("s"), (F.sum(F.length("hashes")) / SENT).cast("bigint").alias("count"))
+    reps = shared.join(classes, "digest").filter(F.col("count") * t.denominator >= F.col("n") * t.numerator)
+    reps = materialise(reps.select("rep", "n", "s.bucket", "s.hashes", "s.logs"))
 
     def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for rep, n, h, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                value, df = np.frombuffer(b"".join(h), U), np.frombuffer(b"".join(d), np.int32)
-                value, at = np.unique(value, return_index=True)  # rows that repeat send theirs twice
-                take = n - _least_shared(n, t) + 1 - (n - len(value))
-                order = np.lexsort((value, df[at]))[: max(0, take)]
+            for rep, n, b, h, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                value, log = _unpack(b, h, bits), np.frombuffer(b"".join(g), np.uint8)
+                take = n - _least_shared(n, t) + 1 - (n - len(value))  # unshared shingles come first in the order
+                order = np.lexsort((value, log))[: max(0, take)]
                 hashes.append(value[order].view(np.int64))
                 who.append(np.full(len(order), rep))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(who))], names=["hash", "rep"])
 
-    lists = reps.select("rep", "n", "hashes", "dfs").mapInArrow(shortest, "hash long, rep long")
+    lists = reps.select("rep", "n", "bucket", "hashes", "logs").mapInArrow(shortest, "hash long, rep long")
     heads = lists.groupBy("hash").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last")
     cells = materialise(connected_components(lists.join(heads, "hash").filter("rep > head").select(F.col("rep").alias("a"), F.col("head").alias("b"))))
-    links = _links(reps, cells, t)
-    edges = members.filter("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).unionByName(links)
-    components = connected_components(edges)
-    rows = parts.filter("hashes IS NULL").select("id", "n")
+    links = _links(reps, cells, t, bits)
+    copies = known.join(classes, ["digest", "n"]).filter("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    components = connected_components(copies.unionByName(links))
     out = rows.join(components.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _links(reps: DataFrame, cells: DataFrame, t: Fraction) -> DataFrame:
+def _links(reps: DataFrame, cells: DataFrame, t: Fraction, bits: int) -> DataFrame:
     """Links that span the components within each cell."""
     sizes = cells.groupBy("component").agg(F.count("*").alias("size"))
     total = cells.count()
@@ -279,11 +303,11 @@ def _links(reps: DataFrame, cells: DataFrame, t: Fraction) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("rep", "cell", "small", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = paired.join(reps.select("rep", "n", "hashes"), "rep")
+    rows = paired.join(reps.select("rep", "n", "bucket", "hashes"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
         one = table["lo"][0].as_py() == table["hi"][0].as_py()
-        sets = [np.unique(np.frombuffer(b"".join(h), U)) for h in table["hashes"].to_pylist()]
+        sets = [np.sort(_unpack(b, h, bits)) for b, h in zip(table["bucket"].to_pylist(), table["hashes"].to_pylist(), strict=True)]
         found = search(sets, table["n"].to_pylist(), None if one else table["block"].to_pylist(), t)
         reps_ = table["rep"].to_pylist()
         return pa.table({"a": pa.array([reps_[i] for i, _ in found], pa.int64()), "b": pa.array([reps_[j] for _, j in found], pa.int64())})
