@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import global_rank
 
@@ -94,7 +95,7 @@ def both_splits(artifacts: DataFrame) -> DataFrame:
 
 def score_external(df: DataFrame, scorer: Callable[[list[str]], list[float | None]], text_col: str, out: str = "score", batch: int = 64, tries: int = 3) -> DataFrame:
     """Send texts to an injected scorer, ``batch`` at a time; a call that keeps failing leaves null, never a made-up score."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

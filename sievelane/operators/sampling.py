@@ -60,7 +60,7 @@ def balanced_folds(df: DataFrame, key: str, folds: int = 5, big: int = 4096) ->
         fold = min(range(folds), key=lambda f: (load[f], f))
         load[fold] += r["n"]
         rows.append((r[key], fold))
-    placed = df.sparkSession.createDataFrame(rows, sizes.select(key).schema.add("_fold", "int"))
+    placed = df.sparkSession.createDataFrame(rows, sizes.select(key).schema.add("_fold", "integer"))
     return sizes.join(F.broadcast(placed), key, "left").select(key, F.coalesce("_fold", hash_fold(F.col(key), folds)).alias("fold"))
 
 
