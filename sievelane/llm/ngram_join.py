@@ -37,7 +37,7 @@ from .fingerprints import U, column_words, mix
 #: Shingles that a bucket is meant to hold; a word has about six bytes.
 BUCKET_SHINGLES = 4 << 20
 #: Documents whose hashes are packed together.
-DOCS_SENT = 8192
+DOCS_SENT = 2048
 #: Documents that a search task holds (twice, where two blocks meet).
 BLOCK = 2048
 #: Bytes of a hash that are sent besides the bits that choose a bucket.
@@ -95,33 +95,36 @@ def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Dat
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        ids, ns, digests = [], [], []
-        keys, own, values = [], [], []
-        for i, n, d, s, h in zip(*(table[c].to_pylist() for c in ("ids", "ns", "digests", "sizes", "hashes")), strict=True):
-            digest = np.frombuffer(d, np.int64)
-            if h is None:  # documents on their way through
-                ids += [None if x == _NULL else x for x in np.frombuffer(i, np.int64).tolist()]
-                ns += np.frombuffer(n, np.int64).tolist()
+        ids, ns, digests, sent = [], [], [], []
+        for i, n, d, s, h in zip(*(table[c] for c in ("ids", "ns", "digests", "sizes", "hashes")), strict=True):
+            digest = np.frombuffer(d.as_buffer(), np.int64)
+            if not h.is_valid:  # documents on their way through
+                ids += [None if x == _NULL else x for x in np.frombuffer(i.as_buffer(), np.int64).tolist()]
+                ns += np.frombuffer(n.as_buffer(), np.int64).tolist()
                 digests += digest.tolist()
-                continue
-            keys.append(digest)
-            own.append(np.repeat(digest, np.frombuffer(s, np.int32)))
-            wide = np.zeros((len(h) // SENT, 8), np.uint8)
-            wide[:, :SENT] = np.frombuffer(h, np.uint8).reshape(-1, SENT)
-            values.append(wide.view(U).ravel())
+            else:
+                sent.append((digest, np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(h.as_buffer(), np.uint8).reshape(-1, SENT)))
         k = len(ids)
         out: dict[str, list] = {"kind": [0] * k, "id": ids, "n": ns, "digest": digests, "bucket": [bucket] * k, "hashes": [None] * k, "logs": [None] * k}
-        if keys:
-            names = np.unique(np.concatenate(keys))
+        if sent:
+            names = np.unique(np.concatenate([d for d, _, _ in sent]))
             room = U(max(1, int(len(names) - 1).bit_length()))
-            # one number for a hash and a set; copies of a set that came from other tasks fall together
-            pair = np.unique(np.concatenate(values) << room | np.searchsorted(names, np.concatenate(own)).astype(U))
+            # one number for a hash and a set, so that one sort brings equal hashes together, and copies of a set from other tasks
+            pair, at = np.empty(sum(len(h) for _, _, h in sent), U), 0
+            for digest, sizes, data in sent:
+                wide = np.zeros((len(data), 8), np.uint8)
+                wide[:, :SENT] = data
+                pair[at : at + len(data)] = wide.view(U).ravel() << room | np.repeat(np.searchsorted(names, digest), sizes).astype(U)
+                at += len(data)
+            pair.sort()
+            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] >> room != pair[:-1] >> room]))
+            df = np.diff(starts, append=len(pair))
+            pair = pair[np.repeat(df > 1, df)]
             value, name = pair >> room, (pair & ((U(1) << room) - U(1))).astype(np.int64)
-            run = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
-            df = np.bincount(run)[run]
-            value, name, df = value[df > 1], name[df > 1], df[df > 1]
+            logs = np.repeat(np.minimum(255, np.log2(df[df > 1]) * 8).astype(np.uint8), df[df > 1])
             order = np.argsort(name, kind="stable")
-            log = np.minimum(255, np.log2(df[order]) * 8).astype(np.uint8)
+            log = logs[order]
             data = value[order].view(np.uint8).reshape(-1, 8)[:, :SENT]
             place, first = np.unique(name[order], return_index=True)
             for j, a, b in zip(place.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):

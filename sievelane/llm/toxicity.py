@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_co
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 terms = model.vocabulary.find(text)
                 if terms not in seen:
-                    if len(seen) > 100_000:
+                    if len(seen) > 20_000:
                         seen.clear()
                     seen[terms] = model.score(terms)
                 scores.append(seen[terms])
