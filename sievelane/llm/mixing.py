@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 64, resolution: i
     ``weights``: (source, weight), a row for each source; sources without one, or with null, NaN or
     weights <= 0, get the smallest share. Null sources count as ''. Null ids go first by their hash; rows
     with equal ids are interchangeable. Other columns of ``docs`` come along and must not be
-    called _mix_source, block, slot or place. At most ``resolution`` sources are meant: the period is bounded by
+    called rank, block, slot or place, nor begin with an underscore. At most ``resolution`` sources are meant: the period is bounded by
     ``resolution`` plus their number.
     """
     rows = docs.withColumn("_mix_source", F.coalesce(F.col(source_col), F.lit("")))
@@ -87,10 +87,10 @@ def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 64, resolution: i
     slots = period(integer_weights(known, resolution)).withColumnRenamed("source", "_mix_source").withColumnRenamed("slot", "_slot")
     out = ranked(rows, "_mix_source", F.col(id_col), counts)
     out = out.withColumns({"block": F.floor(F.col("rank") / block_rows), "place": (F.col("rank") % block_rows).cast("int")})
-    share = slots.filter("nth = 0").select("_mix_source", "share", "length")
-    out = out.join(F.broadcast(share), "_mix_source").withColumn("nth", (F.col("block") % F.col("share")).cast("int"))
-    out = out.join(F.broadcast(slots.select("_mix_source", "nth", "_slot")), ["_mix_source", "nth"])
-    return out.withColumn("slot", F.floor(F.col("block") / F.col("share")) * F.col("length") + F.col("_slot")).select(*docs.columns, "block", "slot", "place")
+    share = slots.filter("nth = 0").select("_mix_source", F.col("share").alias("_share"), F.col("length").alias("_length"))
+    out = out.join(F.broadcast(share), "_mix_source").withColumn("_nth", (F.col("block") % F.col("_share")).cast("int"))
+    out = out.join(F.broadcast(slots.select("_mix_source", F.col("nth").alias("_nth"), "_slot")), ["_mix_source", "_nth"])
+    return out.withColumn("slot", F.floor(F.col("block") / F.col("_share")) * F.col("_length") + F.col("_slot")).select(*docs.columns, "block", "slot", "place")
 
 
 def tempered(docs: DataFrame, power: float = 0.5, source_col: str = "source") -> DataFrame:

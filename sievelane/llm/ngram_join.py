@@ -127,7 +127,7 @@ def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Dat
             log = logs[order]
             data = value[order].view(np.uint8).reshape(-1, 8)[:, :SENT]
             place, first = np.unique(name[order], return_index=True)
-            for j, a, b in zip(place.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            for j, a, b in zip(place.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(first)], strict=True):
                 out["kind"].append(1)
                 out["digest"].append(int(names[j]))
                 out["hashes"].append(data[a:b].tobytes())
