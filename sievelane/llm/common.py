@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,14 @@ def bounded(side: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(side) if side.count() * row_bytes * 2 <= BROADCAST_BYTES else side
 
 
+def trim() -> None:
+    """Give freed memory back to the system: idle Python workers stay, and a later stage shares the executor with them."""
+    pa.default_memory_pool().release_unused()
+    release_heap = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if release_heap is not None:
+        release_heap(0)
+
+
 def finite_vector(c: Column) -> Column:
     """True for a vector with components, none of them null, NaN or infinite."""
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, trim
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +56,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, roots = local_roots(np.concatenate(a), np.concatenate(b))
         off = nodes != roots
         yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(roots[off])], names=["a", "b"])
+    del a, b
+    trim()
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -22,7 +22,7 @@ _POWERS = (np.zeros(0, U), np.zeros(0, U))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text hashed at once; a longer text is hashed alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, text_bytes
+from .common import materialise, pieces, text_bytes, trim
 from .components import connected_components
 from .fingerprints import U, column_words, mix
 
@@ -92,8 +92,16 @@ def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Dat
                     rows, sets = [], []
             if rows:
                 yield _pack(rows, sets, bits)
+            del batch, rows, sets
+        trim()
 
     def count(table: pa.Table) -> pa.Table:
+        out = counted(table)
+        del table
+        trim()
+        return out
+
+    def counted(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         ids, ns, digests, sent = [], [], [], []
         for i, n, d, s, h in zip(*(table[c] for c in ("ids", "ns", "digests", "sizes", "hashes")), strict=True):
@@ -280,6 +288,8 @@ def similar_components(docs: DataFrame, size: int = 4, threshold: str = "85/100"
                 hashes.append(value[order].view(np.int64))
                 who.append(np.full(len(order), rep))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(who))], names=["hash", "rep"])
+            del batch, hashes, who
+        trim()
 
     lists = reps.select("rep", "n", "bucket", "hashes", "logs").mapInArrow(shortest, "hash long, rep long")
     heads = lists.groupBy("hash").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last")

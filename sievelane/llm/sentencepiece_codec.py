@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import trim
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the lowest score of a piece: what an unknown character costs.
@@ -299,6 +301,11 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: lis
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
                 ids = _list_array(parts)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p or b"") // 4 for p in parts], pa.int64()), ids, pa.array(same, pa.bool_())], names=schema.names)
+                del own, parts, same, columns, ids
+            del batch, texts
+            trim()
+        cache.clear()
+        trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_bytes
+from .common import pieces, text_bytes, trim
 from .fingerprints import U, column_words
 
 CHUNK_TEXT = 8 << 20
@@ -186,11 +186,28 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()), pa.array(cut, arrow_spans)]
         return pa.table(dict(zip(names, columns, strict=True)))
 
+    def frugal(f):
+        """``f``, and its memory back afterwards."""
+
+        def one(table: pa.Table) -> pa.Table:
+            out = f(table)
+            del table
+            trim()
+            return out
+
+        def two(table: pa.Table, answers: pa.Table) -> pa.Table:
+            out = f(table, answers)
+            del table, answers
+            trim()
+            return out
+
+        return one if f in (first_pass, first_count, second_count) else two
+
     # answers go to chunks that asked, so every group below has its texts
     by_chunk = rows.groupBy("chunk")
-    sent = by_chunk.applyInArrow(first_pass, "chunk int, bucket int, hashes binary")
-    known = sent.groupBy("bucket").applyInArrow(first_count, ANSWER)
-    again = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(second_pass, "chunk int, bucket int, hashes binary, sizes binary, ids binary")
-    later = again.groupBy("bucket").applyInArrow(second_count, ANSWER)
+    sent = by_chunk.applyInArrow(frugal(first_pass), "chunk int, bucket int, hashes binary")
+    known = sent.groupBy("bucket").applyInArrow(frugal(first_count), ANSWER)
+    again = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(frugal(second_pass), "chunk int, bucket int, hashes binary, sizes binary, ids binary")
+    later = again.groupBy("bucket").applyInArrow(frugal(second_count), ANSWER)
     answers = known.unionByName(later)
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(third_pass, schema)
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(frugal(third_pass), schema)

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise, release, trim
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on: at most so many, in order of a hash of their id.
 MAX_EXAMPLES = 16_384
@@ -212,8 +214,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     The examples are a sample bounded by ``max_examples``; what reaches the driver is bounded by it and
     ``max_terms``. Without labelled rows every score is 0.5.
     """
-    from .common import materialise, release
-
     chosen = F.broadcast(sample(labels, max_examples, id_col, label_col))  # max_examples rows of two numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     examples = materialise(texts.join(chosen, "doc_id"))
@@ -278,6 +278,9 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_co
                 scores.append(seen[terms])
             found = pa.array([[{"doc_id": i, "cosine": c, "toxic_share": s} for i, c, s in e] for _, e in scores], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([p for p, _ in scores], pa.float64()), pa.array([int(p >= threshold) for p, _ in scores], pa.int32()), found], names=schema.names)
+            del batch, scores, found
+        seen.clear()
+        trim()
 
     return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, schema)
 
