@@ -12,6 +12,7 @@ breaks) if no piece has that pair of characters, so the cut changes no result; e
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections import deque
@@ -134,7 +135,8 @@ class PieceModel:
             while self._keys[slot] >= 0:
                 slot = (slot + 1) & (len(self._keys) - 1)
             self._keys[slot], self._next[slot] = key, nxt
-        self.singles = {p for p, _, _ in words if len(p) == 1}
+        self.piece_ids = {p: i for p, _, i in words}
+        self._merge_scores = {p: x for p, x, _ in words if len(p) > 1}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
@@ -222,11 +224,41 @@ class PieceModel:
                     end -= 1
             out[places[j]] = np.array(ids[::-1], np.int32).tobytes()
 
+    def merge_segment(self, s: str) -> bytes:
+        """The ids of a string by merging: the neighbours whose union is the best-scored piece first, from the left among equal ones."""
+        scores = self._merge_scores
+        text, after, before = list(s), list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(s) and (union := text[i] + text[j]) in scores:
+                heapq.heappush(heap, (-scores[union], i, union))
+
+        for i in range(len(s)):
+            offer(i)
+        while heap:
+            _, i, union = heapq.heappop(heap)
+            j = after[i] if text[i] else len(s)
+            if j >= len(s) or text[i] + text[j] != union:  # one of the two has been merged meanwhile
+                continue
+            text[i], text[j], after[i] = union, "", after[j]
+            if after[i] < len(s):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        ids: list[int] = []
+        for x in text:
+            if x:
+                ids += [self.piece_ids[x]] if x in self.piece_ids else [b for ch in x for b in self._bytes(ch)]
+        return np.array(ids, np.int32).tobytes()
+
     def _bytes(self, ch: str) -> list[int]:
         data = ch.encode("utf-8", "surrogatepass")
         return [self.byte_ids[b] for b in data] if all(b in self.byte_ids for b in data) else [self.unknown_id]
 
-    def encode_batch(self, texts: list[str | None], cache: dict[str, bytes]) -> list[bytes | None]:
+    def encode_batch(self, texts: list[str | None], cache: dict[str, bytes], merges: bool = False) -> list[bytes | None]:
         split: list[list[str] | None] = []
         new: set[str] = set()
         for text in texts:
@@ -242,11 +274,11 @@ class PieceModel:
             cache.clear()
             new = {c for own in split if own for c in own}
         todo = list(new)
-        cache.update(zip(todo, self.segment(todo), strict=True))
+        cache.update(zip(todo, map(self.merge_segment, todo) if merges else self.segment(todo), strict=True))
         return [None if own is None else b"".join(map(cache.__getitem__, own)) for own in split]
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text], {})[0], np.int32).tolist()
+    def encode(self, text: str, merges: bool = False) -> list[int]:
+        return np.frombuffer(self.encode_batch([text], {}, merges)[0], np.int32).tolist()
 
     def decoder(self) -> list[bytes]:
         """What each id stands for, as bytes; control pieces for nothing."""
@@ -278,9 +310,11 @@ def _list_array(parts: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: list[str] | None = None, merges: bool = False) -> DataFrame:
     """The ``keep`` columns of ``docs`` (all but the text), then n_pieces long, ids array<int>, round_trip boolean.
 
+    ``merges``: segment as BPE models do by themselves, not by the best score.
+
     A null text has null ids, 0 pieces and a null round_trip; an empty one no ids. ``round_trip``: decoding gives the text
     back; false where the text itself holds the space mark U+2581, which stands for a space. Rows stay
     as they are, repeated or not. Columns called n_pieces, ids or round_trip must not be kept.
@@ -296,7 +330,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: lis
             texts = batch.column(batch.num_columns - 1)
             for lo, hi in _spans(texts):
                 own = texts.slice(lo, hi - lo).to_pylist()
-                parts = model.encode_batch(own, cache)
+                parts = model.encode_batch(own, cache, merges)
                 same = [None if t is None else model.decode(np.frombuffer(p, np.int32).tolist(), table) == t for t, p in zip(own, parts, strict=True)]
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
                 ids = _list_array(parts)

@@ -264,6 +264,15 @@ def test_pieces_agree_with_the_library_in_unigram_mode(pieces):
         assert pieces.decode(library.encode(s)) == library.decode(library.encode(s))
 
 
+def test_merges_agree_with_the_library(pieces):
+    spm = pytest.importorskip("sentencepiece")
+    library = spm.SentencePieceProcessor(model_file=PIECE_MODEL)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("thoneréinshß") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    for s in [*SAMPLES, *words, " ".join(words[:40]), "a  b   c"]:
+        assert pieces.encode(s, merges=True) == library.encode(s), s
+
+
 def test_encode_and_decode_tables(spark, pieces):
     df = spark.createDataFrame([(i, s, 7) for i, s in enumerate([*SAMPLES, None, SAMPLES[0], "a▁b"])], "doc_id long, text string, x int").repartition(2)
     got = encode(df, pieces).orderBy("doc_id").collect()
