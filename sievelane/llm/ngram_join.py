@@ -71,14 +71,18 @@ def _digest(hashes: np.ndarray) -> int:
     return int(mix(mix(hashes ^ U(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True, dtype=U) + U(len(hashes)))[0].view(np.int64)) if len(hashes) else 0
 
 
-def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(kind, id, n, digest, bucket, hashes, logs) and the bits that choose a bucket.
+def _shared(docs: DataFrame, size: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
+    """(kind, id, n, digest, hashes, logs).
 
-    Kind 0, one row per document: id, n, digest. Kind 1: hashes that the set of ``digest`` shares with other sets, all from one
-    bucket, SENT bytes each, and for each the logarithm of how many sets have it, as a byte.
+    Kind 0, one row per document: id, n, digest. Kind 1, one row per set that may have a partner: n, digest, the hashes it
+    shares with other sets, and for each the logarithm of how many sets have it, as a byte.
+
+    Sets have a home, chosen by their digest. What buckets find goes to the homes in one row for each bucket and home, so that
+    the number of rows doesn't grow with buckets times sets.
     """
     total = text_bytes(docs, text_col)
-    bits = max(0, math.ceil(math.log2(max(1, total / 6 / BUCKET_SHINGLES))))
+    bits = max(0, round(math.log2(max(1, total / 6 / BUCKET_SHINGLES))))
+    homes = 1 << bits
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,19 +105,25 @@ def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Dat
         trim()
         return out
 
+    def by_home(digests: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(home, places of its digests)"""
+        home = (digests.view(U) % U(homes)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        each, starts = np.unique(home[order], return_index=True)
+        return [(int(h), order[a:b]) for h, a, b in zip(each, starts, [*starts[1:], len(order)], strict=True)] if len(order) else []
+
     def counted(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        ids, ns, digests, sent = [], [], [], []
+        sent, out = [], []
         for i, n, d, s, h in zip(*(table[c] for c in ("ids", "ns", "digests", "sizes", "hashes")), strict=True):
             digest = np.frombuffer(d.as_buffer(), np.int64)
-            if not h.is_valid:  # documents on their way through
-                ids += [None if x == _NULL else x for x in np.frombuffer(i.as_buffer(), np.int64).tolist()]
-                ns += np.frombuffer(n.as_buffer(), np.int64).tolist()
-                digests += digest.tolist()
+            if not h.is_valid:  # documents on their way through; their sets' sizes go to the homes
+                out.append((bucket % homes, 0, bucket, i.as_py(), n.as_py(), d.as_py(), None, None, None))
+                names, first = np.unique(digest, return_index=True)
+                ns = np.frombuffer(n.as_buffer(), np.int64)[first]
+                out += [(home, 1, bucket, None, ns[at].tobytes(), names[at].tobytes(), None, None, None) for home, at in by_home(names)]
             else:
                 sent.append((digest, np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(h.as_buffer(), np.uint8).reshape(-1, SENT)))
-        k = len(ids)
-        out: dict[str, list] = {"kind": [0] * k, "id": ids, "n": ns, "digest": digests, "bucket": [bucket] * k, "hashes": [None] * k, "logs": [None] * k}
         if sent:
             names = np.unique(np.concatenate([d for d, _, _ in sent]))
             room = U(max(1, int(len(names) - 1).bit_length()))
@@ -129,27 +139,66 @@ def _shared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Dat
             starts = np.flatnonzero(np.concatenate([[True], pair[1:] >> room != pair[:-1] >> room]))
             df = np.diff(starts, append=len(pair))
             pair = pair[np.repeat(df > 1, df)]
-            value, name = pair >> room, (pair & ((U(1) << room) - U(1))).astype(np.int64)
             logs = np.repeat(np.minimum(255, np.log2(df[df > 1]) * 8).astype(np.uint8), df[df > 1])
+            name = (pair & ((U(1) << room) - U(1))).astype(np.int64)
             order = np.argsort(name, kind="stable")
-            log = logs[order]
-            data = value[order].view(np.uint8).reshape(-1, 8)[:, :SENT]
-            place, first = np.unique(name[order], return_index=True)
-            for j, a, b in zip(place.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(first)], strict=True):
-                out["kind"].append(1)
-                out["digest"].append(int(names[j]))
-                out["hashes"].append(data[a:b].tobytes())
-                out["logs"].append(log[a:b].tobytes())
-            m = len(out["kind"]) - k
-            out |= {"id": ids + [None] * m, "n": ns + [None] * m, "bucket": [bucket] * (k + m)}
-        kinds = [("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("logs", pa.binary())]
-        return pa.table({c: pa.array(out[c], k) for c, k in kinds})
+            name, logs = name[order], logs[order]
+            data = (pair >> room)[order].view(np.uint8).reshape(-1, 8)[:, :SENT]
+            for home, at in by_home(names[name]):
+                who, sizes = np.unique(name[at], return_counts=True)
+                out.append((home, 2, bucket, None, None, names[who].tobytes(), sizes.astype(np.int32).tobytes(), data[at].tobytes(), logs[at].tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 9
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 6
+        return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(FOUND.split(", "), columns, kinds, strict=True)})
+
+    def gather(table: pa.Table) -> pa.Table:
+        out = gathered(table)
+        del table
+        trim()
+        return out
+
+    def gathered(table: pa.Table) -> pa.Table:
+        ids, ns, digests, sizes_of = [], [], [], {}
+        who, values, logs = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.uint8)]
+        for kind, bucket, i, n, d, s, h, g in zip(*(table[c] for c in ("kind", "bucket", "ids", "ns", "digests", "sizes", "hashes", "logs")), strict=True):
+            digest = np.frombuffer(d.as_buffer(), np.int64)
+            if kind.as_py() == 0:
+                ids += [None if x == _NULL else x for x in np.frombuffer(i.as_buffer(), np.int64).tolist()]
+                ns += np.frombuffer(n.as_buffer(), np.int64).tolist()
+                digests += digest.tolist()
+            elif kind.as_py() == 1:
+                sizes_of.update(zip(digest.tolist(), np.frombuffer(n.as_buffer(), np.int64).tolist(), strict=True))
+            else:
+                wide = np.zeros((len(h.as_buffer()) // SENT, 8), np.uint8)
+                wide[:, :SENT] = np.frombuffer(h.as_buffer(), np.uint8).reshape(-1, SENT)
+                values.append(wide.view(U).ravel() | U(bucket.as_py()) << U(8 * SENT))
+                logs.append(np.frombuffer(g.as_buffer(), np.uint8))
+                who.append(np.repeat(digest, np.frombuffer(s.as_buffer(), np.int32)))
+        k = len(ids)
+        own, value, log = (np.concatenate(x) for x in (who, values, logs))
+        order = np.argsort(own, kind="stable")
+        own, value, log = own[order], value[order], log[order]
+        names, starts = np.unique(own, return_index=True)
+        kept = [(d, a, b) for d, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)][: len(starts)], strict=True) if b - a >= _least_shared(sizes_of[d], t)]
+        m = len(kept)
+        return pa.table(
+            {
+                "kind": pa.array([0] * k + [1] * m, pa.int32()),
+                "id": pa.array(ids + [None] * m, pa.int64()),
+                "n": pa.array(ns + [sizes_of[d] for d, _, _ in kept], pa.int64()),
+                "digest": pa.array(digests + [d for d, _, _ in kept], pa.int64()),
+                "hashes": pa.array([None] * k + [value[a:b].tobytes() for _, a, b in kept], pa.binary()),
+                "logs": pa.array([None] * k + [log[a:b].tobytes() for _, a, b in kept], pa.binary()),
+            }
+        )
 
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     sent = rows.mapInArrow(emit, "bucket int, ids binary, ns binary, digests binary, sizes binary, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(count, "kind int, id long, n long, digest long, bucket int, hashes binary, logs binary"), bits
+    found = sent.groupBy("bucket").applyInArrow(count, FOUND)
+    return found.groupBy("home").applyInArrow(gather, "kind int, id long, n long, digest long, hashes binary, logs binary")
 
 
+FOUND = "home int, kind int, bucket int, ids binary, ns binary, digests binary, sizes binary, hashes binary, logs binary"
 _NULL = np.iinfo(np.int64).min
 
 
@@ -179,16 +228,6 @@ def _pack(ids: list[int | None], sets: list[np.ndarray], bits: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "ids", "ns", "digests", "sizes", "hashes"])
 
 
-def _unpack(buckets: list[int], hashes: list[bytes], bits: int) -> np.ndarray:
-    """The hashes of a set, as numbers."""
-    parts = []
-    for b, h in zip(buckets, hashes, strict=True):
-        wide = np.zeros((len(h) // SENT, 8), np.uint8)
-        wide[:, :SENT] = np.frombuffer(h, np.uint8).reshape(-1, SENT)
-        parts.append(wide.view(U).ravel() | U(b) << U(8 * SENT))
-    return np.concatenate(parts) if parts else np.zeros(0, U)
-
-
 class Found:
     """Union-find over the documents of a task."""
 
@@ -268,21 +307,17 @@ def similar_components(docs: DataFrame, size: int = 4, threshold: str = "85/100"
     any of them. A row with a null id keeps its n_shingles, links with nothing and has a null component_id. Other columns are ignored.
     """
     t = Fraction(threshold)
-    found, bits = _shared(docs, size, id_col, text_col)
-    parts = materialise(found)
+    parts = materialise(_shared(docs, size, t, id_col, text_col))
     rows = parts.filter("kind = 0").select("id", "n", "digest")
     known = rows.filter("id IS NOT NULL AND n > 0")
     classes = known.groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    piece = F.struct("bucket", "hashes", "logs")
-    shared = parts.filter("kind = 1").groupBy("digest").agg(F.collect_list(piece).alias("s"), (F.sum(F.length("hashes")) / SENT).cast("bigint").alias("count"))
-    reps = shared.join(classes, "digest").filter(F.col("count") * t.denominator >= F.col("n") * t.numerator)
-    reps = materialise(reps.select("rep", "n", "s.bucket", "s.hashes", "s.logs"))
+    reps = materialise(parts.filter("kind = 1").select("digest", "n", "hashes", "logs").join(classes, ["digest", "n"]).select("rep", "n", "hashes", "logs"))
 
     def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for rep, n, b, h, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                value, log = _unpack(b, h, bits), np.frombuffer(b"".join(g), np.uint8)
+            for rep, n, h, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                value, log = np.frombuffer(h, U), np.frombuffer(g, np.uint8)
                 take = n - _least_shared(n, t) + 1 - (n - len(value))  # unshared shingles come first in the order
                 order = np.lexsort((value, log))[: max(0, take)]
                 hashes.append(value[order].view(np.int64))
@@ -291,17 +326,17 @@ def similar_components(docs: DataFrame, size: int = 4, threshold: str = "85/100"
             del batch, hashes, who
         trim()
 
-    lists = reps.select("rep", "n", "bucket", "hashes", "logs").mapInArrow(shortest, "hash long, rep long")
+    lists = reps.select("rep", "n", "hashes", "logs").mapInArrow(shortest, "hash long, rep long")
     heads = lists.groupBy("hash").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last")
     cells = materialise(connected_components(lists.join(heads, "hash").filter("rep > head").select(F.col("rep").alias("a"), F.col("head").alias("b"))))
-    links = _links(reps, cells, t, bits)
+    links = _links(reps, cells, t)
     copies = known.join(classes, ["digest", "n"]).filter("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     components = connected_components(copies.unionByName(links))
     out = rows.join(components.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _links(reps: DataFrame, cells: DataFrame, t: Fraction, bits: int) -> DataFrame:
+def _links(reps: DataFrame, cells: DataFrame, t: Fraction) -> DataFrame:
     """Links that span the components within each cell."""
     sizes = cells.groupBy("component").agg(F.count("*").alias("size"))
     total = cells.count()
@@ -316,11 +351,11 @@ def _links(reps: DataFrame, cells: DataFrame, t: Fraction, bits: int) -> DataFra
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("rep", "cell", "small", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = paired.join(reps.select("rep", "n", "bucket", "hashes"), "rep")
+    rows = paired.join(reps.select("rep", "n", "hashes"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
         one = table["lo"][0].as_py() == table["hi"][0].as_py()
-        sets = [np.sort(_unpack(b, h, bits)) for b, h in zip(table["bucket"].to_pylist(), table["hashes"].to_pylist(), strict=True)]
+        sets = [np.sort(np.frombuffer(h, U)) for h in table["hashes"].to_pylist()]
         found = search(sets, table["n"].to_pylist(), None if one else table["block"].to_pylist(), t)
         reps_ = table["rep"].to_pylist()
         return pa.table({"a": pa.array([reps_[i] for i, _ in found], pa.int64()), "b": pa.array([reps_[j] for _, j in found], pa.int64())})
