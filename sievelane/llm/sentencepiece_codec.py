@@ -31,9 +31,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the lowest score of a piece: what an unknown character costs.
 UNKNOWN_PENALTY = 10.0
 #: Pieces of this many strings are remembered by a task.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 #: Characters that go through the automaton at once.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: lis
     return docs.mapInArrow(run, schema)
 
 
-def _spans(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _spans(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, one row at least."""
     sizes = np.array([0 if s is None else s for s in pc.binary_length(texts).to_pylist()], np.int64)
     part = np.cumsum(sizes) // limit

@@ -237,9 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):  # one text at a time is in Python
                 n += 1
-                for t, _ in vocabulary.find(text):
+                for t, _ in vocabulary.find(text.as_py()):
                     df[t] += 1
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *own.tolist()], pa.int32()), pa.array([n, *df[own].tolist()], pa.int64())], names=["term", "n"])
@@ -269,8 +269,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_co
         seen: dict[tuple, tuple] = {(): empty}
         for batch in batches:
             scores = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                terms = model.vocabulary.find(text)
+            for text in batch.column(batch.num_columns - 1):
+                terms = model.vocabulary.find(text.as_py())
                 if terms not in seen:
                     if len(seen) > 20_000:
                         seen.clear()
