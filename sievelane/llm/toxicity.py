@@ -1,14 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words of letters of a text and their first four and five letters. The terms that set
-toxic examples apart (a G-test on the examples, and most examples with the term toxic) span the vectors; their weights are
+Terms are the lower-cased words of letters of a text and their first four and five letters. The terms that tell
+toxic and clean examples apart best (by the size of G on the examples, whichever way they lean) span the vectors; their weights are
 (1 + ln tf) * idf, with document frequencies counted over all documents. Examples with the same vector
 form one entry that carries how many of them are toxic, so ties need no arbitrary choice.
 
 The index keeps, for each term, postings in order of entry, cut into blocks of entries, and the largest
 weight in each block. The bound of a block for a text is the sum over the text's terms of its weight times the block's largest;
-blocks are opened from the highest bound down until no bound reaches the k-th best cosine. The result is
-exact. The nearest entries vote with their cosine squared, and an isotonic fit of leave-one-out votes on
+blocks are opened from the highest bound down until no bound reaches the k-th best cosine; where many blocks are left
+after the first ones, they are opened at once, a term's postings at a time. The result is exact. The nearest entries vote with their cosine squared, and an isotonic fit of leave-one-out votes on
 the examples makes the share of toxic votes a probability. The entries are the evidence.
 """
 
@@ -32,12 +32,13 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on: at most so many, in order of a hash of their id.
 MAX_EXAMPLES = 16_384
 MAX_TERMS = 2_048
-#: A term must set toxic examples apart with this G statistic at least.
-LEAST_G = 15.0
-#: And of the examples that hold it, this share must be toxic.
-LEAST_SHARE = 0.5
+#: A term must set toxic examples apart from clean ones, or clean from toxic, with this G statistic at least: what chance exceeds once in
+#: twenty terms. Without any bound the words of a small sample that mean nothing outweigh the others.
+LEAST_G = 3.84
 NEIGHBOURS = 16
 BLOCK = 256
+#: Blocks opened one by one before the rest is opened at once.
+FIRST_BLOCKS = 2
 PREFIXES = (4, 5)
 
 
@@ -68,11 +69,10 @@ class Vocabulary:
         words = Counter(WORD.findall(text.lower()))
         found: dict[int, int] = {self.ids[w]: words[w] for w in words.keys() & self.words}
         for size, starts in self.starts.items():
-            if starts and not starts.isdisjoint([w[:size] for w in words]):
-                for w, n in words.items():
-                    if len(w) > size and w[:size] in starts:
-                        i = self.ids[f"^{w[:size]}"]
-                        found[i] = found.get(i, 0) + n
+            for w in [w for w in words if w[:size] in starts] if starts else ():
+                if len(w) > size:
+                    i = self.ids[f"^{w[:size]}"]
+                    found[i] = found.get(i, 0) + words[w]
         return tuple(sorted(found.items()))
 
 
@@ -118,9 +118,20 @@ class BlockMaxIndex:
         bounds = sum(w * self.tops[t] for t, w in own)
         best: list[tuple[float, int]] = []  # ascending by (-cosine, entry)
         floor = 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
+        for opened, b in enumerate(np.argsort(-bounds, kind="stable").tolist()):
             if bounds[b] <= 0 or bounds[b] < floor - 1e-12:
                 break
+            if opened == FIRST_BLOCKS and np.count_nonzero(bounds >= floor - 1e-12) > 2 * FIRST_BLOCKS:
+                scores = np.zeros(len(self.id))
+                for t, w in own:
+                    ks, ws = self.lists[t]
+                    scores[ks] += w * ws
+                if without >= 0:
+                    scores[without] = 0
+                near = np.flatnonzero(scores > max(floor - 1e-12, 0))
+                if len(near) > k:
+                    near = near[scores[near] >= np.partition(scores[near], -k)[-k] - 1e-12]
+                return [(float(scores[j]), j) for j in sorted(near.tolist(), key=lambda j: (-scores[j], j))]
             scores = np.zeros(BLOCK)
             for t, w in own:
                 lo, hi = self.starts[t][b], self.starts[t][b + 1]
@@ -170,6 +181,7 @@ class ToxicityModel:
             for label, count in ((1, y), (0, n - y)):
                 if count:
                     points.append((index.votes(near, (e, 1, label)), float(label), float(count)))
+        index.terms = []  # only the votes above read them
         self.xs, self.ys = isotonic(points) if points else ([0.0], [index.prior])
 
     def score(self, terms: tuple[tuple[int, int], ...]) -> tuple[float, list[tuple[int, float, float]]]:
@@ -220,8 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     pos, total = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     terms: list[str] = []
     if 0 < pos < total:
-        counts = _term_rows(examples).groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).filter(f"a >= 2 AND a >= {LEAST_SHARE} * (a + b)")
-        g = counts.withColumn("g", g_statistic(F.col("a"), F.col("b"), F.lit(float(pos)), F.lit(float(total - pos)))).filter(F.col("g") >= LEAST_G)
+        counts = _term_rows(examples).groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).filter("a + b >= 2")
+        g = counts.withColumn("g", F.abs(g_statistic(F.col("a"), F.col("b"), F.lit(float(pos)), F.lit(float(total - pos))))).filter(F.col("g") >= LEAST_G)
         terms = [r[0] for r in g.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
     vocabulary = Vocabulary(terms)
 
@@ -272,7 +284,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_co
             for text in batch.column(batch.num_columns - 1):
                 terms = model.vocabulary.find(text.as_py())
                 if terms not in seen:
-                    if len(seen) > 20_000:
+                    if len(seen) > 2_000:
                         seen.clear()
                     seen[terms] = model.score(terms)
                 scores.append(seen[terms])
