@@ -126,8 +126,8 @@ class ShardStore:
         plan = plan.withColumns({"_parts": F.count("*").over(runs), "_bytes": F.sum("bytes").over(runs), "_rows": F.sum("rows").over(runs)})
         plan, path = self._aside(plan)
         moved = plan.filter("_parts > 1").withColumn("_into", F.concat_ws("-", "into_arrival", "into_slice"))
-        total = moved.agg(F.sum("bytes")).first()[0] or 0
-        if total:
+        count, total = moved.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        if count:  # shards of null and empty texts have rows but no bytes
             rows = self.data().join(bounded(moved.select("gen", "shard", "_into", "into_arrival", "into_slice"), 96), ["gen", "shard"])
             rows = rows.withColumns({"_arrival": F.col("into_arrival"), "_slice": F.col("into_slice"), "gen": F.lit(gen), "shard": F.col("_into")}).drop("_into", "into_arrival", "into_slice")
             self._write(rows.repartition(max(1, -(-total // self.target_bytes) * 2), "shard"), gen)

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 pytest.importorskip("sievelane.llm")
-from sievelane.llm import toxicity  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from sievelane.llm import sharding, toxicity  # noqa: E402
 
 
 def test_toxicity_sees_mixed_and_clean_terms(spark):
@@ -51,3 +53,12 @@ def test_block_max_search_at_once_is_exact():
             kth = sorted(s, reverse=True)[15]
             assert {e for _, e in near} == {e for e in range(len(s)) if s[e] >= kth - 1e-12 and s[e] > 0}
             assert all(abs(c - s[e]) < 1e-9 for c, e in near)
+
+
+def test_compaction_keeps_rows_without_bytes(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "shards"))
+    rows = [(i, None if i % 2 else "") for i in range(40)]
+    store.append(spark.createDataFrame(rows, "doc_id long, text string"), F.floor(F.col("doc_id") / 10))
+    store.compact()
+    assert store.manifest().count() == 1
+    assert sorted(((r.doc_id, r.text) for r in store.read().collect()), key=repr) == sorted(rows, key=repr)
