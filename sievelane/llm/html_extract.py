@@ -3,9 +3,9 @@
 Every page becomes a tree of its block elements; neighbours with the same tag and class fold into one
 repeated node. The trees of a host's pages are aligned by simple tree matching: the best order-preserving
 pairing of children, weighted by how many nodes match below, found by dynamic programming. Aligned nodes
-merge into the host's wrapper, which counts, for each node, the pages that have it, how much text and
-link text it holds there, and its most frequent texts. A text that stays constant in a node over nearly
-all pages is template; nodes whose text varies are slots. Of the slots, the main region is the host's ``article`` or ``main``,
+merge into the host's wrapper, which counts, for each node, the pages that have it and how much text and
+link text it holds there. The pages that have a text under a path of keys are counted exactly, by host, path and text, whatever node it was
+aligned to. A text that stays constant over nearly all pages is template; nodes whose text varies are slots. Of the slots, the main region is the host's ``article`` or ``main``,
 or else the node that holds most of the varying text outside links. Menus, adverts, forms, notices and the like vary
 too, so slots that say by tag, role, class or id that they are one are never content.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, materialise
+from .common import BROADCAST_BYTES, bounded, materialise, release
 from .url_filter import host_of
 
 TOKEN = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(?=/?[a-zA-Z!])[^>]*$""")
@@ -45,10 +45,8 @@ DROP_WORDS = {
     "comment", "comments", "commentlist", "respond", "disqus", "replies", "pagination", "pager", "widget", "toolbar",
 }
 HEADER_WORDS = {"header", "banner", "masthead"}
-#: A text is template when so many pages have it in the same node, of at least so many pages.
+#: A text is template when so many pages have it under the same path of keys, of at least so many pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
-#: Texts that a node of a wrapper keeps count of; any above 1/48 of the pages is among them.
-KEPT_TEXTS = 48
 #: Pairs of children beyond which two nodes are aligned greedily, not by dynamic programming.
 ALIGN_PAIRS = 40_000
 
@@ -202,7 +200,7 @@ def blocks(node: Node, constant: set[int], path: tuple[str, ...]) -> list[tuple[
 
 
 def text_key(path: tuple[str, ...], text: str) -> int:
-    return zlib.crc32("/".join(path).encode()) << 32 | zlib.crc32(text.encode("utf-8", "replace"))
+    return (zlib.crc32("/".join(path).encode()) - (1 << 31)) << 32 | zlib.crc32(text.encode("utf-8", "replace"))
 
 
 # A wrapper node: [key, pages, text outside links, link text, {text key: pages}, children]
@@ -277,9 +275,6 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
     a[1], a[2], a[3] = a[1] + b[1], a[2] + b[2], a[3] + b[3]
     for k, n in b[4].items():
         a[4][k] = a[4].get(k, 0) + n
-    if len(a[4]) > KEPT_TEXTS:  # the usual summary of frequent items: all lose what the next one has
-        cut = sorted(a[4].values(), reverse=True)[KEPT_TEXTS]
-        a[4] = {k: n - cut for k, n in a[4].items() if n > cut}
     _, pairs = _align(a[5], b[5], memo)
     children, i, j = [], 0, 0
     for p, q in [*pairs, (len(a[5]), len(b[5]))]:
@@ -321,18 +316,13 @@ def _mass(node: list) -> int:
     return node[2] + sum(_mass(c) for c in node[5])
 
 
-def rules(wrapper: list) -> dict:
-    """What extraction needs of a host's wrapper: the region's path and the constant texts."""
-    constant: list[int] = []
-
-    def look(node: list) -> None:
-        constant.extend(k for k, n in node[4].items() if n >= CONSTANT_SHARE * wrapper[1])
-        for c in node[5]:
-            look(c)
-
-    if wrapper[1] >= CONSTANT_PAGES:
-        look(wrapper)
-    return {"path": region_path(wrapper), "constant": constant}
+def drain(wrapper: list, keys: set[int]) -> set[int]:
+    """Move the text keys of a page's wrapper to ``keys``."""
+    keys.update(wrapper[4])
+    wrapper[4] = {}
+    for c in wrapper[5]:
+        drain(c, keys)
+    return keys
 
 
 def extract_text(source: str | None, rule: dict | None = None) -> str:
@@ -367,10 +357,13 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[str, list] = {}
+        counts: dict[tuple[str, int], int] = {}
         size = 0
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = fold(parse(source))
+                for k in drain(own, set()):
+                    counts[host, k] = counts.get((host, k), 0) + 1
                 if host in wrappers:
                     merge(wrappers[host], own)
                 else:
@@ -378,22 +371,40 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
                 if size >= 5_000:
                     yield _wrapper_batch(wrappers)
                     wrappers, size = {}, 0
+                if len(counts) >= 100_000:
+                    yield _count_batch(counts)
+                    counts = {}
         yield _wrapper_batch(wrappers)
+        yield _count_batch(counts)
 
     def whole(table: pa.Table) -> pa.Table:
         parts = [_thaw(json.loads(x)) for x in table["wrapper"].to_pylist()]
         total = parts[0]
         for p in parts[1:]:
             merge(total, p)
-        return pa.table({"host": table["host"].slice(0, 1), "rule": [json.dumps(rules(total))]})
+        return pa.table({"host": table["host"].slice(0, 1), "pages": pa.array([total[1]], pa.int64()), "path": pa.array([region_path(total)], pa.list_(pa.string()))})
 
     rows = pages.filter(F.length(html_col) > 0).select(host_of(F.coalesce(url_col, F.lit(""))).alias("host"), F.col(html_col).alias("html"))
-    partials = rows.mapInArrow(partial, "host string, wrapper string")
-    return partials.groupBy("host").applyInArrow(whole, "host string, rule string")
+    parts = materialise(rows.mapInArrow(partial, "host string, wrapper string, text long, n long"))
+    hosts = materialise(parts.filter("wrapper IS NOT NULL").select("host", "wrapper").groupBy("host").applyInArrow(whole, "host string, pages long, path array<string>"))
+    large = hosts.filter(F.col("pages") >= CONSTANT_PAGES).select("host", "pages")
+    often = parts.filter("wrapper IS NULL").groupBy("host", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= CONSTANT_SHARE * CONSTANT_PAGES)
+    constant = often.join(bounded(large, 128), "host").filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("constant"))  # at most a page's texts / 0.9
+    rule = F.to_json(F.struct("path", F.coalesce("constant", F.array().cast("array<long>")).alias("constant")))
+    out = materialise(hosts.join(constant, "host", "left").select("host", rule.alias("rule")))
+    release(parts)
+    release(hosts)
+    return out
+
+
+def _count_batch(counts: dict[tuple[str, int], int]) -> pa.RecordBatch:
+    hosts = pa.array([h for h, _ in counts], pa.string())
+    return pa.RecordBatch.from_arrays([hosts, pa.nulls(len(counts), pa.string()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "wrapper", "text", "n"])
 
 
 def _wrapper_batch(wrappers: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string())], names=["host", "wrapper"])
+    return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string()), pa.nulls(len(wrappers), pa.int64()), pa.nulls(len(wrappers), pa.int64())], names=["host", "wrapper", "text", "n"])
 
 
 def _thaw(w: list) -> list:
@@ -412,7 +423,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     Rows stay as they are, repeated or not. Kept columns must not be called text or n_chars.
     """
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    wrappers = materialise(induce(pages, url_col, html_col))
+    wrappers = induce(pages, url_col, html_col)
     size = wrappers.agg(F.coalesce(F.sum(F.length("rule") + F.length("host") + 64), F.lit(0))).first()[0]
     side = wrappers.select(F.col("host").alias("_host"), F.col("rule").alias("_rule"))
     rows = pages.select(*keep, host_of(F.coalesce(pages[url_col], F.lit(""))).alias("_host"), pages[html_col].alias("_html"))

@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("sievelane.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from sievelane.llm import sharding, toxicity  # noqa: E402
+from sievelane.llm import html_extract, sharding, toxicity  # noqa: E402
 
 
 def test_toxicity_sees_mixed_and_clean_terms(spark):
@@ -62,3 +62,11 @@ def test_compaction_keeps_rows_without_bytes(spark, tmp_path):
     store.compact()
     assert store.manifest().count() == 1
     assert sorted(((r.doc_id, r.text) for r in store.read().collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_html_template_line_among_varying_paragraphs(spark):
+    notice = "Sign up for our letter today"
+    page = lambda i: "<article>" + "".join(f"<p>own words {i} {j} of the page</p>" for j in range(12)) + f"<p>{notice}</p></article>"
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(200)], "page_id long, url string, html string").repartition(3)
+    got = html_extract.extract(df).collect()
+    assert len(got) == 200 and all(r.text == "\n".join(f"own words {r.page_id} {j} of the page" for j in range(12)) for r in got)
