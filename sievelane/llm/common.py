@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Broadcast hints are given only to sides whose bytes were counted and lie under this.
 BROADCAST_BYTES = 8 << 20
@@ -26,12 +29,17 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sievelane-")
         spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(__import__("shutil").rmtree, base, True)
-    return f"{base.rstrip('/')}/sievelane-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/sievelane-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has written with ``materialise``, once no result reads them any more."""
+    drop_path(spark, scratch(spark).rpartition("/")[0])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -74,6 +82,37 @@ def finite_vector(c: Column) -> Column:
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & ~bad, F.lit(False))
 
 
+class Plain:
+    """A table whose columns are called c0, c1, ..., so that no name of the input can clash with an operator's own.
+
+    ``out``: the names under which the ``keep`` columns come out. One that bears a name of ``new``, in any case of its
+    letters, comes out with ``_in`` behind it, as often as that takes.
+    """
+
+    def __init__(self, df: DataFrame, keep: list[str], new: list[str]):
+        self.names = df.columns
+        self.rows = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+        self.kept = [self.at(c) for c in keep]
+        self.out: list[str] = []
+        taken = {c.lower() for c in new}
+        for c in keep:
+            while c.lower() in taken:
+                c += "_in"
+            taken.add(c.lower())
+            self.out.append(c)
+
+    def at(self, name: str) -> str:
+        """What the column ``name`` is called now."""
+        if name in self.names:
+            return f"c{self.names.index(name)}"
+        return f"c{[c.lower() for c in self.names].index(name.lower())}"
+
+    def schema(self, *new: T.StructField) -> T.StructType:
+        """The kept columns under their names, and the new ones."""
+        fields = [self.rows.schema[c] for c in self.kept]
+        return T.StructType([*(T.StructField(n, f.dataType, f.nullable) for n, f in zip(self.out, fields, strict=True)), *new])
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows: sizes partitions, never results."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

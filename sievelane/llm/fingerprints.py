@@ -3,7 +3,8 @@
 Words are the runs of bytes other than 0x20 and 0x09-0x0D, which is ``[^\\x20\\x09-\\x0D]+`` of the text, since
 UTF-8 uses no such byte inside a character. A word's hash is the polynomial of its bytes, a window's the polynomial of its
 words' hashes, both modulo 2^64 and then mixed; polynomials of all windows come from doubling: that of
-a + b words is that of the first a, shifted, plus that of the next b.
+a + b words is that of the first a, shifted, plus that of the next b. Two families with bytes' values and factors of
+their own give 128 bits together.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pyarrow as pa
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-_B = 0xC2B2AE3D27D4EB4F | 1
+#: The factor of words in a window, by family.
+_B = (0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
 _MASK = (1 << 64) - 1
-_BYTES = None
+_BYTES: dict[int, np.ndarray] = {}
 _POWERS = (np.zeros(0, U), np.zeros(0, U))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -32,11 +34,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _byte_table() -> np.ndarray:
-    global _BYTES
-    if _BYTES is None:
-        _BYTES = mix(np.arange(1, 257, dtype=U) * U(_P)) | U(1)
-    return _BYTES
+def _byte_table(family: int) -> np.ndarray:
+    if family not in _BYTES:
+        _BYTES[family] = mix(np.arange(1 + 256 * family, 257 + 256 * family, dtype=U) * U(_P)) | U(1)
+    return _BYTES[family]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +60,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of consecutive texts: byte ranges in ``data``, hashes, and each text's first word."""
 
-    __slots__ = ("data", "start", "end", "hash", "first")
+    __slots__ = ("data", "start", "end", "hash", "first", "factor")
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool, family: int = 0):
         """``bounds``: where each text begins in ``data``, and the end."""
+        self.factor = _B[family]
         space = _SPACE[data]
         edge = np.zeros(len(data) + 1, bool)  # a word may begin at, and none goes on across, a text's first byte
         edge[bounds] = True
@@ -77,9 +79,9 @@ class Words:
         self.data = data
         power, inverse = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_byte_table()[data] * power[: len(data)], out=sums[1:])
+        np.cumsum(_byte_table(family)[data] * power[: len(data)], out=sums[1:])
         h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(U) * U(_B))
+        self.hash = mix(h + (self.end - self.start).astype(U) * U(self.factor))
         self.first = np.searchsorted(self.start, bounds)
 
     def windows(self, size: int) -> np.ndarray:
@@ -95,16 +97,16 @@ class Words:
                 if out is None:
                     out, done = level.copy(), width
                 else:
-                    out = level[: n - width - done + 1] * U(pow(_B, done, 1 << 64)) + out[width:][: n - width - done + 1]
+                    out = level[: n - width - done + 1] * U(pow(self.factor, done, 1 << 64)) + out[width:][: n - width - done + 1]
                     done += width
             rest >>= 1
             if rest:
-                level = level[: n - 2 * width + 1] * U(pow(_B, width, 1 << 64)) + level[width:][: n - 2 * width + 1]
+                level = level[: n - 2 * width + 1] * U(pow(self.factor, width, 1 << 64)) + level[width:][: n - 2 * width + 1]
                 width *= 2
         return mix(out)
 
 
-def column_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def column_words(column: pa.Array, lower: bool = False, family: int = 0) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of runs of rows of a string column; a null text has no words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -121,5 +123,5 @@ def column_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, i
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
         end = min(end, n)
-        yield row, end, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower)
+        yield row, end, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower, family)
         row = end
