@@ -1,22 +1,24 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words of letters of a text and their first four and five letters. The terms that tell
-toxic and clean examples apart best (by the size of G on the examples, whichever way they lean) span the vectors; their weights are
-(1 + ln tf) * idf, with document frequencies counted over all documents. Examples with the same vector
+Terms are the lower-cased words of letters of a text, cut to their first STEM letters, which stand for their stem. All terms of
+the examples, toxic and clean, span the vectors; a weight is tf * idf, with document frequencies counted over all documents
+and smoothed by SMOOTHING of their number. Examples with the same vector
 form one entry that carries how many of them are toxic, so ties need no arbitrary choice.
 
 The index keeps, for each term, postings in order of entry, cut into blocks of entries, and the largest
-weight in each block. The bound of a block for a text is the sum over the text's terms of its weight times the block's largest;
-blocks are opened from the highest bound down until no bound reaches the k-th best cosine; where many blocks are left
-after the first ones, they are opened at once, a term's postings at a time. The result is exact. The nearest entries vote with their cosine squared, and an isotonic fit of leave-one-out votes on
-the examples makes the share of toxic votes a probability. The entries are the evidence.
+weight in each block; terms that many entries have keep a block's postings as a dense row. For a text, short lists are merged at once.
+The bound of a block is the sum over the other terms of the text's weight times the block's largest, and the best that the
+short lists give in the block; the blocks of highest bounds are opened first, then all whose bound reaches the k-th best cosine found there.
+Cosines are computed in single precision with a rigorous bound on the error, and again in double precision for all entries
+that may be among the nearest, so the result is exact. The nearest entries vote with their cosine squared, and an isotonic
+fit of leave-one-out votes on the examples makes the share of toxic votes a probability. The entries are the evidence.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,135 +28,160 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, release, trim
+from .common import Plain, materialise, release, trim
 
-WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on: at most so many, in order of a hash of their id.
-MAX_EXAMPLES = 16_384
-MAX_TERMS = 2_048
-#: A term must set toxic examples apart from clean ones, or clean from toxic, with this G statistic at least: what chance exceeds once in
-#: twenty terms. Without any bound the words of a small sample that mean nothing outweigh the others.
-LEAST_G = 3.84
-NEIGHBOURS = 16
-BLOCK = 256
-#: Blocks opened one by one before the rest is opened at once.
+MAX_EXAMPLES = 8_192
+STEM = 4
+_STEMS = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
+#: Added to document frequencies, as a share of all documents: keeps what is rare by chance from outweighing everything.
+SMOOTHING = 0.01
+NEIGHBOURS = 8
+BLOCK = 128
+#: Blocks opened before the others are judged by what these gave.
 FIRST_BLOCKS = 2
-PREFIXES = (4, 5)
+#: Terms that more than one in so many entries have keep dense rows.
+DENSE_SHARE = 16
+#: Texts searched together.
+TEXTS = 64
 
+Terms = tuple[tuple[int, int], ...]
 
-def terms_of(text: str) -> dict[str, int]:
-    """How often a text has each word, and ``^``-marked beginnings of its longer words."""
-    words = Counter(WORD.findall(text.lower()))
-    out = dict(words)
-    for w, n in words.items():
-        for size in PREFIXES:
-            if len(w) > size:
-                p = f"^{w[:size]}"
-                out[p] = out.get(p, 0) + n
-    return out
+
+def stem(word: str) -> str:
+    return word[:STEM]
 
 
 class Vocabulary:
-    """The selected terms; finds them in a text."""
+    """The terms; finds them in a text."""
 
     def __init__(self, terms: list[str]):
         self.ids = {t: i for i, t in enumerate(terms)}
-        self.words = {t for t in terms if t[0] != "^"}
-        self.starts = {size: {t[1:] for t in terms if t[0] == "^" and len(t) == size + 1} for size in PREFIXES}
 
-    def find(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """(term, count) of the selected terms in a text, by term."""
+    def find(self, text: str | None) -> Terms:
+        """(term, count) of the known terms in a text, by term."""
         if not text:
             return ()
-        words = Counter(WORD.findall(text.lower()))
-        found: dict[int, int] = {self.ids[w]: words[w] for w in words.keys() & self.words}
-        for size, starts in self.starts.items():
-            for w in [w for w in words if w[:size] in starts] if starts else ():
-                if len(w) > size:
-                    i = self.ids[f"^{w[:size]}"]
-                    found[i] = found.get(i, 0) + words[w]
-        return tuple(sorted(found.items()))
+        ids = self.ids
+        return tuple(sorted((ids[t], n) for t, n in Counter(_STEMS.findall(text.lower())).items() if t in ids))
+
+
+_BUILT: dict[str, tuple] = {}  # of the last index that a worker used: what isn't sent with it
 
 
 class BlockMaxIndex:
     """Entries with unit vectors, how many examples each stands for and how many of these are toxic."""
 
-    def __init__(self, entries: list[tuple[tuple[tuple[int, int], ...], int, int, int]], idf: np.ndarray, prior: float):
+    def __init__(self, entries: list[tuple[Terms, int, int, int]], idf: np.ndarray, prior: float):
         """``entries``: (terms, examples, toxic ones, smallest id); the one without terms, if any, is no neighbour."""
-        self.idf, self.prior = idf, prior
+        self.idf, self.prior, self.name = idf, prior, uuid.uuid4().hex
         self.empty = next(((n, y) for terms, n, y, _ in entries if not terms), (0, 0))
-        # neighbours in the order of entries share their strongest term, which keeps the blocks' bounds tight
+        # neighbours in the order of entries share their strongest terms, which keeps the blocks' bounds tight
         vectors = [(self.vector(terms), terms, n, y, i) for terms, n, y, i in entries if terms]
-        vectors.sort(key=lambda e: (max(zip(e[0][1].tolist(), e[0][0].tolist(), strict=True))[1], e[1]))
+        strongest = [tuple(v[0][np.argsort(-v[1], kind="stable")[:3]].tolist()) for v, *_ in vectors]
+        vectors = [vectors[k] for k in sorted(range(len(vectors)), key=lambda k: (strongest[k], vectors[k][1]))]
         self.n = np.array([e[2] for e in vectors], float)
         self.y = np.array([e[3] for e in vectors], float)
         self.id = [e[4] for e in vectors]
         self.terms = [e[1] for e in vectors]
         self.blocks = -(-len(vectors) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for k, (vector, *_) in enumerate(vectors):
-            for t, w in zip(*vector, strict=True):
-                postings.setdefault(int(t), []).append((k, float(w)))
-        self.lists = {t: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()}
-        self.starts = {t: np.searchsorted(ks, np.arange(self.blocks + 1) * BLOCK) for t, (ks, _) in self.lists.items()}
-        self.tops = {}
-        for t, (ks, ws) in self.lists.items():
-            self.tops[t] = np.zeros(self.blocks)
-            np.maximum.at(self.tops[t], ks // BLOCK, ws)
-
-    def vector(self, terms: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([t for t, _ in terms], int)
-        w = np.array([1.0 + math.log(c) for _, c in terms]) * self.idf[ids]
-        return ids, w / math.sqrt(float(w @ w))
-
-    def nearest(self, terms: tuple[tuple[int, int], ...], k: int, without: int = -1) -> list[tuple[float, int]]:
+        self.first = np.cumsum([0, *(len(e[0][0]) for e in vectors)])
+        self.own_terms = np.concatenate([np.zeros(0, np.int32), *(e[0][0] for e in vectors)]).astype(np.int32)
+        self.own_weights = np.concatenate([np.zeros(0), *(e[0][1] for e in vectors)])
+
+    def _lists(self) -> tuple:
+        """(place of a term among the dense ones or -1, dense rows by entry, their largest weights by block, starts, entries and
+        weights of the short lists); built once in a process."""
+        if self.name not in _BUILT:
+            n_terms, n = len(self.idf), len(self.id)
+            entry = np.repeat(np.arange(n), np.diff(self.first))
+            df = np.bincount(self.own_terms, minlength=n_terms)
+            frequent = np.flatnonzero(df * DENSE_SHARE > n)
+            place = np.full(n_terms, -1)
+            place[frequent] = np.arange(len(frequent))
+            at = place[self.own_terms]
+            dense = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
+            dense[entry[at >= 0], at[at >= 0]] = self.own_weights[at >= 0]
+            tops = dense.reshape(self.blocks, BLOCK, -1).max(1)
+            short = np.flatnonzero(at < 0)
+            short = short[np.argsort(self.own_terms[short], kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.where(place < 0, df, 0))])
+            _BUILT.clear()
+            _BUILT[self.name] = (place, dense, tops, starts, entry[short], self.own_weights[short])
+        return _BUILT[self.name]
+
+    def vector(self, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+        both = np.array(terms, np.int64).reshape(-1, 2)
+        w = both[:, 1] * self.idf[both[:, 0]]
+        return both[:, 0], w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def nearest(self, terms: Terms, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k entries of highest cosine above 0, and all that tie with the last; (cosine, entry), best first.
 
         ``without``: an entry left out.
         """
-        own = [(t, w) for t, w in zip(*self.vector(terms), strict=True) if t in self.lists] if terms else []
-        if not own:
-            return []
-        bounds = sum(w * self.tops[t] for t, w in own)
-        best: list[tuple[float, int]] = []  # ascending by (-cosine, entry)
-        floor = 0.0
-        for opened, b in enumerate(np.argsort(-bounds, kind="stable").tolist()):
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-12:
-                break
-            if opened == FIRST_BLOCKS and np.count_nonzero(bounds >= floor - 1e-12) > 2 * FIRST_BLOCKS:
-                scores = np.zeros(len(self.id))
-                for t, w in own:
-                    ks, ws = self.lists[t]
-                    scores[ks] += w * ws
-                if without >= 0:
-                    scores[without] = 0
-                near = np.flatnonzero(scores > max(floor - 1e-12, 0))
-                if len(near) > k:
-                    near = near[scores[near] >= np.partition(scores[near], -k)[-k] - 1e-12]
-                return [(float(scores[j]), j) for j in sorted(near.tolist(), key=lambda j: (-scores[j], j))]
-            scores = np.zeros(BLOCK)
-            for t, w in own:
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if lo < hi:
-                    ks, ws = self.lists[t]
-                    scores[ks[lo:hi] - b * BLOCK] += w * ws[lo:hi]
-            for j in np.flatnonzero(scores > max(floor - 1e-12, 0)).tolist():
-                if b * BLOCK + j != without:
-                    best.append((-float(scores[j]), b * BLOCK + j))
+        return self.nearest_of([terms], k, [without])[0]
+
+    def nearest_of(self, queries: list[Terms], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of many texts at once."""
+        if not self.blocks:
+            return [[] for _ in queries]
+        place, dense, tops, starts, post_entry, post_weight = self._lists()
+        vectors = [self.vector(q) for q in queries]
+        n, width = len(queries), self.blocks * BLOCK
+        sizes = np.array([len(ids) for ids, _ in vectors])
+        who = np.repeat(np.arange(n), sizes)
+        ids, w = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        at = place[ids]
+        q = np.zeros((n, dense.shape[1]), np.float32)
+        q[who[at >= 0], at[at >= 0]] = w[at >= 0]
+        rest = at < 0
+        lo, many = starts[ids[rest]], starts[ids[rest] + 1] - starts[ids[rest]]
+        posting = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        merged = np.bincount(np.repeat(who[rest], many) * width + post_entry[posting], np.repeat(w[rest], many) * post_weight[posting], n * width).reshape(n, width).astype(np.float32)
+        slack = np.float32((sizes.max(initial=0) + 4) * 2.0**-23)  # no vector is longer than 1
+        bounds = q @ tops.T + merged.reshape(n, self.blocks, BLOCK).max(2) + slack
+        scores = np.full((n, width), -1, np.float32)
+
+        def open_blocks(which: np.ndarray) -> None:
+            for b in np.flatnonzero(which.any(0)).tolist():
+                own, span = np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[own, span] = q[own] @ dense[span].T + merged[own, span]
+
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+        open_blocks(first)
+        scores[:, len(self.id) :] = -1
+        if without is not None:
+            out = np.array(without)
+            scores[np.flatnonzero(out >= 0), out[out >= 0]] = -1
+        kth = min(k, width)
+        floor = np.partition(scores, width - kth, 1)[:, width - kth] - 2 * slack
+        open_blocks(~first & (bounds >= np.maximum(floor, 0)[:, None]))
+        scores[:, len(self.id) :] = -1
+        if without is not None:
+            scores[np.flatnonzero(out >= 0), out[out >= 0]] = -1
+        floor = np.partition(scores, width - kth, 1)[:, width - kth] - 2 * slack
+        found, own = [], np.zeros(len(self.idf))
+        for row, (ids, w) in enumerate(vectors):
+            near = np.flatnonzero(scores[row] >= max(floor[row], 0))
+            own[ids] = w
+            exact = [float(self.own_weights[a:b] @ own[self.own_terms[a:b]]) for a, b in zip(self.first[near].tolist(), self.first[near + 1].tolist(), strict=True)]
+            own[ids] = 0
+            best = sorted((-c, e) for c, e in zip(exact, near.tolist(), strict=True) if c > 0)
             if len(best) > k:
-                best.sort()
-                floor = -best[k - 1][0]
-                best = best[: bisect_right(best, (-(floor - 1e-12), -1))]
-        return [(-s, e) for s, e in sorted(best)]
+                best = [x for x in best if x[0] <= best[k - 1][0] + 1e-12]
+            found.append([(-c, e) for c, e in best])
+        return found
 
     def votes(self, near: list[tuple[float, int]], minus: tuple[int, int, int] = (-1, 0, 0)) -> float:
-        """The share of toxic votes, with one vote of the prior. ``minus``: (entry, examples, toxic ones) not to count."""
-        total, toxic = 1.0, self.prior
+        """The share of toxic votes; the prior where nobody votes. ``minus``: (entry, examples, toxic ones) not to count."""
+        total = toxic = 0.0
         for cosine, e in near:
             gone = minus[1:] if e == minus[0] else (0, 0)
             total += cosine * cosine * (self.n[e] - gone[0])
             toxic += cosine * cosine * (self.y[e] - gone[1])
-        return toxic / total
+        return toxic / total if total > 0 else self.prior
 
     def empty_share(self) -> float:
         return (self.empty[1] + self.prior) / (self.empty[0] + 1.0)
@@ -175,42 +202,26 @@ class ToxicityModel:
     def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex, k: int = NEIGHBOURS):
         self.vocabulary, self.index, self.k = vocabulary, index, k
         points = [(index.empty_share(), index.empty[1] / index.empty[0], float(index.empty[0]))] if index.empty[0] else []
-        for e, terms in enumerate(index.terms):
-            near = index.nearest(terms, k)
-            n, y = int(index.n[e]), int(index.y[e])
-            for label, count in ((1, y), (0, n - y)):
-                if count:
-                    points.append((index.votes(near, (e, 1, label)), float(label), float(count)))
+        for lo in range(0, len(index.terms), TEXTS):
+            own = range(lo, min(lo + TEXTS, len(index.terms)))
+            # an entry of one example is left out of its own search, one of several loses a vote there
+            found = index.nearest_of([index.terms[e] for e in own], k, [e if index.n[e] == 1 else -1 for e in own])
+            for e, near in zip(own, found, strict=True):
+                n, y = int(index.n[e]), int(index.y[e])
+                for label, count in ((1, y), (0, n - y)):
+                    if count:
+                        points.append((index.votes(near, (e, 1, label)), float(label), float(count)))
         index.terms = []  # only the votes above read them
         self.xs, self.ys = isotonic(points) if points else ([0.0], [index.prior])
 
-    def score(self, terms: tuple[tuple[int, int], ...]) -> tuple[float, list[tuple[int, float, float]]]:
-        """The probability of label 1, and (example id, cosine, toxic share) of up to three nearest entries."""
-        near = self.index.nearest(terms, self.k)
-        raw = self.index.votes(near) if near else self.index.empty_share()
-        p = min(1.0, max(0.0, float(np.interp(raw, self.xs, self.ys))))
-        return p, [(self.index.id[e], s, float(self.index.y[e] / self.index.n[e])) for s, e in near[:3]]
-
-
-def g_statistic(a: Column, b: Column, pos: Column, neg: Column) -> Column:
-    """Signed G: how far the split of a term's examples (a toxic, b clean) is from that of all; > 0 leans toxic."""
-    n = pos + neg
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    with_, without = a + b, n - a - b
-    g = part(a, with_ * pos / n) + part(b, with_ * neg / n) + part(pos - a, without * pos / n) + part(neg - b, without * neg / n)
-    return F.when(a * neg > b * pos, 2 * g).otherwise(-2 * g)
-
-
-def _term_rows(examples: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in terms_of(text or ""):
-                    counts.setdefault(t, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["term", "a", "b"])
-
-    return examples.select("text", F.col("label").cast("int")).mapInArrow(run, "term string, a long, b long")
+    def scores(self, texts: list[Terms]) -> list[tuple[float, list[tuple[int, float, float]]]]:
+        """Of each: the probability of label 1, and (example id, cosine, toxic share) of up to three nearest entries."""
+        out = []
+        for near in self.index.nearest_of(texts, self.k):
+            raw = self.index.votes(near) if near else self.index.empty_share()
+            p = min(1.0, max(0.0, float(np.interp(raw, self.xs, self.ys))))
+            out.append((p, [(self.index.id[e], s, float(self.index.y[e] / self.index.n[e])) for s, e in near[:3]]))
+        return out
 
 
 def sample(labels: DataFrame, bound: int = MAX_EXAMPLES, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -220,81 +231,80 @@ def sample(labels: DataFrame, bound: int = MAX_EXAMPLES, id_col: str = "doc_id",
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on the labelled rows of ``docs``; the document frequencies are those of all rows.
 
-    The examples are a sample bounded by ``max_examples``; what reaches the driver is bounded by it and
-    ``max_terms``. Without labelled rows every score is 0.5.
+    The examples are a sample bounded by ``max_examples``; what reaches the driver are their terms and counts. Rows that repeat
+    a labelled id are examples, too. Without labelled rows every score is 0.5.
     """
     chosen = F.broadcast(sample(labels, max_examples, id_col, label_col))  # max_examples rows of two numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     examples = materialise(texts.join(chosen, "doc_id"))
     pos, total = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    terms: list[str] = []
-    if 0 < pos < total:
-        counts = _term_rows(examples).groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).filter("a + b >= 2")
-        g = counts.withColumn("g", F.abs(g_statistic(F.col("a"), F.col("b"), F.lit(float(pos)), F.lit(float(total - pos))))).filter(F.col("g") >= LEAST_G)
-        terms = [r[0] for r in g.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
-    vocabulary = Vocabulary(terms)
+
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set().union(*(_STEMS.findall((t.as_py() or "").lower()) for t in batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+
+    vocabulary = Vocabulary(sorted(examples.select("text").mapInArrow(stems, "term string").distinct().toArrow()["term"].to_pylist()))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vocabulary.find(t) for t in batch.column(2).to_pylist()]
+            found = [vocabulary.find(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[x for p in f for x in p] for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
 
     rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<int>")
-    grouped = rows.groupBy("terms").agg(F.count("*"), F.sum("label"), F.min("doc_id")).collect()  # at most max_examples rows
+    grouped = rows.groupBy("terms").agg(F.count("*").alias("n"), F.sum("label").alias("y"), F.min("doc_id").alias("i")).toArrow()
     release(examples)
+    known = frozenset(vocabulary.ids)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(terms), np.int64), 0
+        df: Counter = Counter()
+        n = 0
         for batch in batches:
             for text in batch.column(0):  # one text at a time is in Python
                 n += 1
-                for t, _ in vocabulary.find(text.as_py()):
-                    df[t] += 1
-        own = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *own.tolist()], pa.int32()), pa.array([n, *df[own].tolist()], pa.int64())], names=["term", "n"])
+                df.update(known.intersection(_STEMS.findall((text.as_py() or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *(vocabulary.ids[t] for t in df)], pa.int32()), pa.array([n, *df.values()], pa.int64())], names=["term", "n"])
 
-    counted = dict(texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
+    counted = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
     n = counted.get(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + counted.get(i, 0))) + 1 for i in range(len(terms))])
-    entries = [(tuple(zip(r[0][::2], r[0][1::2], strict=True)), r[1], r[2], r[3]) for r in grouped]
-    prior = pos / total if total else 0.5
-    return ToxicityModel(vocabulary, BlockMaxIndex(entries, idf, prior), k)
+    base = 1 + n * SMOOTHING
+    idf = np.array([math.log((n + base) / (counted.get(i, 0) + base)) + 0.05 for i in range(len(known))])
+    entries = [(tuple(zip(t[::2], t[1::2], strict=True)), m, y, i) for t, m, y, i in zip(*(grouped[c].to_pylist() for c in ("terms", "n", "y", "i")), strict=True)]
+    return ToxicityModel(vocabulary, BlockMaxIndex(entries, idf, pos / total if total else 0.5), k)
+
+
+NEW = ["score", "predicted", "evidence"]
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of ``docs`` (all), then score double, predicted int, evidence array of (doc_id, cosine, toxic_share).
 
-    Every row is scored by its whole text alone; a null, empty or term-free text gets the score of examples without
-    terms and no evidence. Repeated rows score alike. Kept columns must not be called score, predicted
-    or evidence.
+    Every row is scored by its whole text alone, however long; a null, empty or term-free text gets the score of examples without
+    terms and no evidence. Repeated rows score alike. A kept column with a new one's name comes out with ``_in`` behind it.
     """
-    keep = docs.columns if keep is None else keep
+    plain = Plain(docs, docs.columns if keep is None else keep, NEW)
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic_share", T.DoubleType())]))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
+    schema = plain.schema(T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence))
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
-    empty = model.score(())
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple] = {(): empty}
         for batch in batches:
-            scores = []
-            for text in batch.column(batch.num_columns - 1):
-                terms = model.vocabulary.find(text.as_py())
-                if terms not in seen:
-                    if len(seen) > 2_000:
-                        seen.clear()
-                    seen[terms] = model.score(terms)
-                scores.append(seen[terms])
+            scores: list[tuple] = []
+            texts = batch.column(batch.num_columns - 1)
+            for lo in range(0, len(texts), TEXTS):
+                scores += model.scores([model.vocabulary.find(t.as_py()) for t in texts.slice(lo, TEXTS)])
             found = pa.array([[{"doc_id": i, "cosine": c, "toxic_share": s} for i, c, s in e] for _, e in scores], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([p for p, _ in scores], pa.float64()), pa.array([int(p >= threshold) for p, _ in scores], pa.int32()), found], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([p for p, _ in scores], pa.float64()), pa.array([int(p >= threshold) for p, _ in scores], pa.int32()), found], names=names)
             del batch, scores, found
-        seen.clear()
         trim()
 
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, schema)
+    rows = plain.rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(plain.kept)], F.col(plain.at(text_col)).alias("_text"))
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
