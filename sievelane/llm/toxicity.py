@@ -17,13 +17,12 @@ fit of leave-one-out votes on the examples makes the share of toxic votes a prob
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +30,8 @@ from pyspark.sql import types as T
 from .common import Plain, materialise, release, trim
 
 #: Labelled rows that the classifier is fitted on: at most so many, in order of a hash of their id.
-MAX_EXAMPLES = 8_192
+MAX_EXAMPLES = 4_096
 STEM = 4
-_STEMS = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
 #: Added to document frequencies, as a share of all documents: keeps what is rare by chance from outweighing everything.
 SMOOTHING = 0.01
 NEIGHBOURS = 8
@@ -45,6 +43,9 @@ DENSE_SHARE = 16
 #: Texts searched together.
 TEXTS = 64
 
+#: Bytes of text that are cut into words at once; a longer text is cut alone.
+TEXT_BYTES = 1 << 20
+
 Terms = tuple[tuple[int, int], ...]
 
 
@@ -52,18 +53,47 @@ def stem(word: str) -> str:
     return word[:STEM]
 
 
+def stems(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of the text, stem) of every word of an Arrow array of texts; a null text has none. There may be empty stems."""
+    words = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"[^\p{L}]+")
+    cut = pc.utf8_slice_codeunits(words.flatten(), 0, STEM)
+    return np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy())), cut
+
+
+def spans(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of at most TEXTS rows and about TEXT_BYTES."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = int(sizes[lo - 1]) if lo else 0
+        hi = min(lo + TEXTS, max(lo + 1, int(np.searchsorted(sizes, before + TEXT_BYTES, "right"))))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 class Vocabulary:
-    """The terms; finds them in a text."""
+    """The terms; finds them in texts."""
 
     def __init__(self, terms: list[str]):
         self.ids = {t: i for i, t in enumerate(terms)}
 
-    def find(self, text: str | None) -> Terms:
-        """(term, count) of the known terms in a text, by term."""
-        if not text:
-            return ()
-        ids = self.ids
-        return tuple(sorted((ids[t], n) for t, n in Counter(_STEMS.findall(text.lower())).items() if t in ids))
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids}
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) of the known terms, by text and term."""
+        if not hasattr(self, "_values"):
+            self._values = pa.array(list(self.ids), pa.string())
+        who, cut = stems(texts)
+        term = pc.index_in(cut, value_set=self._values).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        room = len(self.ids) + 1
+        key, count = np.unique(who[term >= 0] * room + term[term >= 0], return_counts=True)
+        return key // room, key % room, count
+
+    def find(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text an array of (term, count), by term."""
+        who, term, count = self.numbers(texts)
+        return np.split(np.stack([term, count], 1), np.searchsorted(who, np.arange(1, len(texts)))) if len(texts) else []
 
 
 _BUILT: dict[str, tuple] = {}  # of the last index that a worker used: what isn't sent with it
@@ -110,8 +140,8 @@ class BlockMaxIndex:
             _BUILT[self.name] = (place, dense, tops, starts, entry[short], self.own_weights[short])
         return _BUILT[self.name]
 
-    def vector(self, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
-        both = np.array(terms, np.int64).reshape(-1, 2)
+    def vector(self, terms: Terms | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = np.asarray(terms, np.int64).reshape(-1, 2)
         w = both[:, 1] * self.idf[both[:, 0]]
         return both[:, 0], w / math.sqrt(float(w @ w)) if len(w) else w
 
@@ -122,7 +152,7 @@ class BlockMaxIndex:
         """
         return self.nearest_of([terms], k, [without])[0]
 
-    def nearest_of(self, queries: list[Terms], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+    def nearest_of(self, queries: list[Terms] | list[np.ndarray], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """``nearest`` of many texts at once."""
         if not self.blocks:
             return [[] for _ in queries]
@@ -148,23 +178,28 @@ class BlockMaxIndex:
                 own, span = np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                 scores[own, span] = q[own] @ dense[span].T + merged[own, span]
 
+        def close() -> None:
+            scores[:, len(self.id) :] = -1
+            if without is not None:
+                scores[np.flatnonzero(out >= 0), out[out >= 0]] = -1
+
+        def floor(seen: np.ndarray) -> np.ndarray:
+            kth = min(k, seen.shape[1])
+            return np.partition(seen, seen.shape[1] - kth, 1)[:, seen.shape[1] - kth] - 2 * slack
+
+        out = np.array(without if without is not None else [])
+        best = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS]
         first = np.zeros(bounds.shape, bool)
-        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+        np.put_along_axis(first, best, True, 1)
         open_blocks(first)
-        scores[:, len(self.id) :] = -1
-        if without is not None:
-            out = np.array(without)
-            scores[np.flatnonzero(out >= 0), out[out >= 0]] = -1
-        kth = min(k, width)
-        floor = np.partition(scores, width - kth, 1)[:, width - kth] - 2 * slack
-        open_blocks(~first & (bounds >= np.maximum(floor, 0)[:, None]))
-        scores[:, len(self.id) :] = -1
-        if without is not None:
-            scores[np.flatnonzero(out >= 0), out[out >= 0]] = -1
-        floor = np.partition(scores, width - kth, 1)[:, width - kth] - 2 * slack
+        close()
+        low = floor(np.take_along_axis(scores.reshape(n, self.blocks, BLOCK), best[:, :, None], 1).reshape(n, -1))
+        open_blocks(~first & (bounds >= np.maximum(low, 0)[:, None]))
+        close()
+        low = floor(scores)
         found, own = [], np.zeros(len(self.idf))
         for row, (ids, w) in enumerate(vectors):
-            near = np.flatnonzero(scores[row] >= max(floor[row], 0))
+            near = np.flatnonzero(scores[row] >= max(low[row], 0))
             own[ids] = w
             exact = [float(self.own_weights[a:b] @ own[self.own_terms[a:b]]) for a, b in zip(self.first[near].tolist(), self.first[near + 1].tolist(), strict=True)]
             own[ids] = 0
@@ -214,7 +249,7 @@ class ToxicityModel:
         index.terms = []  # only the votes above read them
         self.xs, self.ys = isotonic(points) if points else ([0.0], [index.prior])
 
-    def scores(self, texts: list[Terms]) -> list[tuple[float, list[tuple[int, float, float]]]]:
+    def scores(self, texts: list[np.ndarray]) -> list[tuple[float, list[tuple[int, float, float]]]]:
         """Of each: the probability of label 1, and (example id, cosine, toxic share) of up to three nearest entries."""
         out = []
         for near in self.index.nearest_of(texts, self.k):
@@ -242,37 +277,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k:
     examples = materialise(texts.join(chosen, "doc_id"))
     pos, total = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
 
-    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set().union(*(_STEMS.findall((t.as_py() or "").lower()) for t in batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+            found = pc.unique(pa.concat_arrays([stems(x)[1] for x in spans(batch.column(0))])) if batch.num_rows else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([found], names=["term"])
 
-    vocabulary = Vocabulary(sorted(examples.select("text").mapInArrow(stems, "term string").distinct().toArrow()["term"].to_pylist()))
+    found = examples.select("text").mapInArrow(terms, "term string").filter("term <> ''").distinct().toArrow()["term"].to_pylist()
+    vocabulary = Vocabulary(sorted(found))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vocabulary.find(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[x for p in f for x in p] for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
+            own = [x.ravel().tolist() for part in spans(batch.column(2)) for x in vocabulary.find(part)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
 
     rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<int>")
     grouped = rows.groupBy("terms").agg(F.count("*").alias("n"), F.sum("label").alias("y"), F.min("doc_id").alias("i")).toArrow()
     release(examples)
-    known = frozenset(vocabulary.ids)
+    size = len(found)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        n = 0
+        df, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column(0):  # one text at a time is in Python
-                n += 1
-                df.update(known.intersection(_STEMS.findall((text.as_py() or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *(vocabulary.ids[t] for t in df)], pa.int32()), pa.array([n, *df.values()], pa.int64())], names=["term", "n"])
+            n += batch.num_rows
+            for part in spans(batch.column(0)):
+                df += np.bincount(vocabulary.numbers(part)[1], minlength=size)
+            del batch
+        own = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *own.tolist()], pa.int32()), pa.array([n, *df[own].tolist()], pa.int64())], names=["term", "n"])
+        trim()
 
     counted = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counted = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
     n = counted.get(-1, 0)
     base = 1 + n * SMOOTHING
-    idf = np.array([math.log((n + base) / (counted.get(i, 0) + base)) + 0.05 for i in range(len(known))])
+    idf = np.array([math.log((n + base) / (counted.get(i, 0) + base)) + 0.05 for i in range(size)])
     entries = [(tuple(zip(t[::2], t[1::2], strict=True)), m, y, i) for t, m, y, i in zip(*(grouped[c].to_pylist() for c in ("terms", "n", "y", "i")), strict=True)]
     return ToxicityModel(vocabulary, BlockMaxIndex(entries, idf, pos / total if total else 0.5), k)
 
@@ -295,9 +333,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores: list[tuple] = []
-            texts = batch.column(batch.num_columns - 1)
-            for lo in range(0, len(texts), TEXTS):
-                scores += model.scores([model.vocabulary.find(t.as_py()) for t in texts.slice(lo, TEXTS)])
+            for part in spans(batch.column(batch.num_columns - 1)):
+                scores += model.scores(model.vocabulary.find(part))
             found = pa.array([[{"doc_id": i, "cosine": c, "toxic_share": s} for i, c, s in e] for _, e in scores], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([p for p, _ in scores], pa.float64()), pa.array([int(p >= threshold) for p, _ in scores], pa.int32()), found], names=names)
             del batch, scores, found
