@@ -12,8 +12,9 @@ Two sets of n and m shingles with Jaccard similarity of at least t share at leas
    blocks, each pair of which is a task.
 3. A task searches its inverted lists for each document: lists are divided into short and long ones, the short are
    merged with a heap, documents that reach T less the number of long lists are probed for in the long lists by
-   binary search, and those that reach T are verified and linked. Pairs that earlier links already
-   connect are skipped, since they can't change a component. Tasks give links that span their components, never all pairs.
+   binary search, and those that reach T are linked. Documents that earlier links already
+   connect are taken out of the lists before they are merged, since they can't change a component; a group of near copies thus costs
+   one comparison a document. Tasks give links that span their components, never all pairs.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ from .components import connected_components
 from .fingerprints import U, column_words, mix
 
 #: Shingles that a bucket is meant to hold; a word has about six bytes.
-BUCKET_SHINGLES = 4 << 20
+BUCKET_SHINGLES = 2 << 20
 #: Documents whose hashes are packed together.
 DOCS_SENT = 2048
-#: Documents that a search task holds (twice, where two blocks meet).
-BLOCK = 2048
+#: Documents of a large cell that a search task holds (twice, where two blocks meet).
+BLOCK = 1024
+#: Documents of small cells that share a search task, as it is meant.
+SHARED = 512
 #: Bytes of a hash that are sent besides the bits that choose a bucket.
 SENT = 5
 
@@ -229,22 +232,18 @@ def _pack(ids: list[int | None], sets: list[np.ndarray], bits: int) -> pa.Record
 
 
 class Found:
-    """Union-find over the documents of a task."""
+    """The components over the documents of a task; ``label``: the smallest document of each one's."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.label = np.arange(n)
+        self.members = [np.array([i]) for i in range(n)]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-        return i != j
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((int(self.label[i]), int(self.label[j])))
+        if a != b:
+            self.label[self.members[b]] = a
+            self.members[a] = np.concatenate([self.members[a], self.members[b]])
+            self.members[b] = np.zeros(0, np.int64)
 
 
 def search(sets: list[np.ndarray], sizes: list[int], sides: list[int] | None, t: Fraction) -> list[tuple[int, int]]:
@@ -254,7 +253,7 @@ def search(sets: list[np.ndarray], sizes: list[int], sides: list[int] | None, t:
     """
     order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
     size = [sizes[i] for i in order]
-    side = [sides[i] for i in order] if sides else None
+    side = np.array([sides[i] for i in order]) if sides else None
     doc = np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
     if not len(doc):
         return []
@@ -264,9 +263,11 @@ def search(sets: list[np.ndarray], sizes: list[int], sides: list[int] | None, t:
     number = np.empty(len(value), np.int64)
     number[by] = np.repeat(np.arange(len(starts)), np.diff([*starts, len(by)]))
     ends = [*starts[1:].tolist(), len(by)]
-    lists = [doc[by[a:b]].tolist() for a, b in zip(starts.tolist(), ends, strict=True)]  # ascending document numbers
+    docs_by = doc[by]
+    lists = [docs_by[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]  # ascending document numbers
     first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in order])])
     found, links = Found(len(order)), []
+    label = found.label
     for x in range(len(order)):
         n = size[x]
         mine = [lists[k] for k in number[first[x] : first[x + 1]].tolist() if len(lists[k]) > 1]
@@ -279,9 +280,32 @@ def search(sets: list[np.ndarray], sizes: list[int], sides: list[int] | None, t:
         longest = math.log2(len(mine[-1]) + 1)
         n_long = min(least - 1, max(0, int(least / (0.01 * longest + 1))))
         short, long = mine[: len(mine) - n_long], mine[len(mine) - n_long :]
-        for y, same in groupby(heapq.merge(*(part[bisect_left(part, low) : bisect_left(part, x)] for part in short))):
+        parts = [part[np.searchsorted(part, low) : np.searchsorted(part, x)] for part in short]
+        lengths = [len(p) for p in parts]
+        flat = np.concatenate(parts)
+
+        def apart(flat: np.ndarray, x: int = x) -> np.ndarray:
+            """Of list entries, those that a link to x would join to its component."""
+            new = label[flat] != label[x]
+            return new & (side[flat] != side[x]) if side is not None else new
+
+        new = apart(flat)
+        # a document that an earlier one of its group is likely to link is tried first; then the group is out of the lists
+        if new.any():
+            y = int(flat[new][0])
+            own = value[first[x] : first[x + 1]]
+            both = len(np.intersect1d(own, value[first[y] : first[y + 1]], assume_unique=True))
+            if both >= math.ceil(t * (n + size[y]) / (1 + t)):
+                found.join(x, y)
+                links.append((order[x], order[y]))
+                new = apart(flat)
+        if not new.any():
+            continue
+        cuts = np.cumsum(lengths)[:-1]
+        merged = heapq.merge(*(p[m].tolist() for p, m in zip(np.split(flat, cuts), np.split(new, cuts), strict=True) if m.any()))
+        for y, same in groupby(merged):
             count = sum(1 for _ in same)
-            if count < least - n_long or found.root(x) == found.root(y) or (side and side[x] == side[y]):
+            if count < least - n_long or label[x] == label[y]:
                 continue
             need = math.ceil(t * (n + size[y]) / (1 + t))
             rest = n_long
@@ -289,8 +313,8 @@ def search(sets: list[np.ndarray], sizes: list[int], sides: list[int] | None, t:
                 if count >= need or count + rest < need:
                     break
                 rest -= 1
-                at = bisect_left(part, y)
-                count += at < len(part) and part[at] == y
+                at = int(np.searchsorted(part, y))
+                count += at < len(part) and int(part[at]) == y
             if count >= need:
                 found.join(x, y)
                 links.append((order[x], order[y]))
@@ -338,19 +362,19 @@ def similar_components(docs: DataFrame, size: int = 4, threshold: str = "85/100"
 
 def _links(reps: DataFrame, cells: DataFrame, t: Fraction) -> DataFrame:
     """Links that span the components within each cell."""
+    # partners' sizes are within t of each other, so they stand in one band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t) + 1e-9).cast("int")
+    cells = cells.select("component", F.col("node").alias("rep")).join(reps.select("rep", band.alias("band")), "rep")
     sizes = cells.groupBy("component").agg(F.count("*").alias("size"))
-    total = cells.count()
-    tasks = pieces(total, BLOCK)
     small = F.col("size") <= BLOCK
-    placed = cells.join(sizes, "component").select(
-        F.col("node").alias("rep"),
-        F.when(small, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("cell"),
-        small.alias("small"),
-        F.when(small, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int").alias("blocks"),
-    )
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = cells.join(sizes, "component").withColumn("small", small)
+    few = cells.filter("small").select("rep", F.pmod(F.xxhash64("component"), F.lit(pieces(cells.count(), SHARED))).alias("cell"), "small", F.lit(0).alias("band"))
+    # a document of a large cell meets those of its own band and of both neighbours
+    many = cells.filter("NOT small").select("rep", F.col("component").alias("cell"), "small", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    placed = many.join(many.groupBy("cell", "band").agg(F.count("*").alias("size")), ["cell", "band"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
+    placed = few.withColumn("blocks", F.lit(1)).unionByName(placed).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("rep", "cell", "small", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    paired = paired.select("rep", "cell", "small", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = paired.join(reps.select("rep", "n", "hashes"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
@@ -360,4 +384,4 @@ def _links(reps: DataFrame, cells: DataFrame, t: Fraction) -> DataFrame:
         reps_ = table["rep"].to_pylist()
         return pa.table({"a": pa.array([reps_[i] for i, _ in found], pa.int64()), "b": pa.array([reps_[j] for _, j in found], pa.int64())})
 
-    return rows.groupBy("cell", "small", "lo", "hi").applyInArrow(run, "a long, b long")
+    return rows.groupBy("cell", "small", "band", "lo", "hi").applyInArrow(run, "a long, b long")
