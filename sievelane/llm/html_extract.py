@@ -1,16 +1,21 @@
 """Main text of web pages by wrapper induction over pages of the same host.
 
-Every page becomes a tree of its block elements; neighbours with the same tag and class fold into one
-repeated node. The trees of a host's pages are aligned by simple tree matching: the best order-preserving
+Every page becomes a tree of its block elements; neighbours of one shape fold into one repeated node. The trees of a host's
+pages are aligned by simple tree matching: the best order-preserving
 pairing of children, weighted by how many nodes match below, found by dynamic programming. Aligned nodes
 merge into the host's wrapper, which counts, for each node, the pages that have it and how much text and
-link text it holds there. The pages that have a text under a path of keys are counted exactly, by host, path and text, whatever node it was
-aligned to. A text that stays constant over nearly all pages is template; nodes whose text varies are slots. Of the slots, the main region is the host's ``article`` or ``main``,
-or else the node that holds most of the varying text outside links. Menus, adverts, forms, notices and the like vary
-too, so slots that say by tag, role, class or id that they are one are never content.
+link text it holds there. Then every page is aligned with its host's whole wrapper, and the pages that have a text at a node are
+counted exactly, by host, node and text. A text that stays constant over nearly all pages is template, and so are all texts
+of a node that shows few different ones on many pages; nodes whose text varies are slots.
+
+From the wrapper's root, the main region is the child that holds at least half of the varying text outside links, and so on, until
+the text stands in prose elements or several children share it. Prose elements beside the way down (titles,
+leads) belong to it. Menus, adverts and reader comments vary, too, so slots that say by tag, role, class or id that
+they are one never count; without such names they are left out where they lie outside the region or rotate.
 
 All pages take part in their host's wrapper: each task folds its own pages, then the partial wrappers
-of a host, one per task at most, are merged. A host with a single page gets its region from that page alone.
+of a host are merged in two steps. A wrapper keeps the WRAPPER_NODES nodes that most pages have; nodes that few pages have
+count as slots where they stand. A host with a single page gets its region from that page alone.
 """
 
 from __future__ import annotations
@@ -21,12 +26,13 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, bounded, materialise, release
+from .common import BROADCAST_BYTES, Plain, bounded, materialise, release, trim
 from .url_filter import host_of
 
 TOKEN = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(?=/?[a-zA-Z!])[^>]*$""")
@@ -37,7 +43,12 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: A start tag closes the open elements named here, as if their end tag stood before it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body", "main", "aside", "nav", "footer", "header", "form", "blockquote"}
-DROP_TAGS = {"head", "nav", "footer", "aside", "form", "button", "select", "fieldset", "dialog", "noscript", "template", "svg", "math", "canvas", "object", "menu", "audio", "video", "map", *RAW}
+#: Elements that hold no prose.
+DROP_TAGS = {"head", "form", "button", "select", "fieldset", "dialog", "noscript", "template", "svg", "math", "canvas", "object", "audio", "video", "map", *RAW}
+#: Elements that say what they are.
+SAY_TAGS = {"nav", "footer", "aside", "menu"}
+PROSE = {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
+HEADINGS = {"h1", "h2", "h3"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 DROP_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
@@ -45,19 +56,28 @@ DROP_WORDS = {
     "comment", "comments", "commentlist", "respond", "disqus", "replies", "pagination", "pager", "widget", "toolbar",
 }
 HEADER_WORDS = {"header", "banner", "masthead"}
-#: A text is template when so many pages have it under the same path of keys, of at least so many pages.
+#: A text is template when so many of a host's pages have it at the same node, of at least so many pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
-#: Pairs of children beyond which two nodes are aligned greedily, not by dynamic programming.
-ALIGN_PAIRS = 40_000
+#: All texts of a node are template when it has at most so many different ones for each that it shows, on at least so many pages.
+ROTATING_SHARE, ROTATING_PAGES = 0.1, 20
+#: Nodes of a wrapper.
+WRAPPER_NODES = 400
+#: Elements nested deeper are taken as part of the one at this depth.
+DEEPEST = 80
+#: Cells of an alignment's table that are held at once.
+TABLE = 1 << 20
 
 
 class Node:
-    __slots__ = ("tag", "key", "drop", "children", "links")
+    """``drop``: by its tag or as hidden; ``told``: it says that it isn't content."""
+
+    __slots__ = ("tag", "key", "drop", "told", "children", "links", "at")
 
-    def __init__(self, tag: str, key: str = "", drop: bool = False):
-        self.tag, self.key, self.drop = tag, key or tag, drop
+    def __init__(self, tag: str, key: str = "", drop: bool = False, told: bool = False):
+        self.tag, self.key, self.drop, self.told = tag, key or tag, drop, told
         self.children: list[Node | str] = []
         self.links = 0
+        self.at = -1  # the wrapper's node
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -66,18 +86,18 @@ class Node:
         return any(c.tag in tags or c.has(tags) for c in self.nodes())
 
 
-def _traits(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(key, dropped for its words or role, only because it is a header)."""
+def _traits(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """(key, dropped, says that it isn't content, only because it is a header)."""
     if not attrs or attrs == "/":
-        return tag, tag in DROP_TAGS, False
+        return tag, tag in DROP_TAGS, tag in SAY_TAGS, False
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)}
     words = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     said = words & DROP_WORDS
     role = found.get("role", "").lower() in DROP_ROLES
-    header = bool(said) and said <= HEADER_WORDS and not (hidden or role or tag in DROP_TAGS)
-    key = f"{tag}.{re.sub(r'[0-9]+', '', found['class']).strip()}" if found.get("class") else tag
-    return key, tag in DROP_TAGS or bool(said) or hidden or role, header
+    header = bool(said) and said <= HEADER_WORDS and not (hidden or role or tag in DROP_TAGS or tag in SAY_TAGS)
+    names = re.sub(r"[0-9]+", "", found.get("class", "")).split()
+    return f"{tag}.{names[0]}" if names else tag, tag in DROP_TAGS or hidden, bool(said) or role or tag in SAY_TAGS, header
 
 
 def parse(source: str) -> Node:
@@ -124,7 +144,7 @@ def parse(source: str) -> Node:
                     skip.pop()
                 elif not closing and tag == skip[-1]:
                     skip.append(tag)
-            elif not closing and (attrs := m[3] or m[6]) and _traits(tag, attrs)[1]:
+            elif not closing and (attrs := m[3] or m[6]) and any(_traits(tag, attrs)[1:3]):
                 skip.append(tag)
             continue
         if tag in VOID:
@@ -157,76 +177,79 @@ def parse(source: str) -> Node:
                     break
         elif stack[-1].tag == "p":
             stack.pop()
-        key, drop, header = _traits(tag, m[3] or m[6] or "")
-        node = Node(tag, key, drop)
+        key, drop, told, header = _traits(tag, m[3] or m[6] or "")
+        open_ = not (m[3] or m[6] or "").endswith("/") or tag not in ("svg", "math")
+        if len(stack) > DEEPEST and not drop and not told:
+            if open_:
+                stack.append(_Inner(tag, stack[-1]))
+            continue
+        node = Node(tag, key, drop, told)
         if header:
             node.key += "#header"
         stack[-1].children.append(node)
-        if not (m[3] or m[6] or "").endswith("/") or tag not in ("svg", "math"):
+        if open_:
             stack.append(node)
     flush()
     _settle(root, False)
     return root
 
 
+class _Inner(Node):
+    """An element below DEEPEST: an end tag finds it, its text goes to the one above."""
+
+    __slots__ = ()
+
+    def __init__(self, tag: str, above: Node):
+        self.tag, self.key, self.drop, self.told, self.at = tag, tag, False, False, -1
+        self.children, self.links = above.children, 0
+
+
 def _settle(node: Node, inside: bool) -> None:
-    """Words don't drop what holds the page's main part: a page with a sidebar, the header of an article."""
+    """Words don't exclude what holds the page's main part: a page with a sidebar, the header of an article."""
     for c in node.nodes():
         own = inside or c.tag in ("article", "main")
         if c.tag == "header":
-            c.drop = c.drop or not (inside and c.has({"h1", "h2"}))
-        if c.drop and c.tag not in DROP_TAGS:
+            c.told = c.told or not (inside and c.has({"h1", "h2"}))
+        if c.told and c.tag not in SAY_TAGS:
             if c.tag in ("html", "body") or c.has({"article", "main"}) or (c.has({"h1"}) and ("#header" not in c.key or inside)):
-                c.drop = False
+                c.told = False
+        if c.told:
+            c.key += "!"
         _settle(c, own)
 
 
-def text_size(node: Node) -> int:
-    """Characters outside links of what isn't dropped."""
-    if node.drop:
-        return 0
-    return sum(len(c) if isinstance(c, str) else text_size(c) for c in node.children) - node.links
-
-
-def blocks(node: Node, constant: set[int], path: tuple[str, ...]) -> list[tuple[str, bool]]:
-    """(text, whether the wrapper has it as constant) of what isn't dropped, in page order."""
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
-            out.append((c, bool(constant) and text_key(path, c) in constant))
-        elif not c.drop:
-            out += blocks(c, constant, (*path, c.key))
-    return out
-
-
-def text_key(path: tuple[str, ...], text: str) -> int:
-    return (zlib.crc32("/".join(path).encode()) - (1 << 31)) << 32 | zlib.crc32(text.encode("utf-8", "replace"))
-
+def text_key(text: str) -> int:
+    data = text.encode("utf-8", "replace")
+    return (zlib.crc32(data) - (1 << 31)) << 32 | zlib.crc32(data[::-1])
 
-# A wrapper node: [key, pages, text outside links, link text, {text key: pages}, children]
 
-
-def fold(node: Node, path: tuple[str, ...] = ()) -> list:
-    """A page's tree as a wrapper of one page; neighbours with one key become one node."""
-    out: list = [node.key, 1, 0, 0, {}, []]
-    _fill(out, node, (*path, node.key))
-    return out
+# A wrapper node: [key, pages, text outside links, link text, shape, children, ...]; that of a page ends with the page's own nodes
 
 
-def _fill(out: list, node: Node, path: tuple[str, ...]) -> None:
-    out[3] += node.links
-    out[2] -= node.links
-    last = None
+def fold(node: Node) -> list:
+    """A page's tree as a wrapper of one page; neighbours of one shape become one node."""
+    out: list = [node.key, 1, -node.links, node.links, "", [], [node]]
+    shapes: list[str] = []
     for c in node.children:
         if isinstance(c, str):
             out[2] += len(c)
-            out[4][text_key(path, c)] = 1
         elif not c.drop:
-            if last is not None and last[0] == c.key:
-                _fill(last, c, (*path, c.key))
+            own = fold(c)
+            if out[5] and out[5][-1][4] == own[4]:
+                _add(out[5][-1], own)
             else:
-                last = fold(c, path)
-                out[5].append(last)
+                out[5].append(own)
+                shapes.append(own[4])
+    out[4] = f"{node.key}({' '.join(shapes)})" if len(shapes) < 8 else f"{node.key}({zlib.crc32(' '.join(shapes).encode()):x})"
+    return out
+
+
+def _add(a: list, b: list) -> None:
+    """``b`` of a's shape, on the same page, into ``a``."""
+    a[2], a[3] = a[2] + b[2], a[3] + b[3]
+    a[6] += b[6]
+    for x, y in zip(a[5], b[5], strict=True):
+        _add(x, y)
 
 
 def match(a: list, b: list, memo: dict) -> int:
@@ -235,47 +258,65 @@ def match(a: list, b: list, memo: dict) -> int:
         return 0
     at = (id(a), id(b))
     if at not in memo:
-        memo[at] = 1 + (_align(a[5], b[5], memo)[0] if a[5] and b[5] else 0)
+        memo[at] = 1 + (int(_rows(_weights(a[5], b[5], memo))[-1, -1]) if a[5] and b[5] else 0)
     return memo[at]
 
 
-def _align(xs: list, ys: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """The best pairing of two rows of children: (weight, pairs)."""
-    if len(xs) * len(ys) > ALIGN_PAIRS:
-        pairs, j = [], 0
-        where: dict[str, list[int]] = {}
-        for k, y in enumerate(ys):
-            where.setdefault(y[0], []).append(k)
-        for i, x in enumerate(xs):
-            k = next((k for k in where.get(x[0], []) if k >= j), None)
-            if k is not None:
-                pairs.append((i, k))
-                j = k + 1
-        return len(pairs), pairs
-    w = [[match(x, y, memo) for y in ys] for x in xs]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs)):
-        for j in range(len(ys)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j])
+def _weights(xs: list, ys: list, memo: dict) -> np.ndarray:
+    where: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        where.setdefault(y[0], []).append(j)
+    w = np.zeros((len(xs), len(ys)), np.int32)
+    for i, x in enumerate(xs):
+        for j in where.get(x[0], ()):
+            w[i, j] = match(x, ys[j], memo)
+    return w
+
+
+def _rows(w: np.ndarray) -> np.ndarray:
+    """best[i, j]: the weight of the best order-preserving pairing of the first i and j children."""
+    best = np.zeros((w.shape[0] + 1, w.shape[1] + 1), np.int32)
+    for i in range(w.shape[0]):
+        np.maximum(best[i, 1:], best[i, :-1] + w[i], out=best[i + 1, 1:])
+        np.maximum.accumulate(best[i + 1], out=best[i + 1])
+    return best
+
+
+def _align(xs: list, ys: list, memo: dict) -> list[tuple[int, int]]:
+    """The best pairing of two rows of children; a long row is halved where the best pairings of both halves meet, so no table
+    grows beyond TABLE cells."""
+    if not xs or not ys:
+        return []
+    if len(xs) > 1 and len(xs) * len(ys) > TABLE:
+        half = len(xs) // 2
+        before, behind = np.zeros(len(ys) + 1, np.int32), np.zeros(len(ys) + 1, np.int32)
+        for x in xs[:half]:
+            w = _weights([x], ys, memo)[0]
+            before[1:] = np.maximum.accumulate(np.maximum(before[1:], before[:-1] + w))
+        for x in reversed(xs[half:]):
+            w = _weights([x], ys, memo)[0][::-1]
+            behind[1:] = np.maximum.accumulate(np.maximum(behind[1:], behind[:-1] + w))
+        cut = int(np.argmax(before + behind[::-1]))
+        return _align(xs[:half], ys[:cut], memo) + [(i + half, j + cut) for i, j in _align(xs[half:], ys[cut:], memo)]
+    w = _weights(xs, ys, memo)
+    best = _rows(w)
     pairs, i, j = [], len(xs), len(ys)
     while i and j:
-        if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
+        if w[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + w[i - 1, j - 1]:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
+        elif best[i, j] == best[i - 1, j]:
             i -= 1
         else:
             j -= 1
-    return best[-1][-1], pairs[::-1]
+    return pairs[::-1]
 
 
 def merge(a: list, b: list, memo: dict | None = None) -> list:
     """``b`` into ``a``: aligned nodes add up, the others take their place in order."""
     memo = {} if memo is None else memo
     a[1], a[2], a[3] = a[1] + b[1], a[2] + b[2], a[3] + b[3]
-    for k, n in b[4].items():
-        a[4][k] = a[4].get(k, 0) + n
-    _, pairs = _align(a[5], b[5], memo)
+    pairs = _align(a[5], b[5], memo)
     children, i, j = [], 0, 0
     for p, q in [*pairs, (len(a[5]), len(b[5]))]:
         children += a[5][i:p] + b[5][j:q]
@@ -286,67 +327,147 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
     return a
 
 
-def region_path(wrapper: list) -> list[str]:
-    """The path of keys to the main region of a wrapper."""
-    named: list[tuple[int, list[str]]] = []
-
-    def look(node: list, path: list[str]) -> None:
-        for c in node[5]:
-            tag = c[0].split(".")[0].split("#")[0]
-            own = [*path, c[0]]
-            if tag in ("article", "main") and 2 * c[1] >= wrapper[1]:
-                named.append((_mass(c) + (tag == "article"), own))
-            look(c, own)
-
-    look(wrapper, [wrapper[0]])
-    if named:
-        most = max(m for m, _ in named)
-        # the innermost one that still has most of the text
-        return max((p for m, p in named if m >= 0.6 * most), key=len)
-    node, path = wrapper, [wrapper[0]]
-    while node[5]:
-        best = max(node[5], key=_mass)
-        if _mass(best) < 0.6 * max(1, _mass(node)) or not best[5]:
-            break
-        node, path = best, [*path, best[0]]
-    return path
+def _walk(wrapper: list) -> Iterator[list]:
+    yield wrapper
+    for c in wrapper[5]:
+        yield from _walk(c)
 
 
-def _mass(node: list) -> int:
-    return node[2] + sum(_mass(c) for c in node[5])
+def prune(wrapper: list, most: int = WRAPPER_NODES) -> list:
+    """``wrapper`` with the ``most`` nodes that most pages have; a node has no more pages than the one above it."""
+    pages = sorted((n[1] for n in _walk(wrapper)), reverse=True)
+    if len(pages) > most:
+        least = pages[most - 1] + (pages[most] == pages[most - 1])
+        for n in list(_walk(wrapper)):
+            n[5] = [c for c in n[5] if c[1] >= least]
+    return wrapper
 
 
-def drain(wrapper: list, keys: set[int]) -> set[int]:
-    """Move the text keys of a page's wrapper to ``keys``."""
-    keys.update(wrapper[4])
-    wrapper[4] = {}
-    for c in wrapper[5]:
-        drain(c, keys)
-    return keys
+def bare(wrapper: list) -> list:
+    """A wrapper without what belongs to one page only."""
+    return [*wrapper[:4], "", [bare(c) for c in wrapper[5]]]
+
+
+def numbered(wrapper: list) -> list[list]:
+    """The nodes; a node's number is its place."""
+    return list(_walk(wrapper))
 
 
-def extract_text(source: str | None, rule: dict | None = None) -> str:
-    """The main text of a page: blocks joined by line feeds; '' for none."""
+def place(page: list, wrapper: list, number: dict[int, int]) -> None:
+    """Align a page with its wrapper: its nodes learn the numbers of the wrapper's. ``number``: by id() of the wrapper's nodes."""
+    memo: dict = {}
+    todo = [(page, wrapper)]
+    while todo:
+        a, b = todo.pop()
+        for node in a[6]:
+            node.at = number[id(b)]
+        todo += [(a[5][i], b[5][j]) for i, j in _align(a[5], b[5], memo)]
+
+
+def content(wrapper: list, constant: dict[int, int], rotating: set[int]) -> list[int]:
+    """The numbers of the wrapper's nodes that are content.
+
+    ``constant``: characters of template texts, by node; ``rotating``: nodes all of whose text is template.
+    """
+    nodes = numbered(wrapper)
+    number = {id(n): i for i, n in enumerate(nodes)}
+    mass = [0] * len(nodes)
+    size = [1] * len(nodes)
+    linked = [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        n = nodes[i]
+        out = n[0].endswith("!")
+        mass[i] = 0 if out or i in rotating else max(0, n[2] - constant.get(i, 0))
+        linked[i] = 0 if out else n[3]
+        for c in n[5]:
+            k = number[id(c)]
+            size[i] += size[k]
+            if not out:
+                mass[i] += mass[k]
+                linked[i] += linked[k]
+    tag = [re.split(r"[.#!]", n[0])[0] for n in nodes]
+    heading = lambda k: any(tag[x] in HEADINGS for x in range(k, k + size[k]))
+    links = lambda k: linked[k] > mass[k]
+    keep: set[int] = set()
+
+    def take(k: int) -> None:
+        """The node and what is below, but for what says that it isn't content."""
+        todo = [k]
+        while todo:
+            x = todo.pop()
+            if not nodes[x][0].endswith("!"):
+                keep.add(x)
+                todo += [number[id(c)] for c in nodes[x][5]]
+
+    at = 0
+    while True:
+        below = [number[id(c)] for c in nodes[at][5]]
+        named = [k for k in below if tag[k] in ("article", "main") and mass[k] > 0.3 * mass[at]]
+        best = max(named or below, key=lambda k: mass[k], default=-1)
+        if best >= 0 and mass[at] and tag[best] not in PROSE and (len(named) == 1 or 2 * mass[best] >= mass[at]) and (tag[at] not in ("article", "main") or mass[best] >= 0.9 * mass[at]):
+            for k in below:
+                if k != best and (tag[k] in PROSE or tag[at] in ("article", "main")) and not links(k):
+                    take(k)
+            at = best
+            continue
+        if tag[at] in ("article", "main"):
+            take(at)
+            return sorted(keep - {k for k in below if links(k) and tag[k] not in PROSE for k in range(k, k + size[k])})
+        keep.add(at)
+        for k in below:
+            if tag[k] in PROSE or 10 * mass[k] >= mass[at] or heading(k):
+                if not links(k) or tag[k] in HEADINGS:
+                    take(k)
+        return sorted(keep)
+
+
+class Rule:
+    """A host's wrapper, the numbers of its content nodes, and what text at them is template."""
+
+    def __init__(self, wrapper: list, keep: list[int], rotating: list[int] = (), constant: list[tuple[int, int]] = ()):
+        self.wrapper, self.keep, self.rotating, self.constant = wrapper, set(keep), set(rotating), {tuple(x) for x in constant}
+        self.number = {id(n): i for i, n in enumerate(numbered(wrapper))}
+
+    @staticmethod
+    def of_page(page: list) -> Rule:
+        return Rule(page, content(page, {}, set()))
+
+    @staticmethod
+    def load(text: str) -> Rule:
+        return Rule(**json.loads(text))
+
+
+def _collect(root: Node, rule: Rule) -> list[tuple[str, bool]]:
+    """(text, whether it is template) of a placed page's content, in page order; a node that the wrapper hasn't is content where
+    the one above is."""
+    out: list[tuple[str, bool]] = []
+    todo: list[tuple[Node | str, bool, int]] = [(root, False, -1)]
+    while todo:
+        x, inside, at = todo.pop()
+        if isinstance(x, str):
+            if inside:
+                out.append((x, at in rule.rotating or (bool(rule.constant) and (at, text_key(x)) in rule.constant)))
+        elif not x.drop:
+            own = x.at in rule.keep if x.at >= 0 else inside and not x.told
+            todo += [(c, own, x.at) for c in reversed(x.children)]
+    return out
+
+
+def extract_text(source: str | None, rule: Rule | None = None) -> str:
+    """The main text of a page: blocks joined by line feeds; '' for none. Without a rule all that isn't dropped by its tag."""
     if not source:
         return ""
     root = parse(source)
-    found: list[tuple[Node, tuple[str, ...]]] = []
-
-    def follow(node: Node, path: list[str], at: tuple[str, ...]) -> None:
-        if len(path) == 1:
-            found.append((node, at))
-            return
-        for c in node.nodes():
-            if c.key == path[1] and not c.drop:
-                follow(c, path[1:], (*at, c.key))
-
-    if rule:
-        follow(root, rule["path"], (root.key,))
-    if not found or not any(text_size(n) for n, _ in found):
-        found.clear()
-        follow(root, region_path(fold(root)), (root.key,))
-    got = [b for n, at in found for b in blocks(n, set(rule["constant"]) if rule else set(), at)]
-    varying = [t for t, constant in got if not constant]
+    if rule is None:
+        return "\n".join(_all_texts(root))
+    page = fold(root)
+    place(page, rule.wrapper, rule.number)
+    got = _collect(root, rule)
+    if not got:  # a page of another kind
+        own = Rule.of_page(page)
+        place(page, page, own.number)
+        got = _collect(root, own)
+    varying = [t for t, template in got if not template]
     if 2 * sum(map(len, varying)) < sum(len(t) for t, _ in got):  # near copies of one page share most of it, a template doesn't
         varying = [t for t, _ in got]
     return "\n".join(varying)
@@ -357,61 +478,128 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[str, list] = {}
-        counts: dict[tuple[str, int], int] = {}
-        size = 0
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = fold(parse(source))
-                for k in drain(own, set()):
-                    counts[host, k] = counts.get((host, k), 0) + 1
-                if host in wrappers:
-                    merge(wrappers[host], own)
-                else:
-                    wrappers[host], size = own, size + 1
-                if size >= 5_000:
+            for host, source in zip(batch.column(0), batch.column(1), strict=True):
+                host, own = host.as_py(), bare(fold(parse(source.as_py())))
+                wrappers[host] = merge(wrappers[host], own) if host in wrappers else own
+                if len(wrappers[host][5]) and wrappers[host][1] % 64 == 0:
+                    prune(wrappers[host], 2 * WRAPPER_NODES)
+                if len(wrappers) >= 5_000:
                     yield _wrapper_batch(wrappers)
-                    wrappers, size = {}, 0
+                    wrappers = {}
+        yield _wrapper_batch(wrappers)
+        trim()
+
+    def merged(table: pa.Table) -> pa.Table:
+        total = None
+        for x in sorted(table["wrapper"].to_pylist()):  # in any order of arrival the same
+            total = json.loads(x) if total is None else prune(merge(total, json.loads(x)), 2 * WRAPPER_NODES)
+        return pa.table({"host": table["host"].slice(0, 1), "wrapper": pa.array([json.dumps(prune(total))], pa.string()), "pages": pa.array([total[1]], pa.int64())})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int, int, int], int] = {}
+        known = _Known(lambda x: Rule(json.loads(x), []))
+        for batch in batches:
+            for host, source, wrapper in zip(*batch.columns, strict=True):
+                host, root, rule = host.as_py(), parse(source.as_py()), known[wrapper.as_py()]
+                place(fold(root), rule.wrapper, rule.number)
+                for node, text, size in _texts(root):
+                    counts[host, node, text, size] = counts.get((host, node, text, size), 0) + 1
                 if len(counts) >= 100_000:
                     yield _count_batch(counts)
                     counts = {}
-        yield _wrapper_batch(wrappers)
         yield _count_batch(counts)
+        trim()
 
-    def whole(table: pa.Table) -> pa.Table:
-        parts = [_thaw(json.loads(x)) for x in table["wrapper"].to_pylist()]
-        total = parts[0]
-        for p in parts[1:]:
-            merge(total, p)
-        return pa.table({"host": table["host"].slice(0, 1), "pages": pa.array([total[1]], pa.int64()), "path": pa.array([region_path(total)], pa.list_(pa.string()))})
+    def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rules = []
+            for text, constant, rotating in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                chars: dict[int, int] = {}
+                for c in constant or ():
+                    chars[c["node"]] = chars.get(c["node"], 0) + c["n"] * c["size"]
+                wrapper = json.loads(text)
+                keep = content(wrapper, chars, set(rotating or ()))
+                rules.append(json.dumps({"wrapper": wrapper, "keep": keep, "rotating": sorted(set(rotating or ()) & set(keep)), "constant": sorted((c["node"], c["text"]) for c in constant or () if c["node"] in set(keep))}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], names=["host", "rule"])
 
     rows = pages.filter(F.length(html_col) > 0).select(host_of(F.coalesce(url_col, F.lit(""))).alias("host"), F.col(html_col).alias("html"))
-    parts = materialise(rows.mapInArrow(partial, "host string, wrapper string, text long, n long"))
-    hosts = materialise(parts.filter("wrapper IS NOT NULL").select("host", "wrapper").groupBy("host").applyInArrow(whole, "host string, pages long, path array<string>"))
+    parts = rows.mapInArrow(partial, "host string, wrapper string, pages long")
+    some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(16))).applyInArrow(merged, "host string, wrapper string, pages long")
+    hosts = materialise(some.groupBy("host").applyInArrow(merged, "host string, wrapper string, pages long"))
+    side = hosts.select("host", "wrapper")
+    counts = rows.join(_small(side, "wrapper"), "host").mapInArrow(counted, "host string, node int, text long, size int, n long")
+    counts = materialise(counts.groupBy("host", "node", "text", "size").agg(F.sum("n").alias("n")))
     large = hosts.filter(F.col("pages") >= CONSTANT_PAGES).select("host", "pages")
-    often = parts.filter("wrapper IS NULL").groupBy("host", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= CONSTANT_SHARE * CONSTANT_PAGES)
+    often = counts.filter(F.col("n") >= CONSTANT_SHARE * CONSTANT_PAGES)
     constant = often.join(bounded(large, 128), "host").filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("constant"))  # at most a page's texts / 0.9
-    rule = F.to_json(F.struct("path", F.coalesce("constant", F.array().cast("array<long>")).alias("constant")))
-    out = materialise(hosts.join(constant, "host", "left").select("host", rule.alias("rule")))
-    release(parts)
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "text", "size", "n"))).alias("constant"))  # at most a page's texts / 0.9
+    shown = counts.groupBy("host", "node").agg(F.count("*").alias("different"), F.sum("n").alias("shown"))
+    rotating = shown.filter((F.col("different") <= ROTATING_SHARE * F.col("shown")) & (F.col("shown") >= ROTATING_PAGES))
+    rotating = rotating.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("rotating"))  # at most WRAPPER_NODES
+    judged = side.join(constant, "host", "left").join(rotating, "host", "left")
+    out = materialise(judged.mapInArrow(ruled, "host string, rule string"))
+    release(counts)
     release(hosts)
     return out
 
 
-def _count_batch(counts: dict[tuple[str, int], int]) -> pa.RecordBatch:
-    hosts = pa.array([h for h, _ in counts], pa.string())
-    return pa.RecordBatch.from_arrays([hosts, pa.nulls(len(counts), pa.string()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "wrapper", "text", "n"])
+def _texts(root: Node) -> set[tuple[int, int, int]]:
+    """(node of the wrapper, text key, size) of a placed page's texts."""
+    out: set[tuple[int, int, int]] = set()
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if not x.drop and x.at >= 0:
+            for c in x.children:
+                if isinstance(c, str):
+                    out.add((x.at, text_key(c), len(c)))
+                else:
+                    todo.append(c)
+    return out
+
+
+def _all_texts(root: Node) -> Iterator[str]:
+    todo: list[Node | str] = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            yield x
+        elif not x.drop:
+            todo += reversed(x.children)
+
+
+class _Known(dict):
+    """What has been made of a text, for some thousand texts."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):
+        if len(self) >= 2_000:
+            self.clear()
+        self[key] = self.make(key)
+        return self[key]
+
+
+def _small(side: DataFrame, column: str) -> DataFrame:
+    """``side``, to be broadcast if the bytes of its ``column`` were counted and are few."""
+    size = side.agg(F.coalesce(F.sum(F.length(column) + F.length("host") + 64), F.lit(0))).first()[0]
+    return F.broadcast(side) if 2 * size <= BROADCAST_BYTES else side
+
+
+def _count_batch(counts: dict[tuple[str, int, int, int], int]) -> pa.RecordBatch:
+    host, node, text, size = zip(*counts, strict=True) if counts else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(text, pa.int64()), pa.array(size, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["host", "node", "text", "size", "n"])
 
 
 def _wrapper_batch(wrappers: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string()), pa.nulls(len(wrappers), pa.int64()), pa.nulls(len(wrappers), pa.int64())], names=["host", "wrapper", "text", "n"])
+    texts = [json.dumps(prune(w, 2 * WRAPPER_NODES)) for w in wrappers.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array(texts, pa.string()), pa.array([w[1] for w in wrappers.values()], pa.int64())], names=["host", "wrapper", "pages"])
 
 
-def _thaw(w: list) -> list:
-    w[4] = {int(k): n for k, n in w[4].items()}
-    for c in w[5]:
-        _thaw(c)
-    return w
+NEW = ["text", "n_chars"]
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -419,27 +607,27 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     Null and empty html give ''. Pages without a host (null url, no ``://``) form a host of their own.
     Copies and near copies of a page that make up nearly all of a host stay whole: where template would be most of the
-    text, all of it is kept.
-    Rows stay as they are, repeated or not. Kept columns must not be called text or n_chars.
+    text, all of it is kept. Pages of any length are taken whole; elements nested deeper than DEEPEST count as part of the one there.
+    Rows stay as they are, repeated or not. A kept column with a new one's name comes out with ``_in`` behind it.
     """
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    wrappers = induce(pages, url_col, html_col)
-    size = wrappers.agg(F.coalesce(F.sum(F.length("rule") + F.length("host") + 64), F.lit(0))).first()[0]
-    side = wrappers.select(F.col("host").alias("_host"), F.col("rule").alias("_rule"))
-    rows = pages.select(*keep, host_of(F.coalesce(pages[url_col], F.lit(""))).alias("_host"), pages[html_col].alias("_html"))
-    joined = rows.join(F.broadcast(side) if 2 * size <= BROADCAST_BYTES else side, "_host", "left").select(*keep, "_html", "_rule")
-    schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    plain = Plain(pages, keep, NEW)
+    url, source = plain.at(url_col), plain.at(html_col)
+    side = induce(plain.rows, url, source).select(F.col("host").alias("_host"), F.col("rule").alias("_rule"))
+    size = side.agg(F.coalesce(F.sum(F.length("_rule") + F.length("_host") + 64), F.lit(0))).first()[0]
+    rows = plain.rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(plain.kept)], host_of(F.coalesce(F.col(url), F.lit(""))).alias("_host"), F.col(source).alias("_html"))
+    joined = rows.join(F.broadcast(side) if 2 * size <= BROADCAST_BYTES else side, "_host", "left").drop("_host")
+    schema = plain.schema(T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()))
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, dict | None] = {None: None}
+        known = _Known(Rule.load)
         for batch in batches:
             texts = []
-            for source, rule in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True):
-                if rule not in known:
-                    if len(known) > 10_000:
-                        known = {None: None}
-                    known[rule] = json.loads(rule)
-                texts.append(extract_text(source, known[rule]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+            for html, rule in zip(*batch.columns[-2:], strict=True):
+                html, rule = html.as_py(), rule.as_py()
+                texts.append(extract_text(html, known[rule]) if html and rule else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
+        trim()
 
     return joined.mapInArrow(run, schema)
