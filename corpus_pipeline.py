@@ -31,15 +31,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the one with the smallest doc_id, and one of the rows
-    that repeat its id. Rows without an id or without words stay."""
+    """Keep one document of each group of near duplicates: the one with the smallest doc_id, and of the rows
+    that repeat its id the one with the smallest digest of all columns. Rows without an id or without words stay."""
     groups = ngram_join.similar_components(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
     gone = materialise(groups.filter("component_id < doc_id").select("doc_id").distinct())
     repeated = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     left = docs.join(bounded(gone, 16), "doc_id", "left_anti")
     once = left.join(bounded(repeated, 16), "doc_id", "left_anti")
-    many = left.join(bounded(repeated, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(many).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    many = left.join(bounded(repeated, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("row")).select("row.*")
+    return once.unionByName(many).select(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,14 +65,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
     mixed = mixing.mix(plain, mixing.tempered(docs), id_col=at["doc_id"], source_col=at["source"])
-    return mixed.orderBy("slot", "place").select(*[F.col(at[c]).alias(c) for c in columns])
+    return mixed.orderBy("slot", "place").select(*[F.col(at[c]).alias(c) for c in columns])  # no input column is called slot or place now
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs`` but for the text, with n_pieces, ids and round_trip."""
-    clash = [c for c in ("n_pieces", "ids", "round_trip") if c in docs.columns]
-    model = sentencepiece_codec.PieceModel.load(PIECE_MODEL)
-    return sentencepiece_codec.encode(docs, model, keep=[c for c in docs.columns if c != "text" and c not in clash])
+    """The columns of ``docs`` but for the text, with n_pieces, ids and round_trip; own columns of these names come out with
+    ``_in`` behind them."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.PieceModel.load(PIECE_MODEL))
 
 
 STAGES = [
