@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import Plain, bounded, materialise
 
 #: Rows a bucket aims at while ranks are counted; a hot source is split into as many as it needs.
 BUCKET_ROWS = 4096
@@ -75,22 +75,24 @@ def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 64, resolution: i
     ``block``: of its source, from 0, ``block_rows`` rows each (the last may be smaller), rows in the
     order of a hash of the id. ``slot``: where the block stands. ``place``: of the row in its block.
     ``weights``: (source, weight), a row for each source; sources without one, or with null, NaN or
-    weights <= 0, get the smallest share. Null sources count as ''. Null ids go first by their hash; rows
-    with equal ids are interchangeable. Other columns of ``docs`` come along and must not be
-    called rank, block, slot or place, nor begin with an underscore. At most ``resolution`` sources are meant: the period is bounded by
-    ``resolution`` plus their number.
+    weights <= 0, get the smallest share. Null sources count as ''. Null ids go first by their hash; rows with equal ids are interchangeable. Other columns of ``docs`` come along; one called block, slot or place comes out with ``_in``
+    behind it. Texts aren't looked at. At most ``resolution`` sources are meant: the period is bounded by
+    ``resolution`` plus their number, and is scheduled in one task.
     """
-    rows = docs.withColumn("_mix_source", F.coalesce(F.col(source_col), F.lit("")))
+    plain = Plain(docs, docs.columns, ["block", "slot", "place"])
+    id_, source = plain.at(id_col), plain.at(source_col)
+    rows = plain.rows.withColumn("_mix_source", F.coalesce(F.col(source), F.lit("")))
     counts = rows.groupBy("_mix_source").agg(F.count("*").alias("n"))
     named = weights.select(F.coalesce("source", F.lit("")).alias("source"), "weight").groupBy("source").agg(F.max("weight").alias("weight"))
     known = counts.select(F.col("_mix_source").alias("source")).join(named, "source", "left")
-    slots = period(integer_weights(known, resolution)).withColumnRenamed("source", "_mix_source").withColumnRenamed("slot", "_slot")
-    out = ranked(rows, "_mix_source", F.col(id_col), counts)
+    slots = materialise(period(integer_weights(known, resolution)).withColumnRenamed("source", "_mix_source").withColumnRenamed("slot", "_slot"))
+    out = ranked(rows, "_mix_source", F.col(id_), counts)
     out = out.withColumns({"block": F.floor(F.col("rank") / block_rows), "place": (F.col("rank") % block_rows).cast("int")})
     share = slots.filter("nth = 0").select("_mix_source", F.col("share").alias("_share"), F.col("length").alias("_length"))
-    out = out.join(F.broadcast(share), "_mix_source").withColumn("_nth", (F.col("block") % F.col("_share")).cast("int"))
-    out = out.join(F.broadcast(slots.select("_mix_source", F.col("nth").alias("_nth"), "_slot")), ["_mix_source", "_nth"])
-    return out.withColumn("slot", F.floor(F.col("block") / F.col("_share")) * F.col("_length") + F.col("_slot")).select(*docs.columns, "block", "slot", "place")
+    out = out.join(bounded(share, 96), "_mix_source").withColumn("_nth", (F.col("block") % F.col("_share")).cast("int"))
+    out = out.join(bounded(slots.select("_mix_source", F.col("nth").alias("_nth"), "_slot"), 96), ["_mix_source", "_nth"])
+    slot = F.floor(F.col("block") / F.col("_share")) * F.col("_length") + F.col("_slot")
+    return out.select(*[F.col(c).alias(o) for c, o in zip(plain.kept, plain.out, strict=True)], "block", slot.alias("slot"), "place")
 
 
 def tempered(docs: DataFrame, power: float = 0.5, source_col: str = "source") -> DataFrame:

@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trim
+from .common import Plain, trim
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -317,11 +318,13 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: lis
 
     A null text has null ids, 0 pieces and a null round_trip; an empty one no ids. ``round_trip``: decoding gives the text
     back; false where the text itself holds the space mark U+2581, which stands for a space. Rows stay
-    as they are, repeated or not. Columns called n_pieces, ids or round_trip must not be kept.
+    as they are, repeated or not. A text of any length is taken whole. A kept column called n_pieces, ids or round_trip
+    comes out with ``_in`` behind it.
     """
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    docs = docs.select(*keep, docs[text_col].alias("_text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    plain = Plain(docs, [c for c in docs.columns if c != text_col] if keep is None else keep, ["n_pieces", "ids", "round_trip"])
+    rows = plain.rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(plain.kept)], F.col(plain.at(text_col)).alias("_text"))
+    schema = plain.schema(T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType()))
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, bytes] = {}
@@ -334,14 +337,14 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: lis
                 same = [None if t is None else model.decode(np.frombuffer(p, np.int32).tolist(), table) == t for t, p in zip(own, parts, strict=True)]
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
                 ids = _list_array(parts)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p or b"") // 4 for p in parts], pa.int64()), ids, pa.array(same, pa.bool_())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p or b"") // 4 for p in parts], pa.int64()), ids, pa.array(same, pa.bool_())], names=names)
                 del own, parts, same, columns, ids
             del batch, texts
             trim()
         cache.clear()
         trim()
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _spans(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -353,14 +356,15 @@ def _spans(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def decode(rows: DataFrame, model: PieceModel, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """``rows`` with the text of their ids; null ids give a null text."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
-    place = rows.columns.index(ids_col)
+    """``rows`` with the text of their ids; null ids give a null text. A column called ``out_col`` comes out with ``_in`` behind it."""
+    plain = Plain(rows, rows.columns, [out_col])
+    schema = plain.schema(T.StructField(out_col, T.StringType()))
+    names, place = schema.names, rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.decoder()
         for batch in batches:
             texts = [None if ids is None else model.decode(ids, table) for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return plain.rows.mapInArrow(run, schema)
