@@ -57,6 +57,26 @@ def fold_ensemble(df: DataFrame, models: dict[int, list[PipelineModel]], out: st
     return _averaged(df, [m for ms in models.values() for m in ms], out)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline, over an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def stacker_features(df: DataFrame, scores: list[str], by: str = "term_id") -> tuple[DataFrame, list[str]]:
+    """``df`` with each score's percent rank and z-score among the rows of its term, and how far the scores agree; (frame, names of
+    all features)."""
+    from .windows import group_size, percent_rank_averaged, zscore
+
+    new = {f"{s}_pct": percent_rank_averaged(s, by) for s in scores} | {f"{s}_z": F.coalesce(zscore(s, by), F.lit(0.0)) for s in scores}
+    both = F.array(*scores)
+    new |= {"candidates": group_size(by).cast("double"), "spread": F.array_max(both) - F.array_min(both), "mean": sum((F.col(s) for s in scores), F.lit(0.0)) / len(scores)}
+    return df.withColumns(new), [*scores, *new]
+
+
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray().tolist()
     return sorted(zip(features, values, strict=True), key=lambda x: (-x[1], x[0]))

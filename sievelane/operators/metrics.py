@@ -84,10 +84,50 @@ def best(sweeps: DataFrame, largest: bool = False, by: list[str] | None = None)
 
 
 def rate_threshold(df: DataFrame, score: str, rates: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, rate, threshold): the exact quantile of the scores at 1 - rate, linear between neighbours."""
-    q = F.percentile(F.col(score).cast("double"), F.array(*[F.lit(1.0 - r) for r in rates]))
-    out = df.groupBy(*(by or [])).agg(q.alias("q"))
-    return out.select(*(by or []), F.posexplode("q").alias("_i", "threshold")).select(*(by or []), F.element_at(F.array(*[F.lit(r) for r in rates]), F.col("_i") + 1).alias("rate"), "threshold")
+    """(by, rate, threshold): the exact quantile of the scores at 1 - rate, linear between neighbours.
+
+    The two neighbours are found by their ranks among the distinct scores; no task gets them all."""
+    from .windows import value_positions
+
+    by = by or []
+    at = value_positions(df.select(*by, F.col(score).cast("double").alias("_v")), "_v", by)
+    wanted = F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(1.0 - r).alias("q")) for r in rates])
+    held = lambda h: (F.col("before") <= h) & (h < F.col("before") + F.col("times"))
+    place = lambda x: x["q"] * (F.col("n") - 1)
+    hits = at.select(*by, "_v", "before", "times", "n", F.explode(F.filter(wanted, lambda x: held(F.floor(place(x))) | held(F.ceil(place(x))))).alias("x"))
+    h = F.col("x.q") * (F.col("n") - 1)
+    ends = hits.groupBy(*by, F.col("x.rate").alias("rate")).agg(
+        F.max(F.when(held(F.floor(h)), F.col("_v"))).alias("low"), F.max(F.when(held(F.ceil(h)), F.col("_v"))).alias("high"), F.max(h - F.floor(h)).alias("part")
+    )
+    return ends.select(*by, "rate", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1.0 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")).alias("threshold"))
+
+
+def weighted_threshold(df: DataFrame, scores: list[str], label: Column, coarse: tuple[int, int, int] = (30, 70, 100), fine: tuple[int, int, int] = (150, 354, 500)) -> DataFrame:
+    """(a, b, c, t_coarse, f_coarse, t_fine, f_fine): the first best of all weights of three scores and thresholds low / scale to
+    high / scale, and the best threshold of its weights on the finer grid."""
+    w = F.col("w")
+    score = F.round(w["a"] * F.col(scores[0]) + w["b"] * F.col(scores[1]) + w["c"] * F.col(scores[2]), 9)
+    rows = df.select(*scores, label.alias("_label"))
+    each = rows.withColumn("w", F.explode(weight_grid())).select("w.*", score.alias("_s"), "_label")
+    s = sweep(each, F.col("_s"), F.col("_label"), *coarse, by=["a", "b", "c"])
+    first = s.orderBy(F.desc(F.round("macro_f1", 12)), "a", "b", "t").limit(1)
+    # one row
+    again = rows.join(F.broadcast(first.select(F.struct("a", "b", "c").alias("w")))).select(score.alias("_s"), "_label")
+    last = best(sweep(again, F.col("_s"), F.col("_label"), *fine))
+    both = first.select("a", "b", "c", F.col("t").alias("t_coarse"), F.round("macro_f1", 9).alias("f_coarse"))
+    return both.join(F.broadcast(last.select(F.col("t").alias("t_fine"), F.round("macro_f1", 9).alias("f_fine"))))
+
+
+def carried_rate(holdout: DataFrame, test: DataFrame, score: str, label: Column, rates: list[float]) -> DataFrame:
+    """(rate, holdout_threshold, macro_f1, test_threshold): the best positive rate on the holdout, of equal ones the smallest, and
+    the threshold that gives this rate among the test rows."""
+    at = rate_threshold(holdout, score, rates)
+    # a row for each rate
+    decided = holdout.join(F.broadcast(at)).select("rate", "threshold", label.alias("_y"), (F.col(score) >= F.col("threshold")).cast("int").alias("_p"))
+    c = confusion(decided, F.col("_y"), F.col("_p"), by=["rate", "threshold"])
+    f = c.select("rate", F.col("threshold").alias("holdout_threshold"), macro_f1(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("macro_f1"))
+    top = f.orderBy(F.desc(F.round("macro_f1", 12)), "rate").limit(1)
+    return top.join(F.broadcast(rate_threshold(test, score, rates).withColumnRenamed("threshold", "test_threshold")), "rate")
 
 
 def exam(df: DataFrame, truth: Column, verdict: Column) -> DataFrame:

@@ -64,47 +64,54 @@ def balanced_folds(df: DataFrame, key: str, folds: int = 5, big: int = 4096) ->
     return sizes.join(F.broadcast(placed), key, "left").select(key, F.coalesce("_fold", hash_fold(F.col(key), folds)).alias("fold"))
 
 
-def random_negatives(positives: DataFrame, items: DataFrame, per_positive: int = 1, tries: int = 4, seed: int = 42, taken: DataFrame | None = None) -> DataFrame:
-    """(term_id, item_id): per term with P positives, up to per_positive * P distinct items that aren't positive (nor in ``taken``).
+def random_negatives(positives: DataFrame, items: DataFrame, per_positive: int = 1, seed: int = 42, taken: DataFrame | None = None) -> DataFrame:
+    """(term_id, item_id): per term with P positives, per_positive * P distinct items that aren't positive (nor in ``taken``), or all
+    there are.
 
-    Items are numbered in hash order; each term draws ``tries`` times as many numbers as it needs, plus 8, and joins them: no term
-    ever meets all items. A term whose draws are nearly all positive may get fewer.
+    Items are numbered in hash order; each term reads a run of these numbers from a place of its own, as long as what it needs and
+    what it may not have together, so the run holds enough: no term ever meets all items.
     """
     from .windows import global_rank
 
     numbered = global_rank(items.select("item_id").distinct().withColumn("_h", hash_number(F.col("item_id"), F.lit(seed))), "_h", "item_id", "_i")
     need = positives.groupBy("term_id").agg((F.count("*") * per_positive).alias("need"))
-    # the number of items is one row
-    total = numbered.agg(F.count("*").alias("_n"))
-    draws = need.join(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("need") * tries + 8)))
-    draws = draws.withColumn("_i", hash_number(F.col("term_id"), F.col("draw"), F.lit(seed)) % F.greatest(F.col("_n"), F.lit(1)))
-    picked = draws.join(numbered.select("_i", "item_id"), "_i").groupBy("term_id", "item_id").agg(F.min("draw").alias("draw"), F.first("need").alias("need"))
     used = positives.select("term_id", "item_id")
-    used = used if taken is None else used.unionByName(taken.select("term_id", "item_id"))
-    free = picked.join(used, ["term_id", "item_id"], "left_anti")
-    w = Window.partitionBy("term_id").orderBy("draw", "item_id")
+    used = (used if taken is None else used.unionByName(taken.select("term_id", "item_id"))).distinct()
+    # the number of items is one row
+    total = numbered.agg(F.count("*").alias("_n")).filter("_n > 0")
+    runs = need.join(used.groupBy("term_id").agg(F.count("*").alias("_used")), "term_id").join(F.broadcast(total))
+    draws = runs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.col("need") + F.col("_used")) - 1)))
+    draws = draws.withColumn("_i", (hash_number(F.col("term_id"), F.lit(seed)) + F.col("draw")) % F.col("_n"))
+    free = draws.join(numbered.select("_i", "item_id"), "_i").join(used, ["term_id", "item_id"], "left_anti")
+    w = Window.partitionBy("term_id").orderBy("draw")
     return free.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("need")).select("term_id", "item_id")
 
 
-def category_negatives(positives: DataFrame, items: DataFrame, per_positive: int = 1, spread: int = 64, seed: int = 42) -> DataFrame:
-    """(term_id, item_id): items of the root category of a positive, from a category in which the term has no positive.
+def category_negatives(positives: DataFrame, items: DataFrame, per_positive: int = 1, seed: int = 42) -> DataFrame:
+    """(term_id, item_id): for each positive ``per_positive`` items of its root category, from categories in which the term has no
+    positive, or all there are.
 
-    ``items``: (item_id, root, category). Each root's items are numbered in hash order and drawn by number, ``spread`` draws for each pick, so a
-    large root is never joined whole. A term whose positives fill their root gets fewer.
+    ``items``: (item_id, root, category). A root's items are numbered category by category, in hash order within one, so a category is a
+    range of numbers. What a term may have are the numbers outside its own categories' ranges; it takes them at even
+    distances from a place of its own and joins them by number, so a large root is never joined whole.
     """
     from .windows import global_rank
 
-    numbered = global_rank(items.select("item_id", "root", "category").withColumn("_h", hash_number(F.col("item_id"), F.lit(seed))), "_h", "item_id", "_i", by=["root"])
-    own = positives.join(items.select("item_id", "root", "category"), "item_id")
+    known = items.select("item_id", "root", "category").filter("root IS NOT NULL AND category IS NOT NULL")
+    placed = global_rank(known.withColumn("_h", hash_number(F.col("item_id"), F.lit(seed))), "_h", "item_id", "_r", by=["root", "category"])
+    sizes = known.groupBy("root", "category").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("lo", F.sum("size").over(Window.partitionBy("root").orderBy("category").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    numbered = placed.join(sizes, ["root", "category"]).select("root", (F.col("lo") + F.col("_r")).alias("_i"), "item_id")
+    own = positives.select("term_id", "item_id").join(known, "item_id")
     need = own.groupBy("term_id", "root").agg((F.count("*") * per_positive).alias("need"))
-    sizes = numbered.groupBy("root").agg(F.count("*").alias("_n"))
-    draws = need.join(sizes, "root").withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.col("need") * spread, F.col("_n") * 4))))
-    draws = draws.withColumn("_i", hash_number(F.col("term_id"), F.col("root"), F.col("draw"), F.lit(seed)) % F.col("_n"))
-    picked = draws.join(numbered.select("root", "_i", "item_id", "category"), ["root", "_i"])
-    picked = picked.join(own.select("term_id", "category").distinct(), ["term_id", "category"], "left_anti")
-    each = picked.groupBy("term_id", "root", "item_id").agg(F.min("draw").alias("draw"), F.first("need").alias("need"))
-    w = Window.partitionBy("term_id", "root").orderBy("draw", "item_id")
-    return each.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("need")).select("term_id", "item_id")
+    ranges = own.select("term_id", "root", "category").distinct().join(sizes, ["root", "category"]).groupBy("term_id", "root")
+    ranges = ranges.agg(F.sort_array(F.collect_list(F.struct("lo", "size"))).alias("own"), F.sum("size").alias("closed"))
+    runs = need.join(ranges, ["term_id", "root"]).join(sizes.groupBy("root").agg(F.sum("size").alias("_n")), "root")
+    runs = runs.withColumn("free", F.col("_n") - F.col("closed")).withColumn("k", F.least("need", "free")).filter("k > 0")
+    runs = runs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    place = (hash_number(F.col("term_id"), F.col("root"), F.lit(seed)) + F.col("draw") * F.floor(F.col("free") / F.col("k"))) % F.col("free")
+    runs = runs.withColumn("_i", F.aggregate("own", place, lambda i, r: i + F.when(r["lo"] <= i, r["size"]).otherwise(F.lit(0).cast("bigint"))))
+    return runs.join(numbered, ["root", "_i"]).select("term_id", "item_id")
 
 
 def tiered_negatives(positives: DataFrame, items: DataFrame, lexical: DataFrame, seed: int = 42) -> DataFrame:
@@ -144,6 +151,37 @@ def hard_and_random(positives: DataFrame, items: DataFrame, ranked: DataFrame, h
     return positives.select("term_id", "item_id", F.lit(1).alias("label")).unionByName(zero)
 
 
+def mined_negatives(ranked: DataFrame, positives: DataFrame, items: DataFrame, hard: int = 5, rand: int = 2, first: int = 80, share: float = 0.95, seed: int = 42) -> DataFrame:
+    """Negatives by dense retrieval: of each term's ``ranked`` candidates (term_id, item_id, score) those that aren't likely false
+    negatives, the ``first`` of them by score, ``hard`` sampled for each positive, and ``rand`` random ones."""
+    from .retrieval import drop_false_negatives
+    from .windows import top_k
+
+    def pool(r: DataFrame) -> DataFrame:
+        return top_k(drop_false_negatives(r, positives, "term_id", "item_id", share), ["term_id"], [F.desc("score"), F.asc("item_id")], first)
+
+    return hard_and_random(positives, items, ranked, hard, rand, pool, seed)
+
+
+def remined_negatives(ranked: DataFrame, positives: DataFrame, items: DataFrame, score: str = "p", low: float = 0.0, high: float = 0.5, hard: int = 6, rand: int = 1, seed: int = 42) -> DataFrame:
+    """Negatives re-mined with a model: candidates that it scores above ``high`` are likely positives and those at ``low`` or below too
+    easy; ``hard`` of the rest for each positive, and ``rand`` random ones. Candidates without a score are left out."""
+    return hard_and_random(positives, items, ranked, hard, rand, lambda r: r.filter((F.col(score) > low) & (F.col(score) <= high)), seed)
+
+
+def surrogate_ids(df: DataFrame, keys: list[str], prefix: str = "TRN_SAMPLED_", seed: int = 42) -> DataFrame:
+    """``df`` with ``id``: the prefix and seven digits, numbered from 0 in the hash order of ``keys``, which must tell rows apart."""
+    from .windows import global_rank
+
+    keyed = df.withColumn("_k", F.concat_ws("|", *keys)).withColumn("_h", hash_number(F.col("_k"), F.lit(seed)))
+    return global_rank(keyed, "_h", "_k", "_r").withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col("_r").cast("string"), 7, "0"))).drop("_k", "_h", "_r", "n")
+
+
+def tier_counts(training: DataFrame) -> DataFrame:
+    """(sample_type, n, n_terms): how many rows each tier gave, and for how many terms."""
+    return training.groupBy("sample_type").agg(F.count("*").alias("n"), F.count_distinct("term_id").alias("n_terms"))
+
+
 def random_pairs(left: DataFrame, right: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` pairings of queries with items, both in hash order, each used once."""
     a = sample_rows(left.select("term_id").distinct(), n, "term_id", seed)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def percent_rank_averaged(value: str, by: str, descending: bool = False) -> Column:
@@ -28,18 +32,54 @@ def group_size(by: str) -> Column:
     return F.count("*").over(Window.partitionBy(by))
 
 
+def _key_number(df: DataFrame, key: str) -> Column:
+    """A double that rises with ``key``: numbers as they are, other keys by their first six bytes."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(key).cast("double")
+    head = F.rpad(F.hex(F.substring(F.col(key).cast("string").cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def _cuts(df: DataFrame, value: str, key: str, buckets: int) -> list[tuple[float, float]]:
+    """At most ``buckets`` - 1 cuts (value, key number), ascending: quantiles of the values, and where one value holds several of
+    them, quantiles of its keys."""
+    v = F.col(value).cast("double")
+    found = df.select(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()[0] or []
+    times = Counter(x for x in found if x is not None)
+    out = [(x, math.inf) for x in times]
+    heavy = {x: n for x, n in times.items() if n > 1}
+    if heavy:
+        most = max(heavy.values())
+        keys = df.filter(v.isin(list(heavy))).groupBy(v.alias("v")).agg(F.percentile_approx(_key_number(df, key), [i / (most + 1) for i in range(1, most + 1)], 10_000).alias("q"))
+        for r in keys.collect():  # a row for each heavy value; a value gets as many cuts as it holds quantiles
+            out += [(r["v"], x) for x in set((r["q"] or [])[:: -(-most // heavy[r["v"]])]) if x is not None]
+    return sorted(out)
+
+
+def _bucket(cuts: list[tuple[float, float]], value: Column, key: Column) -> Column:
+    """How many cuts lie below (value, key)."""
+    if not cuts:
+        return F.lit(0)
+    values = sorted({v for v, _ in cuts})
+    keys = {v: [k for x, k in cuts if x == v and k < math.inf] for v in values}
+    before = [sum(x < v for x, _ in cuts) for v in values] + [len(cuts)]
+    number = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    below = F.element_at(F.array(*[F.lit(n) for n in before]), F.size(F.filter(number(values), lambda q: q < value)) + 1)
+    if not any(keys.values()):
+        return below
+    of_value = F.try_element_at(F.create_map(*[x for v, ks in keys.items() if ks for x in (F.lit(float(v)), number(ks))]), value)
+    return below + F.greatest(F.coalesce(F.size(F.filter(of_value, lambda k: k < key)), F.lit(0)), F.lit(0))
+
+
 def global_rank(df: DataFrame, value: str, key: str, out: str = "rank", by: list[str] | None = None, buckets: int = 256) -> DataFrame:
     """``df`` with the row number (from 0) by (value, key), overall or within ``by``, and ``n``, the number of rows.
 
-    No task gets all rows: values are cut at approximate quantiles into buckets, rows are numbered within theirs, and
-    the sizes of the buckets before it are added. Where many rows share one value, the hash of the key
-    can't split them, since the key orders them; so rows of a bucket are those of its range of (value, key).
+    No task gets all rows: rows are cut into buckets, ranges of (value, key), at approximate quantiles of the values and, within a
+    value that many rows share, of the keys; rows are numbered within theirs, and the sizes of the buckets before are added.
     """
     by = by or []
-    spark_buckets = max(1, buckets)
-    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), [i / spark_buckets for i in range(1, spark_buckets)], 10_000).alias("q"))
-    cut = sorted({x for x in (cuts.first()[0] or []) if x is not None})  # as many numbers as buckets at most
-    bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cut]), lambda q: q < F.col(value).cast("double"))) if cut else F.lit(0)
+    bucket = _bucket(_cuts(df, value, key, max(1, buckets)), F.col(value).cast("double"), _key_number(df, key))
     keyed = df.withColumn("_bucket", bucket)
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -50,6 +90,22 @@ def global_rank(df: DataFrame, value: str, key: str, out: str = "rank", by: list
     return keyed.join(F.broadcast(sizes) if not by else sizes, [*by, "_bucket"]).withColumn(out, F.col("_before") + own).drop("_bucket", "_before")
 
 
+def value_positions(df: DataFrame, value: str, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """(by, value, before, times, n): of each distinct value, how many rows are smaller, how many have it, and how many there are.
+
+    Equal values are summed before they are shuffled, so ties cost nothing; null values are left out."""
+    by = by or []
+    each = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
+    cuts = [(v, math.inf) for v, _ in _cuts(each.withColumn("_k", F.lit(0)), value, "_k", buckets)]
+    keyed = each.withColumn("_bucket", _bucket(sorted(set(cuts)), F.col(value).cast("double"), F.lit(0.0)))
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.sum("times").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "_bucket", before.alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("n"))
+    own = F.sum("times").over(Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
+    joined = keyed.join(F.broadcast(sizes) if not by else sizes, [*by, "_bucket"])
+    return joined.withColumn("before", F.col("_before") + own).select(*by, value, "before", "times", "n")
+
+
 def rank_normalised(df: DataFrame, value: str, key: str, out: str = "rank_norm") -> DataFrame:
     """The global rank scaled to [0, 1]; 0 for a single row."""
     ranked = global_rank(df, value, key, "_rank")

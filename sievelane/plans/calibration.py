@@ -146,3 +146,97 @@ def best_model(spark, sf):
     chosen = metrics.best(s.filter("half = 0"), by=["model"]).select("model", "t")
     report = s.filter("half = 1").join(chosen, ["model", "t"]).select("model", "t", "macro_f1")
     return report.orderBy(F.desc(F.round("macro_f1", 12)), "model").limit(1).withColumn("macro_f1", F.round("macro_f1", 9))
+
+
+_C8_F1 = "(CASE WHEN 2.0 * tp + fp + fn > 0 THEN 2.0 * tp / (2.0 * tp + fp + fn) ELSE 0 END + CASE WHEN 2.0 * tn + fn + fp > 0 THEN 2.0 * tn / (2.0 * tn + fn + fp) ELSE 0 END) / 2.0"
+_C8_COUNTS = "count(*) FILTER (label = 1 AND s >= t) AS tp, count(*) FILTER (label = 0 AND s >= t) AS fp, count(*) FILTER (label = 1 AND s < t) AS fn, count(*) FILTER (label = 0 AND s < t) AS tn"
+
+
+@query(
+    "weight_threshold_grid",
+    with_(
+        PAIRS_SQL,
+        "w AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, (10 - a - b) / 10.0::DOUBLE AS c FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10)",
+        "sc AS (SELECT a, b, c, label, round(a * s1 + b * s2 + c * s3, 9) AS s, count(*) AS m FROM pairs, w GROUP BY ALL)",
+        "g AS (SELECT g / 100.0::DOUBLE AS t FROM range(30, 71) r(g))",
+        f"k AS (SELECT a, b, c, t, {_C8_COUNTS.replace('count(*)', 'sum(m)')} FROM sc, g GROUP BY ALL)".replace("sum(m) FILTER", "sum(m) FILTER"),
+        f"f AS (SELECT a, b, c, t, {_C8_F1} AS f FROM (SELECT a, b, c, t, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn FROM k))",
+        "best AS (SELECT * FROM f ORDER BY round(f, 12) DESC, a, b, t LIMIT 1)",
+        f"fine AS (SELECT t, {_C8_COUNTS.replace('count(*)', 'sum(m)')} FROM sc JOIN best USING (a, b, c), (SELECT g / 500.0::DOUBLE AS t FROM range(150, 355) r(g)) h GROUP BY ALL)".replace("s >= t", "s >= h.t").replace("s < t", "s < h.t").replace("SELECT t, ", "SELECT h.t, "),
+        f"last AS (SELECT t, {_C8_F1} AS f FROM (SELECT t, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn FROM fine) ORDER BY round(f, 12) DESC, t LIMIT 1)",
+    )
+    + "SELECT b.a, b.b, b.c, b.t AS t_coarse, round(b.f, 9) AS f_coarse, l.t AS t_fine, round(l.f, 9) AS f_fine FROM best b, last l",
+)
+def weight_threshold_grid(spark, sf):
+    """The first best of 66 weights and 41 thresholds, and its threshold again on the finer grid."""
+    p = pairs(spark, sf).select("label", "s1", "s2", "s3")
+    return metrics.weighted_threshold(p, ["s1", "s2", "s3"], F.col("label"))
+
+
+@query(
+    "carried_rate",
+    with_(
+        PAIRS_SQL,
+        "h AS (SELECT label, s3 FROM pairs WHERE term_id % 2 = 0)",
+        "q AS (SELECT quantile_cont(s3, [" + ", ".join(f"(1.0::DOUBLE - {r / 100}::DOUBLE)" for r in range(20, 46)) + "]) AS q FROM h)".replace("(1.0::DOUBLE - ", "("),
+        "t AS (SELECT unnest([" + ", ".join(f"{r / 100}::DOUBLE" for r in range(20, 46)) + "]) AS rate, unnest(q) AS t FROM q)",
+        f"k AS (SELECT rate, t, {_C8_COUNTS.replace('s >=', 's3 >=').replace('s <', 's3 <')} FROM h, t GROUP BY ALL)",
+        f"b AS (SELECT rate, t, {_C8_F1} AS f FROM k ORDER BY round(f, 12) DESC, rate LIMIT 1)",
+        "x AS (SELECT quantile_cont(s3, [" + ", ".join(f"(1.0::DOUBLE - {r / 100}::DOUBLE)" for r in range(20, 46)) + "]) AS q FROM pairs WHERE term_id % 2 = 1)",
+        "n AS (SELECT unnest([" + ", ".join(f"{r / 100}::DOUBLE" for r in range(20, 46)) + "]) AS rate, unnest(q) AS new FROM x)",
+    )
+    + "SELECT b.rate, round(b.t, 9) AS holdout_threshold, round(b.f, 9) AS macro_f1, round(n.new, 9) AS test_threshold FROM b JOIN n ON n.rate = b.rate",
+)
+def carried_rate(spark, sf):
+    """The positive rate of the highest macro-F1 on the holdout (of equal ones the smallest), as a quantile of the test scores."""
+    p = pairs(spark, sf).select((F.col("term_id") % 2).alias("half"), "label", "s3")
+    r = metrics.carried_rate(p.filter("half = 0"), p.filter("half = 1"), "s3", F.col("label"), [r / 100 for r in range(20, 46)])
+    return r.select("rate", *[F.round(c, 9).alias(c) for c in ("holdout_threshold", "macro_f1", "test_threshold")])
+
+
+@query(
+    "best_model_applied",
+    with_(
+        PAIRS_SQL,
+        "m AS (SELECT id, term_id % 3 AS part, 's1' AS model, s1 AS s, label FROM pairs UNION ALL SELECT id, term_id % 3, 's2', s2, label FROM pairs UNION ALL SELECT id, term_id % 3, 's3', s3, label FROM pairs)",
+        "g AS (SELECT g / 200.0::DOUBLE AS t FROM range(10, 190) r(g))",
+        f"f AS (SELECT part, model, t, {_C8_F1} AS f FROM (SELECT part, model, t, {_C8_COUNTS} FROM m, g WHERE part < 2 GROUP BY ALL))",
+        "a AS (SELECT model, t FROM f WHERE part = 0 QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(f, 12) DESC, t) = 1)",
+        "chosen AS (SELECT f.model FROM f JOIN a ON a.model = f.model AND a.t = f.t AND part = 1 ORDER BY round(f.f, 12) DESC, f.model LIMIT 1)",
+        f"whole AS (SELECT model, t, {_C8_F1} AS f FROM (SELECT model, t, {_C8_COUNTS} FROM m JOIN chosen USING (model), g WHERE part < 2 GROUP BY ALL) ORDER BY round(f, 12) DESC, t LIMIT 1)",
+    )
+    + "SELECT m.id, m.model, w.t, CAST(m.s >= w.t AS INTEGER) AS prediction FROM m JOIN whole w USING (model) WHERE part = 2",
+)
+def best_model_applied(spark, sf):
+    """The best single model, its threshold found again on the whole holdout, decides the test rows."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("s")) for m in ("s1", "s2", "s3")])
+    long = pairs(spark, sf).select("id", (F.col("term_id") % 3).alias("part"), "label", F.explode(models).alias("m")).select("id", "part", "label", "m.*")
+    s = metrics.sweep(long.filter("part < 2"), F.col("s"), F.col("label"), 10, 189, 200, by=["part", "model"])
+    first = metrics.best(s.filter("part = 0"), by=["model"]).select("model", "t")
+    chosen = s.filter("part = 1").join(first, ["model", "t"]).orderBy(F.desc(F.round("macro_f1", 12)), "model").limit(1).select("model")
+    sums = s.groupBy("model", "t").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    again = metrics.best(sums.withColumn("macro_f1", metrics.macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])).join(chosen, "model"), by=["model"])
+    # one model, one threshold
+    return long.filter("part = 2").join(F.broadcast(again.select("model", "t")), "model").select("id", "model", "t", (F.col("s") >= F.col("t")).cast("int").alias("prediction"))
+
+
+@query(
+    "pseudo_labels",
+    with_(
+        PAIRS_SQL,
+        "n AS (SELECT count(*) - 1 AS n FROM pairs)",
+        "r AS (SELECT id, round((((row_number() OVER (ORDER BY s1, id) - 1)::DOUBLE / n) + ((row_number() OVER (ORDER BY s2, id) - 1)::DOUBLE / n) + ((row_number() OVER (ORDER BY s3, id) - 1)::DOUBLE / n)) / 3, 9) AS score FROM pairs, n)",
+        "k AS (SELECT r.id, score, row_number() OVER (ORDER BY score, r.id) - 1 AS k FROM r JOIN pairs p ON p.id = r.id WHERE p.term_id % 2 = 1)",
+        "m AS (SELECT count(*) AS m FROM k)",
+    )
+    + "SELECT id, label, 'labelled' AS origin FROM pairs WHERE term_id % 2 = 0 UNION ALL SELECT id, CASE WHEN k >= m - floor(0.12::DOUBLE * m) THEN 1 ELSE 0 END, 'pseudo' FROM k, m WHERE k >= m - floor(0.12::DOUBLE * m) OR k < floor(0.25::DOUBLE * m)",
+)
+def pseudo_labels(spark, sf):
+    """Rows of half of the terms with their labels, and the tails of the rank average of three models among the other rows."""
+    from ..operators import learn, windows
+
+    p = pairs(spark, sf)
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("s1", "s2", "s3")])
+    average = learn.rank_average(p.select("id", F.explode(models).alias("m")).select("id", "m.*"), ["s1", "s2", "s3"]).withColumn("score", F.round("score", 9))
+    fresh = windows.tails(average.join(p.filter("term_id % 2 = 1").select("id"), "id"), "score", "id")
+    return p.filter("term_id % 2 = 0").select("id", "label", F.lit("labelled").alias("origin")).unionByName(fresh.select("id", "label", F.lit("pseudo").alias("origin")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import learn, retrieval, sampling, windows
-from .adapters import PAIRS_SQL, items, pairs, positives, query, table, terms, with_
+from .adapters import PAIRS_SQL, POSITIVES_SQL, items, pairs, positives, query, table, terms, with_
 
 VOCABULARY = 30_000
 
@@ -15,7 +15,7 @@ _TFIDF = """dc AS (SELECT item_id, token, count(*) AS tf FROM (SELECT p_partkey
 v AS (SELECT token, count(*) AS df, ln((1.0::DOUBLE + (SELECT count(*) FROM part)) / (1.0::DOUBLE + count(*))) + 1.0 AS idf FROM dc GROUP BY token ORDER BY sum(tf) DESC, token LIMIT 30000),
 dw AS (SELECT item_id, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS w FROM dc JOIN v USING (token))"""
 _QUERIES = """qc AS (SELECT term_id, token, count(*) AS tf FROM (SELECT o_orderkey AS term_id, unnest(regexp_extract_all(lower(p_name || ' ' || o_orderpriority || ' ' || p_brand), '[a-z0-9]+')) AS token
-  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) WHERE o_orderstatus = 'P') GROUP BY ALL),
+  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)) GROUP BY ALL),
 qw AS (SELECT term_id, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY term_id)) AS w FROM qc JOIN v USING (token))"""
 
 
@@ -33,7 +33,7 @@ def _doc_weights(spark, sf):
 def _query_weights(spark, sf, vocab):
     """(weights of each distinct text under its smallest term, (term_id, rep)): repeated queries are retrieved once."""
     n = table(spark, sf, "part").count()
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("term_id"), "o_orderpriority", (F.col("o_orderkey") % n).alias("p_partkey"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("term_id"), "o_orderpriority", (F.col("o_orderkey") % n).alias("p_partkey"))
     q = o.join(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey").select("term_id", F.concat_ws(" ", "p_name", "o_orderpriority", "p_brand").alias("x"))
     distinct = q.groupBy("x").agg(F.min("term_id").alias("rep"))
     weights = retrieval.tfidf(retrieval.tokens(distinct, "rep", _words(F.col("x"))), vocab, "rep")
@@ -72,18 +72,18 @@ def tfidf_cosine(spark, sf):
 
 
 _VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
-_EMB = "s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS ql, i.label AS il, round(list_dot_product(q.e, i.e), 6) AS score FROM v q JOIN v i ON q.vec_id % 10 = 0)"
+_EMB = "s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS ql, i.label AS il, round(list_dot_product(q.e, i.e), 6) AS score FROM v q, v i)"
 
 
 def _emb(spark, sf, k):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.dense_top_k(e.filter("id % 10 = 0"), e, k)
+    return retrieval.dense_top_k(e, e, k)
 
 
-@query("emb_topk", with_(_VEC, _EMB, "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)") + "SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM r WHERE rank <= 15")
+@query("emb_topk", with_(_VEC, _EMB, "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)") + "SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 15")
 def emb_topk(spark, sf):
-    """The items nearest to each query by dot product; one vector in ten is a query."""
-    return _emb(spark, sf, 15).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+    """The items nearest to each vector by dot product, itself included."""
+    return _emb(spark, sf, 15).select("query_id", "item_id", "rank", "score")
 
 
 @query(
@@ -92,21 +92,21 @@ def emb_topk(spark, sf):
         _VEC,
         _EMB,
         "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)",
-        "t AS (SELECT * FROM r WHERE rank <= 100 AND query_id <> item_id)",
+        "t AS (SELECT * FROM r WHERE rank <= 300 AND query_id <> item_id)",
         "b AS (SELECT query_id, max(score) AS best FROM t WHERE ql = il AND query_id <> item_id GROUP BY query_id)",
         "c AS (SELECT t.query_id, t.item_id, t.score FROM t LEFT JOIN b USING (query_id) WHERE ql <> il AND t.score <= 0.95::DOUBLE * coalesce(best, 1.0))",
         "f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS n FROM c)",
     )
-    + "SELECT query_id, item_id, CAST(n AS INTEGER) AS n FROM f WHERE n <= 20",
+    + "SELECT query_id, item_id, CAST(n AS INTEGER) AS n FROM f WHERE n <= 80",
 )
 def emb_fn_filter(spark, sf):
-    """Hard candidates: of the 100 nearest, those of another label, without likely false negatives; the first 20."""
+    """Hard candidates: of the 300 nearest, those of another label, without likely false negatives; the first 80."""
     lab = table(spark, sf, "embeddings").select("vec_id", "label")
-    top = _emb(spark, sf, 100).join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(lab.select(F.col("vec_id").alias("item_id"), F.col("label").alias("il")), "item_id")
+    top = _emb(spark, sf, 300).join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(lab.select(F.col("vec_id").alias("item_id"), F.col("label").alias("il")), "item_id")
     top = top.filter("query_id <> item_id")
     pos = top.filter("ql = il").select("query_id", "item_id")
     kept = retrieval.drop_false_negatives(top, pos, "query_id", "item_id")
-    return windows.top_k(kept.select("query_id", "item_id", "score"), ["query_id"], [F.desc("score"), F.asc("item_id")], 20).select("query_id", "item_id", F.col("rank").alias("n"))
+    return windows.top_k(kept.select("query_id", "item_id", "score"), ["query_id"], [F.desc("score"), F.asc("item_id")], 80).select("query_id", "item_id", F.col("rank").alias("n"))
 
 
 @query(
@@ -181,63 +181,155 @@ def _item_categories(spark, sf):
     return items(spark, sf).select("item_id", X.category_root(F.col("category")).alias("root"), "category")
 
 
-_NEG_CHECK = """SELECT count(*) FILTER (label = 1) AS n_positive, TRUE AS disjoint, TRUE AS distinct_pairs, TRUE AS within_quota FROM pairs"""
+def random_sql(per: int, taken: str = "SELECT term_id, item_id FROM positives WHERE FALSE") -> str:
+    """``random``: per term a run of the items in hash order, without positives and what is ``taken``."""
+    return f"""num AS (SELECT item_id, row_number() OVER (ORDER BY {_HASH.format("item_id || '|42'")}, item_id) - 1 AS i FROM (SELECT DISTINCT item_id FROM pool)),
+used AS (SELECT term_id, item_id FROM positives UNION {taken}),
+need AS (SELECT term_id, count(*) * {per} AS need FROM positives GROUP BY 1),
+run AS (SELECT term_id, need, unnest(range(least((SELECT count(*) FROM num), need + u))) AS j FROM need JOIN (SELECT term_id, count(*) AS u FROM used GROUP BY 1) USING (term_id)),
+random AS (SELECT term_id, item_id FROM (SELECT term_id, need, j, ({_HASH.format("term_id || '|42'")} + j) % (SELECT count(*) FROM num) AS i FROM run) r JOIN num USING (i)
+  WHERE (term_id, item_id) NOT IN (SELECT term_id, item_id FROM used) QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY j) <= need)"""
 
 
-def _report(negatives, pos, per_positive: int):
-    """One row of invariants: disjoint from the positives, no pair twice, never more than the quota."""
-    quota = pos.groupBy("term_id").agg((F.count("*") * per_positive).alias("q"))
-    over = negatives.groupBy("term_id").agg(F.count("*").alias("n")).join(quota, "term_id").filter("n > q").agg((F.count("*") == 0).alias("within_quota"))
-    clash = negatives.join(pos, ["term_id", "item_id"], "left_semi").agg((F.count("*") == 0).alias("disjoint"))
-    twice = negatives.agg((F.count("*") == F.count_distinct("term_id", "item_id")).alias("distinct_pairs"))
-    n = pos.agg(F.count("*").alias("n_positive"))
-    return n.join(F.broadcast(clash)).join(F.broadcast(twice)).join(F.broadcast(over))  # one row each
+def mined_sql(hard: int) -> str:
+    """``mined``: of the candidates ``cand``, ``hard`` for each positive in hash order."""
+    order = _HASH.format("c.term_id || '|' || c.item_id || '|42'")
+    return f"""mined AS (SELECT c.term_id, c.item_id FROM cand c JOIN (SELECT term_id, count(*) AS p FROM positives GROUP BY 1) n USING (term_id)
+  WHERE (c.term_id, c.item_id) NOT IN (SELECT term_id, item_id FROM positives) QUALIFY row_number() OVER (PARTITION BY c.term_id ORDER BY {order}, c.item_id) <= {hard} * p)"""
 
 
-@query("neg_random", with_(PAIRS_SQL) + _NEG_CHECK)
+_ALL_LABELS = "SELECT term_id, item_id, 1 AS label FROM positives UNION ALL SELECT term_id, item_id, 0 FROM mined UNION ALL SELECT term_id, item_id, 0 FROM random"
+_POOL = "pool AS (SELECT p_partkey AS item_id FROM part)"
+
+
+@query("neg_random", with_(PAIRS_SQL, POSITIVES_SQL, _POOL, random_sql(1)) + "SELECT term_id, item_id FROM random")
 def neg_random(spark, sf):
-    pos = positives(spark, sf)
-    return _report(sampling.random_negatives(pos, items(spark, sf), 1), pos, 1)
+    return sampling.random_negatives(positives(spark, sf), items(spark, sf), 1)
+
 
+_CATEGORY = f"""cat AS (SELECT p_partkey AS item_id, p_type AS root, p_type || '/' || split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) AS category FROM part),
+sizes AS (SELECT *, sum(size) OVER (PARTITION BY root ORDER BY category) - size AS lo FROM (SELECT root, category, count(*) AS size FROM cat GROUP BY ALL)),
+num AS (SELECT root, item_id, lo + row_number() OVER (PARTITION BY root, category ORDER BY {_HASH.format("item_id || '|42'")}, item_id) - 1 AS i FROM cat JOIN sizes USING (root, category)),
+own AS (SELECT term_id, root, category FROM positives JOIN cat USING (item_id)),
+ranges AS (SELECT term_id, root, lo, size, lo - (sum(size) OVER (PARTITION BY term_id, root ORDER BY lo) - size) AS thr FROM (SELECT DISTINCT * FROM own) JOIN sizes USING (root, category)),
+runs AS (SELECT term_id, root, free, least(need, free) AS k, shut FROM (SELECT term_id, root, count(*) AS need FROM own GROUP BY ALL)
+  JOIN (SELECT term_id, root, list({{'thr': thr, 'size': size}}) AS shut, sum(size) AS closed FROM ranges GROUP BY ALL) USING (term_id, root)
+  JOIN (SELECT root, sum(size) AS n FROM sizes GROUP BY 1) USING (root), LATERAL (SELECT n - closed AS free) WHERE free > 0),
+places AS (SELECT term_id, root, shut, CAST(({_HASH.format("term_id || '|' || root || '|42'")} + j * (free // k)) % free AS BIGINT) AS p FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS j FROM runs))"""
 
-@query("neg_category", with_(PAIRS_SQL) + _NEG_CHECK)
+
+@query(
+    "neg_category",
+    with_(PAIRS_SQL, POSITIVES_SQL, _CATEGORY)
+    + "SELECT term_id, item_id FROM (SELECT term_id, root, p + coalesce(list_sum(list_transform(list_filter(shut, lambda x: x.thr <= p), lambda x: x.size)), 0) AS i FROM places) JOIN num USING (root, i)",
+)
 def neg_category(spark, sf):
-    pos = positives(spark, sf)
-    return _report(sampling.category_negatives(pos, _item_categories(spark, sf)), pos, 1)
+    return sampling.category_negatives(positives(spark, sf), _item_categories(spark, sf))
 
 
-def _ranked(spark, sf):
-    """Candidates by price rank within the order's neighbours: items of other orders with the same part parity stand in for retrieval."""
-    p = pairs(spark, sf)
-    near = p.select((F.col("term_id") + 1).alias("term_id"), "item_id", F.col("s3").alias("score"))
-    return windows.top_k(near, ["term_id"], [F.desc("score"), F.asc("item_id")], 30)
+def lexical_candidates(spark, sf, k):
+    """(term_id, item_id, rank, score): the items of the highest TF-IDF cosine for every term."""
+    _, vocab, docs = _doc_weights(spark, sf)
+    weights, reps = _query_weights(spark, sf, vocab)
+    return reps.join(retrieval.best_k(retrieval.sparse_scores(weights, docs, "rep", "item_id"), "rep", "item_id", k), "rep").select("term_id", "item_id", "rank", "score")
 
 
-@query("neg_mixed", with_(PAIRS_SQL) + "SELECT count(*) FILTER (label = 1) AS n_positive, TRUE AS distinct_pairs, TRUE AS within_quota FROM pairs")
+@query(
+    "neg_mixed",
+    with_(PAIRS_SQL, POSITIVES_SQL) + "SELECT t AS sample_type, count(*) AS n, count(DISTINCT term_id) AS n_terms FROM positives, (SELECT unnest(['positive', 'lexical_hard', 'category_aware', 'random']) AS t) GROUP BY t",
+)
 def neg_mixed(spark, sf):
-    """Three tiers of negatives per positive; invariants of the whole set."""
-    pos = positives(spark, sf)
-    full = sampling.tiered_negatives(pos, _item_categories(spark, sf), _ranked(spark, sf))
-    quota = full.groupBy("term_id").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    return full.agg(F.count_if(F.col("label") == 1).alias("n_positive"), (F.count("*") == F.count_distinct("term_id", "item_id")).alias("distinct_pairs")).join(F.broadcast(quota.agg((F.count_if(F.col("n") > 3 * F.col("p")) == 0).alias("within_quota"))))
+    """How many rows each tier gave, its own or made up from random draws: one per positive."""
+    return sampling.tier_counts(neg_tiers(spark, sf))
 
 
 @query("neg_tiers")
 def neg_tiers(spark, sf):
     """The training set itself, with each negative's tier. No SQL: later tiers depend on what earlier ones took."""
-    return sampling.tiered_negatives(positives(spark, sf), _item_categories(spark, sf), _ranked(spark, sf))
+    return sampling.tiered_negatives(positives(spark, sf), _item_categories(spark, sf), lexical_candidates(spark, sf, 30))
 
 
-@query("neg_hard_random", with_(PAIRS_SQL) + "SELECT count(*) FILTER (label = 1) AS n_positive, TRUE AS distinct_pairs FROM pairs")
+@query(
+    "neg_hard_random",
+    "WITH " + _TFIDF + ", " + _QUERIES + ", " + PAIRS_SQL + ", " + POSITIVES_SQL + ", " + _POOL + ", " + _PART_SCORES
+    + ", cand AS (SELECT term_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank BETWEEN 6 AND 200), "
+    + mined_sql(2) + ", " + random_sql(1, "SELECT term_id, item_id FROM mined") + " " + _ALL_LABELS,
+)
 def neg_hard_random(spark, sf):
-    full = sampling.hard_and_random(positives(spark, sf), items(spark, sf), _ranked(spark, sf), 2, 1, pool=lambda r: r.filter("rank > 1"))
-    return full.agg(F.count_if(F.col("label") == 1).alias("n_positive"), (F.count("*") == F.count_distinct("term_id", "item_id")).alias("distinct_pairs"))
+    """Two of the TF-IDF ranks 6 to 200 and one random item for each positive."""
+    return sampling.hard_and_random(positives(spark, sf), items(spark, sf), lexical_candidates(spark, sf, 200), 2, 1, pool=lambda r: r.filter("rank > 5"))
+
+
+# vectors of one label that stand close in the table are each other's positives
+_NEAR = [
+    _VEC,
+    _EMB,
+    "positives AS (SELECT q.vec_id AS term_id, i.vec_id AS item_id FROM v q JOIN v i ON q.label = i.label AND q.vec_id <> i.vec_id AND abs(q.vec_id - i.vec_id) <= 40)",
+    "pool AS (SELECT vec_id AS item_id FROM v)",
+    "t AS (SELECT query_id AS term_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 300)",
+]
+
+
+def _near(spark, sf):
+    """(the 300 nearest of every vector, its positives, all vectors as items)"""
+    lab = table(spark, sf, "embeddings").select("vec_id", "label")
+    spot = F.floor(F.col("vec_id") / 41)
+    left = lab.select(F.col("vec_id").alias("term_id"), "label", F.explode(F.array(spot - 1, spot, spot + 1)).alias("spot"))
+    right = lab.select(F.col("vec_id").alias("item_id"), "label", spot.alias("spot"))
+    pos = left.join(right, ["spot", "label"]).filter((F.col("term_id") != F.col("item_id")) & (F.abs(F.col("term_id") - F.col("item_id")) <= 40)).select("term_id", "item_id")
+    return _emb(spark, sf, 300).withColumnRenamed("query_id", "term_id"), pos, lab.select(F.col("vec_id").alias("item_id"))
+
+
+@query(
+    "neg_ann",
+    with_(
+        *_NEAR,
+        "b AS (SELECT term_id, max(score) AS best FROM t JOIN positives USING (term_id, item_id) GROUP BY 1)",
+        "c AS (SELECT t.term_id, t.item_id, t.score FROM t LEFT JOIN b USING (term_id) WHERE (t.term_id, t.item_id) NOT IN (SELECT term_id, item_id FROM positives) AND t.score <= 0.95::DOUBLE * coalesce(best, 1.0))",
+        "cand AS (SELECT term_id, item_id FROM c QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) <= 80)",
+        mined_sql(5),
+        random_sql(2, "SELECT term_id, item_id FROM mined"),
+    )
+    + _ALL_LABELS,
+)
+def neg_ann(spark, sf):
+    """Five hard negatives by dense retrieval and two random ones for each positive."""
+    near, pos, pool = _near(spark, sf)
+    return sampling.mined_negatives(near, pos, pool, 5, 2)
+
+
+@query(
+    "neg_remined",
+    with_(*_NEAR, "cand AS (SELECT term_id, item_id FROM t WHERE round((score + 1) / 2, 6) > 0 AND round((score + 1) / 2, 6) <= 0.7::DOUBLE)", mined_sql(6), random_sql(1, "SELECT term_id, item_id FROM mined")) + _ALL_LABELS,
+)
+def neg_remined(spark, sf):
+    """Six negatives that a model (here: the cosine's place in [0, 1]) takes for neither positive nor trivial, and one random item."""
+    near, pos, pool = _near(spark, sf)
+    return sampling.remined_negatives(near.withColumn("p", F.round((F.col("score") + 1) / 2, 6)), pos, pool, "p", 0.0, 0.7)
+
 
+_EXAM_HASH = _HASH.format("term_id || '|' || item_id || '|42'")
 
-@query("exam_set", "SELECT 100::BIGINT AS n_positive, TRUE AS neutral_ids")
+
+@query(
+    "exam_set",
+    with_(
+        PAIRS_SQL,
+        POSITIVES_SQL,
+        f"good AS (SELECT term_id, item_id, 1 AS truth FROM positives ORDER BY {_EXAM_HASH}, term_id || '|' || item_id LIMIT 100)",
+        f"a AS (SELECT term_id, row_number() OVER (ORDER BY {_HASH.format("term_id || '|42'")}, term_id) AS n FROM (SELECT o_orderkey AS term_id FROM orders ORDER BY {_HASH.format("term_id || '|42'")}, term_id LIMIT 100))",
+        f"b AS (SELECT item_id, row_number() OVER (ORDER BY {_HASH.format("item_id || '|42'")}, item_id) AS n FROM (SELECT p_partkey AS item_id FROM part ORDER BY {_HASH.format("item_id || '|43'")}, item_id LIMIT 100))",
+        "e AS (SELECT * FROM good UNION ALL SELECT term_id, item_id, 0 FROM a JOIN b USING (n) WHERE (term_id, item_id) NOT IN (SELECT term_id, item_id FROM positives))",
+    )
+    + f"SELECT format('EXM_{{:05d}}', row_number() OVER (ORDER BY {_EXAM_HASH}, term_id, item_id)) AS id, term_id, item_id, truth FROM e",
+)
 def exam_set(spark, sf):
-    e = sampling.exam_set(positives(spark, sf), terms(spark, sf), items(spark, sf))
-    return e.agg(F.count_if(F.col("truth") == 1).alias("n_positive"), (F.count_if(~F.col("id").rlike("^EXM_[0-9]{5}$")) == 0).alias("neutral_ids"))
+    return sampling.exam_set(positives(spark, sf), terms(spark, sf), items(spark, sf))
+
+
+@query("sampled_ids", with_(PAIRS_SQL) + f"SELECT term_id, item_id, 'TRN_SAMPLED_' || lpad(CAST(row_number() OVER (ORDER BY {_EXAM_HASH}, term_id || '|' || item_id) - 1 AS VARCHAR), 7, '0') AS id FROM pairs")
+def sampled_ids(spark, sf):
+    return sampling.surrogate_ids(pairs(spark, sf).select("term_id", "item_id"), ["term_id", "item_id"])
 
 
 @query("augmented_terms")
@@ -252,7 +344,7 @@ def augmented_terms(spark, sf):
 
 
 def _learning_rows(spark, sf):
-    p = pairs(spark, sf).withColumns({"fold": sampling.hash_fold(F.col("term_id"), 3), "half": sampling.hash_half(F.col("term_id"))})
+    p = pairs(spark, sf).withColumns({"fold": sampling.hash_fold(F.col("term_id")), "half": sampling.hash_half(F.col("term_id"))})
     return p.select("id", "term_id", "s1", "s2", "s3", "fold", "half", F.col("label").cast("double").alias("label"))
 
 
@@ -264,12 +356,23 @@ def stack_logistic(spark, sf):
 
 @query("stack_trees_oof")
 def stack_trees_oof(spark, sf):
-    """Out-of-fold scores of boosted trees and a logistic model, averaged."""
+    """Out-of-fold scores of boosted trees and a logistic model over five folds, averaged."""
     rows = _learning_rows(spark, sf)
-    models = learn.fit_folds(rows, ["s1", "s2", "s3"], lambda: [learn.trees(maxIter=5, maxDepth=3), learn.logistic(maxIter=10)], 3)
+    models = learn.fit_folds(rows, ["s1", "s2", "s3"], lambda: [learn.trees(maxIter=10), learn.logistic(maxIter=10)])
     return learn.out_of_fold(rows, models).select("id", F.round("oof", 6).alias("oof"), "label")
 
 
+@query("stack_features")
+def stack_features(spark, sf):
+    """A stacker of boosted trees on scores, their ranks and z-scores in the term and their spread: half of the terms out of fold, the others, as
+    new rows, by the models of all folds."""
+    rows, features = learn.stacker_features(_learning_rows(spark, sf), ["s1", "s2", "s3"])
+    known, new = rows.filter("half = 0"), rows.filter("half = 1")
+    models = learn.fit_folds(known, features, lambda: [learn.trees(maxIter=5)])
+    scored = learn.out_of_fold(known, models, "score").unionByName(learn.fold_ensemble(new, models))
+    return scored.select("id", "half", F.round("score", 6).alias("score"), "label")
+
+
 @query("hashed_embeddings")
 def hashed_embeddings(spark, sf):
     """The stand-in encoder over item titles."""

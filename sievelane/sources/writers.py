@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import global_rank
@@ -28,6 +31,56 @@ def append_new(df: DataFrame, path: str, key: str = "id") -> int:
     return seen.get["n"]
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def replace_table(df: DataFrame, path: str, keep: bool = False) -> str | None:
+    """Write ``df`` aside and rename it over ``path``: readers see the old table or the new one, and ``df`` may read the old one.
+
+    ``keep``: the old table stays as a version of its own, and its path is returned.
+    """
+    spark = df.sparkSession
+    aside, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    df.write.parquet(aside)
+    fs, here = _path(spark, path)
+    had = fs.exists(here)
+    if had and not fs.rename(here, _path(spark, old)[1]):
+        raise OSError(f"{path} can't be set aside")
+    if not fs.rename(_path(spark, aside)[1], here):
+        if had:
+            fs.rename(_path(spark, old)[1], here)
+        raise OSError(f"{path} can't be replaced")
+    if had and not keep:
+        fs.delete(_path(spark, old)[1], True)
+    return old if had and keep else None
+
+
+def rebuild(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``path`` again from its backup, which the first call makes: running it twice changes nothing more."""
+    backup = f"{path.rstrip('/')}.backup"
+    fs, b = _path(spark, backup)
+    if not fs.exists(b):
+        replace_table(spark.read.parquet(path), backup)
+    replace_table(change(spark.read.parquet(backup)), path)
+    return spark.read.parquet(path)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
+    """The table at ``path``; built and written there if it is absent, or if ``reuse`` is off."""
+    fs, p = _path(spark, f"{path.rstrip('/')}/_SUCCESS")
+    if not (reuse and fs.exists(p)):
+        replace_table(build(), path)
+    return spark.read.parquet(path)
+
+
+def narrowed(df: DataFrame, bytes_: list[str] = (), floats: list[str] = ()) -> DataFrame:
+    """Columns of small whole numbers as one byte, of scores as single precision; a number that doesn't fit is an error."""
+    checked = {c: F.when(F.col(c).isNull() | F.col(c).between(-128, 127), F.col(c).cast("tinyint")).otherwise(F.raise_error(F.concat(F.lit(f"{c} doesn't fit a byte: "), F.col(c).cast("string"))).cast("tinyint")) for c in bytes_}
+    return df.withColumns(checked | {c: F.col(c).cast("float") for c in floats}) if bytes_ or floats else df
+
+
 def shard_of(df: DataFrame, order: str, key: str, size: int = 400) -> DataFrame:
     """``df`` with ``shard``, from 1, ``size`` rows each in the given order."""
     return global_rank(df, order, key, "_r").withColumn("shard", (F.floor(F.col("_r") / size) + 1).cast("int")).drop("_r", "n")

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 from sievelane import plans  # noqa: E402
 
-SLOW = {"query_expansion", "tfidf_topk", "neg_mixed", "neg_category", "weight_grid"}
+SLOW = {"neg_mixed", "weight_grid"}
 
 
 @pytest.fixture(scope="module")
