@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import Plain, materialise, release, trim
 
 #: Labelled rows that the classifier is fitted on: at most so many, in order of a hash of their id.
-MAX_EXAMPLES = 8_192
+MAX_EXAMPLES = 4_096
 STEM = 4
 #: Added to document frequencies, as a share of all documents: keeps what is rare by chance from outweighing everything.
 SMOOTHING = 0.01
@@ -247,6 +247,7 @@ class ToxicityModel:
                     if count:
                         points.append((index.votes(near, (e, 1, label)), float(label), float(count)))
         index.terms = []  # only the votes above read them
+        _BUILT.clear()
         self.xs, self.ys = isotonic(points) if points else ([0.0], [index.prior])
 
     def scores(self, texts: list[np.ndarray]) -> list[tuple[float, list[tuple[int, float, float]]]]:
@@ -338,6 +339,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_co
             found = pa.array([[{"doc_id": i, "cosine": c, "toxic_share": s} for i, c, s in e] for _, e in scores], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([p for p, _ in scores], pa.float64()), pa.array([int(p >= threshold) for p, _ in scores], pa.int32()), found], names=names)
             del batch, scores, found
+        _BUILT.clear()  # an idle worker must not keep it beside the stages that follow
         trim()
 
     rows = plain.rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(plain.kept)], F.col(plain.at(text_col)).alias("_text"))
