@@ -32,21 +32,25 @@ def macro_f1_at(spark, sf):
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
-def _sweeps(name: str, low: int, high: int, scale: int, score: str) -> None:
+def _sweeps(name: str, low: int, high: int, scale: int, score: str, largest: bool = False) -> None:
     @query(f"sweep_{name}", _sweep_sql(low, high, scale, score) + "SELECT round(t, 9) AS t, round(f, 9) AS macro_f1 FROM s")
     def run(spark, sf):
         s = metrics.sweep(pairs(spark, sf), F.col(score), F.col("label"), low, high, scale)
         return s.select(F.round("t", 9).alias("t"), F.round("macro_f1", 9).alias("macro_f1"))
 
-    @query(f"best_{name}", _sweep_sql(low, high, scale, score) + f"SELECT t, round(f, 9) AS macro_f1 FROM s ORDER BY round(f, 12) DESC, t {'DESC' if name == 'coarse' else ''} LIMIT 1")
+    @query(f"best_{name}", _sweep_sql(low, high, scale, score) + f"SELECT t, round(f, 9) AS macro_f1 FROM s ORDER BY round(f, 12) DESC, t {'DESC' if largest else ''} LIMIT 1")
     def pick(spark, sf):
         s = metrics.sweep(pairs(spark, sf), F.col(score), F.col("label"), low, high, scale)
-        return metrics.best(s, largest=name == "coarse").select("t", F.round("macro_f1", 9).alias("macro_f1"))
+        return metrics.best(s, largest=largest).select("t", F.round("macro_f1", 9).alias("macro_f1"))
 
 
 _sweeps("threshold", 10, 90, 100, "s3")
 _sweeps("fine", 10, 189, 200, "s3")
-_sweeps("coarse", 15, 35, 50, "s1")
+_sweeps("coarse", 15, 35, 50, "s1", largest=True)
+_sweeps("wide", 5, 94, 100, "s2")
+_sweeps("training", 10, 89, 100, "s3")
+_sweeps("hard_rows", 10, 94, 100, "s2")
+_sweeps("sparse", 6, 14, 20, "s1", largest=True)
 
 
 @query(
