@@ -1,17 +1,23 @@
 """TF-IDF and dense retrieval: vocabularies, weights, exact top-k joins, expansion of queries.
 
-Sparse products are equi-joins on the token with partial aggregation; dense top-k meets blocks of both sides in NumPy.
+Top-k, sparse or dense, meets blocks of both sides in NumPy; cosines of given pairs are joins on pair and token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block where two sides meet.
+BLOCK = 1024
+#: Scores and postings that a sparse tile holds at once.
+TILE_NUMBERS = 1 << 21
+
 
 def tokens(df: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, token, tf)"""
@@ -31,16 +37,67 @@ def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
 
 
-def sparse_scores(queries: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
-    """(q, d, score): products of all pairs that share a token."""
-    joined = queries.withColumnRenamed("w", "wq").join(docs.withColumnRenamed("w", "wd"), "token")
-    return joined.groupBy(q, d).agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-
+def sparse_top_k(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int, skip: int = 0, digits: int = 9) -> DataFrame:
+    """(q, d, score, rank): ranks skip + 1 .. skip + k by the products of unit vectors, among the pairs that share a token.
 
-def best_k(scores: DataFrame, q: str, d: str, k: int, skip: int = 0, digits: int = 9) -> DataFrame:
-    """Ranks skip + 1 .. skip + k by score; scores that agree to ``digits`` tie, and ties go to the smaller key."""
-    w = Window.partitionBy(q).orderBy(F.desc(F.round("score", digits)), d)
-    return scores.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > skip) & (F.col("rank") <= skip + k))
+    ``queries`` and ``docs``: (q, token, w) and (d, token, w), weights above 0, keys whole numbers. A token that most queries and docs have would make
+    a join on tokens emit nearly all pairs; so both sides are dealt to blocks, and a task gives only the best of its block for each
+    query. Scores that agree to ``digits`` tie, and ties go to the smaller key.
+    """
+    packed = lambda df, key: df.groupBy(F.col(key).cast("bigint").alias("id")).agg(F.collect_list(F.struct("token", "w")).alias("_x")).select("id", F.col("_x.token").alias("t"), F.col("_x.w").alias("w"))
+    part = _tiles(packed(queries, q), packed(docs, d), lambda a, b: _sparse_tile(a, b, skip + k, digits))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    ranked = part.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > skip) & (F.col("rank") <= skip + k))
+    return ranked.select(F.col("query_id").alias(q), F.col("item_id").alias(d), "score", "rank")
+
+
+def _sparse_tile(a: pa.Table, b: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k best of the docs ``b`` for each of the queries ``a``. Tokens of more than an eighth of the docs are dense rows."""
+    b = b.sort_by("id")
+    words, weights = b["t"].combine_chunks(), b["w"].combine_chunks().flatten().to_numpy()
+    coded = words.flatten().dictionary_encode()
+    token = coded.indices.to_numpy()
+    doc = np.repeat(np.arange(b.num_rows), np.diff(words.offsets.to_numpy()))
+    df = np.bincount(token, minlength=len(coded.dictionary))
+    frequent = np.flatnonzero(df * 8 > b.num_rows)
+    place = np.full(len(df), -1)
+    place[frequent] = np.arange(len(frequent))
+    dense = np.zeros((len(frequent), b.num_rows))
+    hot = place[token] >= 0
+    dense[place[token[hot]], doc[hot]] = weights[hot]
+    order = np.flatnonzero(~hot)
+    order = order[np.argsort(token[order], kind="stable")]
+    post_doc, post_weight = doc[order], weights[order]
+    df[frequent] = 0
+    starts = np.concatenate([[0], np.cumsum(df)])
+
+    asked = a["t"].combine_chunks()
+    who = np.repeat(np.arange(a.num_rows), np.diff(asked.offsets.to_numpy()))
+    known = pc.index_in(asked.flatten(), value_set=coded.dictionary).fill_null(-1).to_numpy()
+    at = known >= 0
+    who, known, own = who[at], known[at], a["w"].combine_chunks().flatten().to_numpy()[at]
+    many = df[known]
+    ends = np.cumsum(np.bincount(who, many, a.num_rows) + b.num_rows)  # numbers that each query makes the task hold
+    qi, di = a["id"].to_numpy(), b["id"].to_numpy()
+    found, lo = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    while lo < a.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TILE_NUMBERS, "right")))
+        mine = slice(*np.searchsorted(who, [lo, hi]))
+        row, word, w, n = who[mine] - lo, known[mine], own[mine], many[mine]
+        common = place[word] >= 0
+        left = np.zeros((hi - lo, len(frequent)))
+        left[row[common], place[word[common]]] = w[common]
+        posting = np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        s = np.bincount(np.repeat(row, n) * b.num_rows + post_doc[posting], np.repeat(w, n) * post_weight[posting], (hi - lo) * b.num_rows).reshape(hi - lo, -1)
+        s = np.round(s + left @ dense, digits)
+        kth = min(k, b.num_rows)
+        r, c = np.nonzero((s >= np.partition(s, -kth, axis=1)[:, -kth, None]) & (s > 0))
+        best = np.lexsort((c, -s[r, c], r))
+        r, c = r[best], c[best]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((qi[lo + r[kept]], di[c[kept]], s[r[kept], c[kept]]))
+        lo = hi
+    return pa.table(dict(zip(("query_id", "item_id", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
 
 
 def pair_cosine(pairs: DataFrame, queries: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
@@ -50,22 +107,32 @@ def pair_cosine(pairs: DataFrame, queries: DataFrame, docs: DataFrame, q: str, d
     return pairs.join(score, [q, d], "left").fillna(0.0, ["tfidf_cos"])
 
 
-def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 1024, digits: int = 6) -> DataFrame:
+def _tiles(queries: DataFrame, items: DataFrame, best: Callable[[pa.Table, pa.Table], pa.Table], block: int | None = None) -> DataFrame:
+    """(query_id, item_id, score) by ``best`` of each block of ``queries`` with each block of ``items``, both with an id."""
+    blocks = lambda n: max(1, -(-n // (block or BLOCK)))
+    nq, ni = blocks(queries.count()), blocks(items.count())
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.withColumn("qb", dealt(nq)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
+    right = items.withColumn("ib", dealt(ni)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return best(a, b)
+
+    return left.repartition(nq * ni, "qb", "ib").groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, "query_id long, item_id long, score double")
+
+
+def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK, digits: int = 6) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of the highest dot product for each query.
 
     ``queries`` and ``items``: (id, embedding), ids whole numbers, all of one length, no nulls. Both sides are dealt to
     blocks; a task holds one block of each and gives k rows per query, which a last ranking merges. Scores are
     rounded to ``digits`` before they are compared; ties go to the smaller id.
     """
-    blocks = lambda n: max(1, -(-n // block))
-    nq, ni = blocks(queries.count()), blocks(items.count())
-    dealt = lambda df, n: df.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = dealt(queries, nq).withColumnRenamed("_b", "qb").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-    right = dealt(items, ni).withColumnRenamed("_b", "ib").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    vectors = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         qi, ii = a["id"].to_numpy(), b["id"].to_numpy()
         s = np.round(matrix(a) @ matrix(b).T, digits) + 0.0
@@ -73,7 +140,7 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 1024,
         rows = np.repeat(np.arange(len(qi)), order.shape[1])
         return pa.table({"query_id": qi[rows], "item_id": ii[order.ravel()], "score": s[rows, order.ravel()]})
 
-    part = left.repartition(nq * ni, "qb", "ib").groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, "query_id long, item_id long, score double")
+    part = _tiles(vectors(queries), vectors(items), run, block)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

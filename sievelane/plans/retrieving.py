@@ -59,7 +59,7 @@ _PART_SCORES = "s AS (SELECT term_id, item_id, round(sum(qw.w * dw.w), 9) AS sco
 def tfidf_topk(spark, sf):
     _, vocab, docs = _doc_weights(spark, sf)
     weights, reps = _query_weights(spark, sf, vocab)
-    best = retrieval.best_k(retrieval.sparse_scores(weights, docs, "rep", "item_id"), "rep", "item_id", 30)
+    best = retrieval.sparse_top_k(weights, docs, "rep", "item_id", 30)
     return reps.join(best, "rep").select("term_id", "item_id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -126,7 +126,7 @@ SELECT term_id, token, CAST(k AS INTEGER) AS n FROM fresh WHERE k <= 6""",
 def query_expansion(spark, sf):
     _, vocab, docs = _doc_weights(spark, sf)
     q, reps = _query_weights(spark, sf, vocab)
-    near = retrieval.best_k(retrieval.sparse_scores(q, docs, "rep", "item_id"), "rep", "item_id", 15)
+    near = retrieval.sparse_top_k(q, docs, "rep", "item_id", 15)
     new = retrieval.expansion(near, docs, q.select("rep", "token"), "rep", "item_id")
     return reps.join(new, "rep").select("term_id", "token", "n")
 
@@ -231,7 +231,7 @@ def lexical_candidates(spark, sf, k):
     """(term_id, item_id, rank, score): the items of the highest TF-IDF cosine for every term."""
     _, vocab, docs = _doc_weights(spark, sf)
     weights, reps = _query_weights(spark, sf, vocab)
-    return reps.join(retrieval.best_k(retrieval.sparse_scores(weights, docs, "rep", "item_id"), "rep", "item_id", k), "rep").select("term_id", "item_id", "rank", "score")
+    return reps.join(retrieval.sparse_top_k(weights, docs, "rep", "item_id", k), "rep").select("term_id", "item_id", "rank", "score")
 
 
 @query(

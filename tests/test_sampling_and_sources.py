@@ -74,6 +74,29 @@ def test_fuzzy_brands_against_brute_force(spark):
     assert got == {"nikee": "nike", "nke": "nike", "pumo": "puma", "kiğıl": "kiğılı", "solo": "polo"}
 
 
+def test_sparse_top_k_across_blocks(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = {i: {f"w{draw.randrange(12)}": 1.0 + draw.randrange(3) for _ in range(draw.randrange(1, 6))} | ({"hot": 1.0} if i % 3 else {}) for i in range(90)}
+    texts[7] = {"alone": 1.0}
+    rows = spark.createDataFrame([(i, t, w) for i, ws in texts.items() for t, w in ws.items()], "id long, token string, w double")
+    queries, docs = rows.filter("id < 30").withColumnRenamed("id", "q"), rows.filter("id >= 20").withColumnRenamed("id", "d")
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "TILE_NUMBERS", 100)
+    got = sorted((r.q, r["rank"], r.d, r.score) for r in retrieval.sparse_top_k(queries, docs, "q", "d", 4, skip=2).collect())
+    want = []
+    for q in range(30):
+        scores = [(-sum(w * texts[d].get(t, 0.0) for t, w in texts[q].items()), d) for d in range(20, 90)]
+        want += [(q, n, d, -s) for n, (s, d) in enumerate(sorted(x for x in scores if x[0] < 0), 1) if 2 < n <= 6]
+    assert got == want
+
+
+def test_sparse_top_k_of_nothing(spark):
+    empty = spark.createDataFrame([], "q long, token string, w double")
+    some = spark.createDataFrame([(1, "a", 1.0)], "d long, token string, w double")
+    assert retrieval.sparse_top_k(empty, some, "q", "d", 3).collect() == []
+    assert retrieval.sparse_top_k(some.withColumnRenamed("d", "q"), empty.withColumnRenamed("q", "d"), "q", "d", 3).collect() == []
+
+
 def test_dense_top_k_across_blocks(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(60)]
