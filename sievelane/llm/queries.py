@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, topk_search, toxicity, url_filter
+from . import chat_format, embedding_dedup, filter_audit, html_extract, mixing, ngram_join, phrase_mining, sentencepiece_codec, sharding, substring_dedup, topk_search, toxicity, url_filter
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,32 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents").select("lang", "text"), 100, 2000)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"), "toxic")
+    return filter_audit.audit(filter_audit.with_labels(failed, labels, ["good", "toxic"]), "ABCDE", ["good", "toxic"])
+
+
+PLANTED_CHAT = r"\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit(PLANTED_CHAT)
+    planted = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    done = chat_format.format_chats(chats.unionByName(planted))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = chat_format.learned_text(F.col("formatted"), F.col("mask"))
+    return done.select(
+        "conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(learned).cast("bigint").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 _MIX_SQL = """
 WITH RECURSIVE counts AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
 weights AS (SELECT source, n, round(sqrt(n), 6) AS w FROM counts),
@@ -172,6 +198,68 @@ best AS (
 SELECT q.page_id, q.host, q.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM q LEFT JOIN best b ON b.i = q.i
 """
 
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM words)),
+counts AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(k) AS k, count(*) AS f FROM runs GROUP BY 1, 2 HAVING count(*) >= 100),
+candidates AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, f FROM counts WHERE k > 1),
+inner_runs AS (SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+  SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, f, w, k, unnest(range(2, k)) AS m FROM candidates))),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inner_runs GROUP BY 1, 2),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN longer l USING (lang, phrase) WHERE l.f IS NULL OR 100 * l.f < 100 * c.f),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM kept),
+scored AS (
+  SELECT x.lang, x.phrase, x.f AS a, x.c, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * x.f * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts x JOIN totals t ON t.lang = x.lang
+  JOIN counts l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.c], ' ')
+  JOIN counts r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.c + 1:x.k], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000
+"""
+
+_AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)} AS f FROM texts),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+groups AS (
+  SELECT part, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM failed LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s, o[s] AS x, o[1:s - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+met AS (
+  SELECT part, o, s, x, n, good, toxic, contains(fails, x) AS hit, fails = x AS alone,
+    len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AND fails <> '' AS gone FROM groups, steps),
+sums AS (
+  SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, x, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM sums
+"""
+
+_CHAT_SQL = r"""
+WITH chats AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+safe AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(\\*)### ', '\\\1### ', 'g'), '<(\\*)/turn>', '<\\\1/turn>', 'g') AS t,
+    regexp_replace(regexp_replace(regexp_replace(role, '(\\*)### ', '\\\1### ', 'g'), '<(\\*)/turn>', '<\\\1/turn>', 'g'), ':(\\*)\n', ':\\\1' || chr(10), 'g') AS r FROM chats),
+sums AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learned,
+    sum(length('### ' || r || ':' || t || '</turn>') + 2) AS formatted_chars FROM safe GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM sums
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
     "op2_mix_sources": op2_mix_sources,
@@ -183,6 +271,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
@@ -192,4 +283,7 @@ ORACLE: dict[str, str] = {
     "op7_ngram_jaccard": _JACCARD_SQL,
     "op9_exact_topk": _TOPK_SQL,
     "op10_url_filter": _URL_SQL,
+    "op11_collocations": _PHRASE_SQL,
+    "op12_filter_audit": _AUDIT_SQL,
+    "op13_chat_format": _CHAT_SQL,
 }
