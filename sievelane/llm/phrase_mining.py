@@ -2,8 +2,8 @@
 
 1. Tasks cut texts into words and write shards: the distinct words of some MB of one language, with counts, and the text as
    codes of these words, 0 at the end of a piece. Texts are read once and never shuffled.
-2. Word counts are summed. A word below the least frequency can't stand in a phrase that reaches it, so only the others get an id, dense
-   and small for frequent words, and each shard gets the ids of its own words by a join.
+2. Shards send their words, packed, to buckets by hash, where the counts are summed. A word below the least frequency can't stand in a phrase that reaches it, so only the others get an id, dense
+   and small for frequent words, and the bucket answers each shard with the ids of its own words.
 3. A shard's trie of all runs of up to DEPTH ids comes level by level; it is serialised sorted, cut at the bounds of prefix ranges. Bounds are whole paths at
    quantiles of a sample, so a frequent first word, or pair, or triple, is cut as finely as any other.
 4. A range merges its k tries pairwise, smallest first, and walks the result: what is frequent comes out with the counts of the nodes above it, its left parts.
@@ -25,13 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Plain, bounded, materialise, pieces, release, trim
+from .common import Plain, bounded, materialise, pieces, release, text_bytes, trim
+from .fingerprints import Words
 
 DEPTH = 5
 #: Bytes of text that a shard is meant to hold; a longer text is a shard of its own.
 SHARD_TEXT = 8 << 20
 #: Bytes of text that are cut into words at once; a longer text is cut alone.
 CUT_BYTES = 1 << 20
+#: Bytes of text whose words a bucket is meant to hold.
+BUCKET_TEXT = 64 << 20
 #: Paths that a range is meant to hold, and the most ranges: beyond, ranges get larger. Each task gets all bounds, 20 bytes each.
 RANGE_PATHS, MOST_RANGES = 3 << 20, 1 << 16
 #: Paths that a shard gives to the sample; of all these at most so many for each range are sorted.
@@ -78,33 +81,35 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-SHARDS = "shard long, lang string, words array<string>, counts array<long>, codes binary"
-
-
-def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD_TEXT) -> Iterator[pa.RecordBatch]:
+#: A row for the text of a shard (codes) and one for each bucket that its words go to (words, counts, and at: their codes, from 0).
+SHARDS = "shard long, lang string, codes binary, bucket int, words array<string>, counts binary, at binary"
+
+
+def _shard_rows(shard: int, lang: str, parts: list[tuple[pa.Array, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64) + 1
+    first = np.concatenate([f for _, f in parts])
+    line = np.zeros(len(code) + int(first.sum()), np.int64)  # a 0 before each piece
+    line[np.arange(len(code)) + np.cumsum(first)] = code
+    counts = np.bincount(code, minlength=len(words) + 1)[1:]
+    joined = np.frombuffer(" ".join(words.to_pylist()).encode(), np.uint8)
+    own = (Words(joined, np.array([0, len(joined)]), False).hash % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    at = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[at], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(edges)).tolist()
+    sent = [at[edges[i] : edges[i + 1]] for i in some]
+    n = len(some) + 1
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0, 0], np.cumsum([len(x) for x in sent], dtype=np.int64)]).astype(np.int32)), words.take(pa.array(at)).cast(pa.string()))
+    binary = lambda values: pa.array(values, pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard] * n, pa.int64()), pa.array([lang] * n, pa.string()), binary([packed(line), *[None] * len(some)]), pa.array([None, *some], pa.int32()), lists, binary([None, *(packed(counts[x]) for x in sent)]), binary([None, *(packed(x) for x in sent)])],
+        names=["shard", "lang", "codes", "bucket", "words", "counts", "at"],
+    )
+
+
+def shards(batches: Iterator[pa.RecordBatch], buckets: int, size: int = SHARD_TEXT) -> Iterator[pa.RecordBatch]:
     """Shards of the rows (lang, text) of one task, of about ``size`` bytes; see SHARDS."""
     made, held, bytes_held = 0, {}, 0
-
-    def out() -> pa.RecordBatch:
-        nonlocal made
-        rows = []
-        for lang, parts in held.items():
-            coded = pa.chunked_array([w for w, _ in parts]).dictionary_encode()
-            words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_string())
-            code = np.concatenate([np.zeros(0, np.int64), *(c.indices.to_numpy() for c in coded.chunks)]) + 1
-            first = np.concatenate([np.zeros(0, bool), *(f for _, f in parts)])
-            at = np.arange(len(code)) + np.cumsum(first)
-            line = np.zeros(len(code) + int(first.sum()), np.int64)  # a 0 before each piece
-            line[at] = code
-            rows.append((made << 33 | TaskContext.get().partitionId(), lang, words.cast(pa.string()), pa.array(np.bincount(code, minlength=len(words) + 1)[1:], pa.int64()), packed(line)))
-            made += 1
-        held.clear()
-        ids, langs, words, counts, codes = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array([w.to_pylist() for w in words], pa.list_(pa.string())), pa.array([c.to_pylist() for c in counts], pa.list_(pa.int64())), pa.array(codes, pa.binary())],
-            names=["shard", "lang", "words", "counts", "codes"],
-        )
-
     for batch in batches:
         for lang in batch["lang"].unique().to_pylist():
             text = batch["text"].filter(pc.equal(batch["lang"], lang))
@@ -116,22 +121,56 @@ def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD_TEXT) -> Iterato
                 bytes_held += int(sizes[lo:hi].sum())
                 lo = hi
                 if bytes_held >= size:
-                    yield out()
-                    bytes_held = 0
+                    for own, parts in held.items():
+                        yield _shard_rows(made << 33 | TaskContext.get().partitionId(), own, parts, buckets)
+                        made += 1
+                    held, bytes_held = {}, 0
                     trim()
-    if held:
-        yield out()
+    for own, parts in held.items():
+        yield _shard_rows(made << 33 | TaskContext.get().partitionId(), own, parts, buckets)
+        made += 1
     trim()
 
 
-def vocabulary(made: DataFrame, least: int) -> DataFrame:
-    """(lang, word, id) of the words that occur ``least`` times in a language; ids from 1, each once, nearly dense, smaller for frequent words."""
-    each = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f")).filter(F.col("f") >= least)
-    buckets = max(64, int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("f"), "lang", "word")).cast("bigint")
-    each = each.withColumn("_b", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)))
-    ids = (at - 1) * buckets + F.col("_b") + 1
-    return each.select("lang", "word", F.when(ids < 1 << 32, ids).otherwise(F.raise_error(F.lit("more than 2^32 frequent words")).cast("bigint")).alias("id"))
+KNOWN = "shard long, at binary, ids binary, lang string, word string, id long"
+
+
+def vocabulary(table: pa.Table, least: int, buckets: int) -> pa.Table:
+    """Of a bucket: a row (lang, word, id) for each word that occurs ``least`` times in its language, ids from 1, each once over all buckets, nearly dense, smaller for frequent words; and
+    for each shard a row (shard, at, ids): which of its codes have which ids."""
+    langs, flat = table["lang"].to_pylist(), table["words"].combine_chunks()
+    counts, at = ([unpacked(x) for x in table[c].to_pylist()] for c in ("counts", "at"))
+    kept: list[tuple[int, str, str, int]] = []  # (-f, lang, word, code)
+    codes: dict[str, tuple[list[int], np.ndarray]] = {}
+    of_lang: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        of_lang.setdefault(lang, []).append(i)
+    for lang, rows in of_lang.items():
+        coded = flat.take(pa.array(rows)).flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        f = np.bincount(code, np.concatenate([counts[i] for i in rows]), len(coded.dictionary)).astype(np.int64)
+        codes[lang] = rows, code
+        kept += [(-int(f[i]), lang, coded.dictionary[i].as_py(), i) for i in np.flatnonzero(f >= least).tolist()]
+    kept.sort(key=lambda x: (x[0], x[1], x[2].encode()))
+    bucket = table["bucket"][0].as_py()
+    ids = [i * buckets + bucket + 1 for i in range(len(kept))]
+    if ids and ids[-1] >= 1 << 32:
+        raise OverflowError("more than 2^32 frequent words")
+    out: list[tuple[int, bytes, bytes]] = []
+    new = {lang: np.zeros(int(code.max()) + 1, np.int64) for lang, (_, code) in codes.items()}
+    for (_, lang, _, i), own in zip(kept, ids, strict=True):
+        new[lang][i] = own
+    for lang, (rows, code) in codes.items():
+        found, lo = new[lang][code], 0
+        for i in rows:
+            part = found[lo : lo + len(at[i])]
+            lo += len(at[i])
+            out.append((table["shard"][i].as_py(), packed(at[i][part > 0]), packed(part[part > 0])))
+    n, m = len(out), len(kept)
+    columns = [[x[0] for x in out] + [None] * m, [x[1] for x in out] + [None] * m, [x[2] for x in out] + [None] * m, [None] * n + [x[1] for x in kept], [None] * n + [x[2] for x in kept], [None] * n + ids]
+    kinds = pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64()
+    trim()
+    return pa.table(dict(zip(("shard", "at", "ids", "lang", "word", "id"), (pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), strict=True)))
 
 
 def paths_at(line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -140,24 +179,26 @@ def paths_at(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out * (np.cumsum(out == 0, axis=1) == 0)
 
 
-CODED = "shard long, lang string, ids binary, n long, sample array<binary>"
+CODED = "shard long, lang string, ids binary, words long, n long, sample array<binary>"
 
 
 def coded(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """A shard's ids for its codes, 0 for infrequent words and ends of pieces, the number of its ids, and a sample of its paths."""
+    """A shard's ids for its codes, 0 for infrequent words and ends of pieces, the numbers of its words and of its ids, and a sample of its paths."""
     if not shard.num_rows:
-        return pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "ids": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "sample": pa.array([], pa.list_(pa.binary()))})
+        return pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "ids": pa.array([], pa.binary()), "words": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "sample": pa.array([], pa.list_(pa.binary()))})
     line = unpacked(shard["codes"][0].as_py())
-    ids = np.zeros(len(shard["words"][0]) + 1, np.uint32)
-    ids[known["pos"].to_numpy() + 1] = known["id"].to_numpy()
+    ids = np.zeros(int(line.max()) + 1 if len(line) else 1, np.uint32)
+    for at, own in zip(known["at"].to_pylist(), known["ids"].to_pylist(), strict=True):
+        ids[unpacked(at) + 1] = unpacked(own)
+    many = int((line > 0).sum())
     line = ids[line]
     line = line[(line > 0) | np.concatenate([[False], line[:-1] > 0])]  # of several zeros, one
     at = np.flatnonzero(line)
     some = at[:: max(1, -(-len(at) // SHARD_SAMPLE))]
     sample = [p.tobytes() for p in paths_at(np.concatenate([line, np.zeros(DEPTH, np.uint32)]), some).astype(">u4")]
-    row = [shard["own"][0].as_py()], [shard["lang"][0].as_py()], [packed(line)], [len(at)], [sample]
-    kinds = pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.binary())
-    out = pa.table(dict(zip(("shard", "lang", "ids", "n", "sample"), (pa.array(v, k) for v, k in zip(row, kinds, strict=True)), strict=True)))
+    row = [shard["own"][0].as_py()], [shard["lang"][0].as_py()], [packed(line)], [many], [len(at)], [sample]
+    kinds = pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary())
+    out = pa.table(dict(zip(("shard", "lang", "ids", "words", "n", "sample"), (pa.array(v, k) for v, k in zip(row, kinds, strict=True)), strict=True)))
     trim()
     return out
 
@@ -358,12 +399,15 @@ def phrases(docs: DataFrame, least: int = 100, text_col: str = "text", lang_col:
     """
     plain = Plain(docs, [], [])
     rows = plain.rows.select(F.coalesce(F.col(plain.at(lang_col)).cast("string"), F.lit("und")).alias("lang"), F.col(plain.at(text_col)).alias("text"))
-    made = materialise(rows.mapInArrow(lambda batches: shards(batches, shard_text), SHARDS))
-    totals = materialise(made.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")))
-    words = materialise(vocabulary(made, least))
-    known = made.select("shard", "lang", F.posexplode("words").alias("pos", "word")).join(words, ["lang", "word"]).select("shard", "pos", "id")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces(made.count(), 8))
-    ids = materialise(made.select(F.col("shard").alias("own"), "lang", "words", "codes").repartition(parts, "own").groupBy("own").cogroup(known.repartition(parts, "shard").groupBy("shard")).applyInArrow(coded, CODED))
+    buckets = pieces(text_bytes(rows, "text"), BUCKET_TEXT, 16)
+    made = materialise(rows.mapInArrow(lambda batches: shards(batches, buckets, shard_text), SHARDS))
+    own = made.filter("bucket IS NULL").select(F.col("shard").alias("own"), "lang", "codes")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces(own.count(), 8))
+    sent = made.filter("bucket IS NOT NULL").select("shard", "lang", "bucket", "words", "counts", "at")
+    known = materialise(sent.groupBy("bucket").applyInArrow(lambda table: vocabulary(table, least, buckets), KNOWN))
+    answers, words = known.filter("shard IS NOT NULL").select("shard", "at", "ids"), known.filter("shard IS NULL").select("lang", "word", "id")
+    ids = materialise(own.repartition(parts, "own").groupBy("own").cogroup(answers.repartition(parts, "shard").groupBy("shard")).applyInArrow(coded, CODED))
+    totals = materialise(ids.groupBy("lang").agg(F.sum("words").alias("n")))
     release(made)
     n = ids.agg(F.sum("n")).first()[0] or 0
     ranges = Ranges(_bounds(ids.select("shard", "sample"), min(MOST_RANGES, pieces(n, range_paths))), least)
