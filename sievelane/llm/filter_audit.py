@@ -16,7 +16,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Plain, materialise
+from .common import Plain, bounded, materialise
 
 #: Salts of rows without an id, which have no label to meet.
 NULL_SALTS = 1024
@@ -48,8 +48,9 @@ def failures(docs: DataFrame, filters: dict[str, Column] | None = None, copies:
     if copies is None:
         return rows.select("id", "part", *flags)
     slim = materialise(rows.select("id", "part", *flags, F.unhex(F.sha2("text", 256)).alias("_digest")))
-    least = slim.groupBy("_digest").agg(F.min("id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
-    return slim.join(least, "_digest", "left").select("id", "part", *filters, F.coalesce(F.col("id") > F.col("_least"), F.lit(False)).alias(copies))
+    # a table of its own, so that Spark can split the rows of a text that very many rows have
+    least = materialise(slim.groupBy("_digest").agg(F.min("id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1").select("_digest", "_least"))
+    return slim.join(bounded(least, 64), "_digest", "left").select("id", "part", *filters, F.coalesce(F.col("id") > F.col("_least"), F.lit(False)).alias(copies))
 
 
 def with_labels(rows: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id") -> DataFrame:
