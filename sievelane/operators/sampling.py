@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_number
+from ..sources.shared import counted_broadcast, staged
+
+
+#: Bits of a hash that one pass tells apart; their counts come to the driver.
+PASS_BITS = 12
+
+
+def _last_hash(hashes: DataFrame, n: int) -> tuple[int, int]:
+    """(h, k): the n-th smallest of the one column of hashes below 2^32, and how many rows of this very hash belong to the first n.
+
+    Each pass counts the rows by the next bits of their hash, among those that agree with the n-th in the bits before.
+    """
+    low, width, before = 0, 32, 0
+    while width:
+        bits = min(PASS_BITS, width)
+        width -= bits
+        part = F.shiftright(F.col("_h") - F.lit(low), width)
+        inside = hashes.filter(F.col("_h").between(low, low + (1 << (width + bits)) - 1))
+        counts = {r["part"]: r["n"] for r in inside.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # 2^PASS_BITS rows at most
+        for i in sorted(counts):
+            if before + counts[i] >= n:
+                low += i << width
+                break
+            before += counts[i]
+    return low, n - before
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows in hash order (all, if fewer)."""
-    return df.orderBy(hash_number(F.col(key), F.lit(seed)), key).limit(n)
+    """The ``n`` rows of ``df`` that come first in the order of a hash of ``key`` (all, if fewer; rows of equal hash by key).
+
+    The hash of the n-th row is found by counting, and the rows up to it are filtered, so however large ``n`` is no task sorts
+    them and they stand in the order of ``df``. ``key`` must tell rows apart.
+    """
+    rows = df.withColumn("_h", hash_number(F.col(key), F.lit(seed)))
+    hashes = staged(rows.select("_h"))
+    if n <= 0 or hashes.count() <= n:
+        return df if n > 0 else df.limit(0)
+    last, ties = _last_hash(hashes, n)
+    if hashes.filter(F.col("_h") == last).limit(ties + 1).count() <= ties:
+        return rows.filter(F.col("_h") <= last).drop("_h")
+    # rows of one hash of 32 bits: a few
+    edge = rows.filter(F.col("_h") == last).orderBy(key).limit(ties)
+    return rows.filter(F.col("_h") < last).unionByName(edge).drop("_h")
+
+
+def keep_share(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """A subsample of floor(share * rows) rows, in the order in which they stand."""
+    return sample_rows(df, math.floor(share * df.count()), key, seed)
 
 
 def sample_per_group(df: DataFrame, by: list[str], key: str, n: Column | int, seed: int = 42) -> DataFrame:
@@ -26,6 +70,13 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_number(F.col(key), F.lit(seed)), key)
 
 
+def shuffled_places(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``df`` with ``place``: where each row stands once it is shuffled, from 0."""
+    from .windows import global_rank
+
+    return global_rank(df.withColumn("_h", hash_number(F.col(key), F.lit(seed))), "_h", key, "place").drop("_h", "n")
+
+
 def hash_half(key: Column, seed: int = 42) -> Column:
     """0 or 1: the side of a key in a split into two halves."""
     return (hash_number(key, F.lit(seed)) % 2).cast("int")
@@ -47,21 +98,45 @@ def round_robin_folds(terms: DataFrame, key: str, folds: int = 5, seed: int = 42
     return global_rank(hashed, "_h", key, "_r").select(key, (F.col("_r") % folds).cast("int").alias("fold"))
 
 
-def balanced_folds(df: DataFrame, key: str, folds: int = 5, big: int = 4096) -> DataFrame:
-    """(key, fold): the largest groups go, one by one, to the lightest fold, the rest by hash.
+def fold_segments(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, past, order): how equal groups, numbered from 0, go to folds: group i of a segment to ``order[(i - first) % len(order)]``.
 
-    Only the ``big`` largest groups are balanced on the driver: their number is the bound on what is collected, and smaller groups
-    hardly move the balance.
+    ``sizes``: (size, how many groups), largest first. Each group goes to the lightest fold, of equally light ones the first. Groups
+    of one size go round the folds that are less than a group heavier than the lightest, until another fold becomes one of them; so
+    a size takes at most one segment for each fold, however many groups it has.
+    """
+    load, out = [0] * folds, []
+    for size, many in sizes:
+        at = 0
+        while at < many:
+            low = min(load)
+            order = sorted((f for f in range(folds) if load[f] < low + size), key=lambda f: (load[f], f))
+            rest = [f for f in range(folds) if f not in order]
+            rounds = min([(load[f] - low) // size for f in rest], default=many)
+            past = min(many, at + max(1, rounds) * len(order))
+            out.append((size, at, past, order))
+            full, more = divmod(past - at, len(order))
+            for i, f in enumerate(order):
+                load[f] += size * (full + (i < more))
+            at = past
+    return out
+
+
+def balanced_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
+    """(key, fold): groups go, from the largest on, of equal ones by key, to the lightest fold, of equally light ones the first.
+
+    Only how many groups there are of each size comes to the driver; the groups of a size are numbered in Spark and find their fold by
+    their number. Sizes add up to the rows, so N rows have fewer than sqrt(2 N) different ones.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), key).limit(big).collect()
-    load, rows = [0] * folds, []
-    for r in top:
-        fold = min(range(folds), key=lambda f: (load[f], f))
-        load[fold] += r["n"]
-        rows.append((r[key], fold))
-    placed = df.sparkSession.createDataFrame(rows, sizes.select(key).schema.add("_fold", "integer"))
-    return sizes.join(F.broadcast(placed), key, "left").select(key, F.coalesce("_fold", hash_fold(F.col(key), folds)).alias("fold"))
+    from .windows import global_rank
+
+    groups = staged(df.groupBy(key).agg(F.count("*").alias("n")))
+    sizes = sorted(((r["n"], r["many"]) for r in groups.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True)
+    segments = df.sparkSession.createDataFrame(fold_segments(sizes, folds), "_size long, _first long, _past long, _order array<int>")
+    ranked = global_rank(groups.withColumnRenamed("n", "_n"), "_n", key, "_i", by=["_n"])
+    inside = (F.col("_n") == F.col("_size")) & (F.col("_i") >= F.col("_first")) & (F.col("_i") < F.col("_past"))
+    found = ranked.join(counted_broadcast(segments), inside)
+    return found.select(key, F.get("_order", ((F.col("_i") - F.col("_first")) % F.size("_order")).cast("int")).alias("fold"))
 
 
 def random_negatives(positives: DataFrame, items: DataFrame, per_positive: int = 1, seed: int = 42, taken: DataFrame | None = None) -> DataFrame:
@@ -163,9 +238,12 @@ def mined_negatives(ranked: DataFrame, positives: DataFrame, items: DataFrame, h
     return hard_and_random(positives, items, ranked, hard, rand, pool, seed)
 
 
-def remined_negatives(ranked: DataFrame, positives: DataFrame, items: DataFrame, score: str = "p", low: float = 0.0, high: float = 0.5, hard: int = 6, rand: int = 1, seed: int = 42) -> DataFrame:
+def remined_negatives(ranked: DataFrame, positives: DataFrame, items: DataFrame, score: str = "p", low: float = 0.0, high: float = 0.5, hard: int = 6, rand: int = 1, seed: int = 42, below: float | None = None) -> DataFrame:
     """Negatives re-mined with a model: candidates that it scores above ``high`` are likely positives and those at ``low`` or below too
-    easy; ``hard`` of the rest for each positive, and ``rand`` random ones. Candidates without a score are left out."""
+    easy; ``hard`` of the rest for each positive, and ``rand`` random ones. ``below``: instead, all that it scores below this, the clean ones, are candidates. Those without a score are
+    left out."""
+    if below is not None:
+        return hard_and_random(positives, items, ranked, hard, rand, lambda r: r.filter(F.col(score) < below), seed)
     return hard_and_random(positives, items, ranked, hard, rand, lambda r: r.filter((F.col(score) > low) & (F.col(score) <= high)), seed)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import counted_broadcast, staged
 
 
 def percent_rank_averaged(value: str, by: str, descending: bool = False) -> Column:
@@ -32,78 +35,123 @@ def group_size(by: str) -> Column:
     return F.count("*").over(Window.partitionBy(by))
 
 
-def _key_number(df: DataFrame, key: str) -> Column:
-    """A double that rises with ``key``: numbers as they are, other keys by their first six bytes."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(key).cast("double")
-    head = F.rpad(F.hex(F.substring(F.col(key).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
-def _cuts(df: DataFrame, value: str, key: str, buckets: int) -> list[tuple[float, float]]:
-    """At most ``buckets`` - 1 cuts (value, key number), ascending: quantiles of the values, and where one value holds several of
-    them, quantiles of its keys."""
-    v = F.col(value).cast("double")
-    found = df.select(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()[0] or []
-    times = Counter(x for x in found if x is not None)
-    out = [(x, math.inf) for x in times]
-    heavy = {x: n for x, n in times.items() if n > 1}
-    if heavy:
-        most = max(heavy.values())
-        keys = df.filter(v.isin(list(heavy))).groupBy(v.alias("v")).agg(F.percentile_approx(_key_number(df, key), [i / (most + 1) for i in range(1, most + 1)], 10_000).alias("q"))
-        for r in keys.collect():  # a row for each heavy value; a value gets as many cuts as it holds quantiles
-            out += [(r["v"], x) for x in set((r["q"] or [])[:: -(-most // heavy[r["v"]])]) if x is not None]
-    return sorted(out)
-
-
-def _bucket(cuts: list[tuple[float, float]], value: Column, key: Column) -> Column:
-    """How many cuts lie below (value, key)."""
-    if not cuts:
-        return F.lit(0)
-    values = sorted({v for v, _ in cuts})
-    keys = {v: [k for x, k in cuts if x == v and k < math.inf] for v in values}
-    before = [sum(x < v for x, _ in cuts) for v in values] + [len(cuts)]
-    number = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    below = F.element_at(F.array(*[F.lit(n) for n in before]), F.size(F.filter(number(values), lambda q: q < value)) + 1)
-    if not any(keys.values()):
-        return below
-    of_value = F.try_element_at(F.create_map(*[x for v, ks in keys.items() if ks for x in (F.lit(float(v)), number(ks))]), value)
-    return below + F.greatest(F.coalesce(F.size(F.filter(of_value, lambda k: k < key)), F.lit(0)), F.lit(0))
-
-
-def global_rank(df: DataFrame, value: str, key: str, out: str = "rank", by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+#: The rows of one partition are numbered below this.
+_ROWS = (1 << 33) - 1
+
+
+def _ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` as a table with ``_p``, the number of a range of ``order``, and ``_r``, a row's place in it, both from 0.
+
+    Spark cuts the ranges by the real values, whatever their type, so ties of the first column are cut by the next one. The table is
+    written, since another run would draw other cuts.
+    """
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = staged(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return placed.withColumns({"_p": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND(F.lit(_ROWS))}).drop("_at")
+
+
+def _offsets(placed: DataFrame, by: list[str], size: Column) -> DataFrame:
+    """(_b0, _b1, ..., _o, _first, _before, n): of each group and range the place of its first row, the sum of ``size`` in the ranges before, and over all."""
+    names = [f"_b{i}" for i in range(len(by))]
+    sizes = placed.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col("_p").alias("_o")).agg(size.alias("_size"), F.min("_r").alias("_first"))
+    whole = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("_size").over(whole.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted_broadcast(sizes.select(*names, "_o", "_first", before.alias("_before"), F.sum("_size").over(whole).alias("n")))
+
+
+def _with_offsets(placed: DataFrame, by: list[str], size: Column) -> DataFrame:
+    same = reduce(lambda a, x: a & F.col(x[1]).eqNullSafe(F.col(f"_b{x[0]}")), enumerate(by), F.col("_p") == F.col("_o"))
+    return placed.join(_offsets(placed, by, size), same).drop("_o", *[f"_b{i}" for i in range(len(by))])
+
+
+def global_rank(df: DataFrame, value: str, key: str, out: str = "rank", by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """``df`` with the row number (from 0) by (value, key), overall or within ``by``, and ``n``, the number of rows.
 
-    No task gets all rows: rows are cut into buckets, ranges of (value, key), at approximate quantiles of the values and, within a
-    value that many rows share, of the keys; rows are numbered within theirs, and the sizes of the buckets before are added.
+    No task gets all rows: they are dealt to ranges of (by, value, key), as many as there are shuffle partitions or ``buckets``, numbered within
+    theirs, and the counted sizes of the ranges before are added. Nulls stand first.
     """
     by = by or []
-    bucket = _bucket(_cuts(df, value, key, max(1, buckets)), F.col(value).cast("double"), _key_number(df, key))
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_size").over(Window.partitionBy(*by))
-    sizes = sizes.select(*by, "_bucket", before.alias("_before"), total.alias("n"))
-    own = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(value, key)) - 1
-    # the sizes have a row per bucket: bounded, so broadcast
-    return keyed.join(F.broadcast(sizes) if not by else sizes, [*by, "_bucket"]).withColumn(out, F.col("_before") + own).drop("_bucket", "_before")
-
-
-def value_positions(df: DataFrame, value: str, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    placed = _ranged(df, list(dict.fromkeys([*by, value, key])), buckets)
+    ranked = _with_offsets(placed, by, F.count("*"))
+    return ranked.withColumn(out, F.col("_before") + F.col("_r") - F.col("_first")).select(*df.columns, "n", out)
+
+
+def value_positions(df: DataFrame, value: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """(by, value, before, times, n): of each distinct value, how many rows are smaller, how many have it, and how many there are.
 
     Equal values are summed before they are shuffled, so ties cost nothing; null values are left out."""
     by = by or []
     each = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
-    cuts = [(v, math.inf) for v, _ in _cuts(each.withColumn("_k", F.lit(0)), value, "_k", buckets)]
-    keyed = each.withColumn("_bucket", _bucket(sorted(set(cuts)), F.col(value).cast("double"), F.lit(0.0)))
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.sum("times").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*by, "_bucket", before.alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("n"))
-    own = F.sum("times").over(Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
-    joined = keyed.join(F.broadcast(sizes) if not by else sizes, [*by, "_bucket"])
-    return joined.withColumn("before", F.col("_before") + own).select(*by, value, "before", "times", "n")
+    placed = _with_offsets(_ranged(each, [*by, value], buckets), by, F.sum("times"))
+    own = F.sum("times").over(Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
+    return placed.withColumn("before", F.col("_before") + own).select(*by, value, "before", "times", "n")
+
+
+#: Values that are sampled to choose cuts, cuts, and values that may be brought to the driver.
+SAMPLE, CUTS, FETCHED = 20_000, 2_048, 50_000
+
+
+def order_statistics(values: DataFrame, places: list[int]) -> dict[int, float]:
+    """The values at ``places`` (from 0) in ascending order of the one double column of ``values``, which holds no nulls.
+
+    Cuts from a sample part the values; the values of each part are counted, and only the parts that hold a place are looked at
+    again, until they are few. The sample decides how much work it is, not what comes out.
+    """
+    values = staged(values.toDF("_v"))
+    found: dict[int, float] = {}
+    wanted, kept, size = {p: p for p in places}, lambda v: np.ones(len(v), bool), values.count()  # place: place among the values kept
+    for _ in range(100):
+        if not wanted:
+            return found
+        drawn = [x for t in values.sample(min(1.0, SAMPLE / max(1, size)), 42).mapInArrow(_kept_values(kept), "_v double").limit(4 * SAMPLE).toLocalIterator() for x in t]
+        drawn = np.sort(np.array(drawn))
+        some = drawn[np.linspace(0, len(drawn) - 1, CUTS).astype(int)] if len(drawn) else np.zeros(0)
+        cuts, times = np.unique(some, return_counts=True)
+        # what is drawn several times gets a part of its own
+        cuts = np.unique(np.concatenate([cuts, np.nextafter(cuts[times > 1], np.inf)]))
+        counts = np.zeros(len(cuts) + 1, np.int64)
+        for r in values.mapInArrow(_part_counts(kept, cuts), "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():  # a row for each part
+            counts[r["part"]] = r["n"]
+        ends = np.cumsum(counts)
+        part = {p: int(np.searchsorted(ends, at, "right")) for p, at in wanted.items()}
+        for p, i in part.items():
+            if i and (cuts[i - 1] == np.inf or (i < len(cuts) and np.nextafter(cuts[i - 1], np.inf) == cuts[i])):
+                found[p] = float(cuts[i - 1])
+        left = sorted({i for p, i in part.items() if p not in found})
+        before = dict(zip(left, np.concatenate([[0], np.cumsum(counts[left])[:-1]]).tolist() if left else [], strict=True))
+        wanted = {p: wanted[p] - int(ends[part[p]] - counts[part[p]]) + before[part[p]] for p in wanted if p not in found}
+        kept, size = _in_parts(kept, cuts, left), int(counts[left].sum())
+        if wanted and size <= FETCHED:
+            rest = sorted(r[0] for r in values.mapInArrow(_kept_values(kept), "_v double").collect())
+            return found | {p: rest[at] for p, at in wanted.items()}
+    raise ArithmeticError("the parts don't get smaller")
+
+
+def _in_parts(kept, cuts: np.ndarray, parts: list[int]):
+    inside = np.zeros(len(cuts) + 1, bool)
+    inside[parts] = True
+    return lambda v: kept(v) & inside[np.searchsorted(cuts, v, "right")]
+
+
+def _kept_values(kept):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(v[kept(v)])], names=["_v"])
+
+    return run
+
+
+def _part_counts(kept, cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cuts) + 1, np.int64)
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            total += np.bincount(np.searchsorted(cuts, v[kept(v)], "right"), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["part", "n"])
+
+    return run
 
 
 def rank_normalised(df: DataFrame, value: str, key: str, out: str = "rank_norm") -> DataFrame:

@@ -81,10 +81,8 @@ def all_zeros(spark, sf):
     + f"SELECT round(rate, 2) AS rate, round({_F1}, 6) AS macro_f1 FROM c",
 )
 def sweep_ppr(spark, sf):
-    p = pairs(spark, sf).select("s3", "label")
-    t = metrics.rate_threshold(p, "s3", [r / 100 for r in range(20, 46)])
-    c = metrics.confusion(p.join(F.broadcast(t)), F.col("label"), (F.col("s3") >= F.col("threshold")).cast("int"), by=["rate"])  # 26 rates
-    return c.select(F.round("rate", 2).alias("rate"), F.round(metrics.macro_f1(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")), 6).alias("macro_f1"))
+    c = metrics.sweep_rates(pairs(spark, sf).select("s3", "label"), "s3", F.col("label"), [r / 100 for r in range(20, 46)])
+    return c.select(F.round("rate", 2).alias("rate"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
 _WEIGHTS = "w AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, (10 - a - b) / 10.0::DOUBLE AS c FROM range(0, 11) x(a), range(0, 11) y(b) WHERE a + b <= 10)"
@@ -101,11 +99,10 @@ _WEIGHTS = "w AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, (10 - a -
     + f"SELECT a, b, c, round({_F1}, 6) AS macro_f1 FROM g",
 )
 def weight_grid(spark, sf):
-    p = pairs(spark, sf).select("label", "s1", "s2", "s3").withColumn("w", F.explode(metrics.weight_grid()))
-    score = F.round(F.col("w.a") * F.col("s1") + F.col("w.b") * F.col("s2") + F.col("w.c") * F.col("s3"), 9)
-    p = p.select("label", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.c").alias("c"), (score >= 0.45).cast("int").alias("prediction"))
-    c = metrics.confusion(p, F.col("label"), F.col("prediction"), by=["a", "b", "c"])
-    return c.select("a", "b", "c", F.round(metrics.macro_f1(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")), 6).alias("macro_f1"))
+    weights = metrics.weight_triples()
+    c = metrics.swept(metrics.contingency(pairs(spark, sf), ["s1", "s2", "s3"], F.col("label"), [0.45], weights, 9), [0.45], weights)
+    named = [F.get(F.array(*[F.lit(w[i]) for w in weights]), F.col("w")).alias(n) for i, n in enumerate("abc")]
+    return c.select(*named, F.round("macro_f1", 6).alias("macro_f1"))
 
 
 @query("judge_exam", with_(PAIRS_SQL) + "SELECT round(avg(CASE WHEN label = 1 THEN CAST(s1 >= 0.5 AS INTEGER) END), 9) AS recall, round(avg(CASE WHEN label = 0 THEN CAST(s1 >= 0.5 AS INTEGER) END), 9) AS fpr, count(*) AS n FROM pairs")
@@ -156,6 +153,10 @@ _C8_F1 = "(CASE WHEN 2.0 * tp + fp + fn > 0 THEN 2.0 * tp / (2.0 * tp + fp + fn)
 _C8_COUNTS = "count(*) FILTER (label = 1 AND s >= t) AS tp, count(*) FILTER (label = 0 AND s >= t) AS fp, count(*) FILTER (label = 1 AND s < t) AS fn, count(*) FILTER (label = 0 AND s < t) AS tn"
 
 
+# the same over distinct scores with their numbers
+_SUMMED = ", ".join("coalesce(" + x.rsplit(" AS ", 1)[0].replace("count(*)", "sum(n)") + ", 0) AS " + x.rsplit(" AS ", 1)[1] for x in _C8_COUNTS.split(", "))
+
+
 @query(
     "weight_threshold_grid",
     with_(
@@ -204,10 +205,11 @@ def carried_rate(spark, sf):
         PAIRS_SQL,
         "m AS (SELECT id, term_id % 3 AS part, 's1' AS model, s1 AS s, label FROM pairs UNION ALL SELECT id, term_id % 3, 's2', s2, label FROM pairs UNION ALL SELECT id, term_id % 3, 's3', s3, label FROM pairs)",
         "g AS (SELECT g / 200.0::DOUBLE AS t FROM range(10, 190) r(g))",
-        f"f AS (SELECT part, model, t, {_C8_F1} AS f FROM (SELECT part, model, t, {_C8_COUNTS} FROM m, g WHERE part < 2 GROUP BY ALL))",
+        "d AS (SELECT part, model, s, label, count(*) AS n FROM m WHERE part < 2 GROUP BY ALL)",
+        f"f AS (SELECT part, model, t, {_C8_F1} AS f FROM (SELECT part, model, t, {_SUMMED} FROM d, g GROUP BY ALL))",
         "a AS (SELECT model, t FROM f WHERE part = 0 QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(f, 12) DESC, t) = 1)",
         "chosen AS (SELECT f.model FROM f JOIN a ON a.model = f.model AND a.t = f.t AND part = 1 ORDER BY round(f.f, 12) DESC, f.model LIMIT 1)",
-        f"whole AS (SELECT model, t, {_C8_F1} AS f FROM (SELECT model, t, {_C8_COUNTS} FROM m JOIN chosen USING (model), g WHERE part < 2 GROUP BY ALL) ORDER BY round(f, 12) DESC, t LIMIT 1)",
+        f"whole AS (SELECT model, t, {_C8_F1} AS f FROM (SELECT model, t, {_SUMMED} FROM d JOIN chosen USING (model), g GROUP BY ALL) ORDER BY round(f, 12) DESC, t LIMIT 1)",
     )
     + "SELECT m.id, m.model, w.t, CAST(m.s >= w.t AS INTEGER) AS prediction FROM m JOIN whole w USING (model) WHERE part = 2",
 )

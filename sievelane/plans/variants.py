@@ -102,10 +102,8 @@ def top_fractions(spark, sf):
 )
 def best_rate(spark, sf):
     """The target rate whose quantile gives the highest macro-F1; of equal ones the smallest."""
-    p = pairs(spark, sf).select("s3", "label")
-    t = metrics.rate_threshold(p, "s3", [r / 100 for r in range(20, 46)])
-    counted = metrics.confusion(p.join(F.broadcast(t)), F.col("label"), (F.col("s3") >= F.col("threshold")).cast("int"), by=["rate", "threshold"])  # 26 rates
-    f1 = counted.select(F.round("rate", 2).alias("rate"), F.round("threshold", 9).alias("threshold"), metrics.macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]).alias("macro_f1"))
+    swept = metrics.sweep_rates(pairs(spark, sf).select("s3", "label"), "s3", F.col("label"), [r / 100 for r in range(20, 46)])
+    f1 = swept.select(F.round("rate", 2).alias("rate"), F.round("threshold", 9).alias("threshold"), "macro_f1")
     return f1.orderBy(F.desc(F.round("macro_f1", 12)), "rate").limit(1).withColumn("macro_f1", F.round("macro_f1", 9))
 
 

@@ -18,10 +18,6 @@ def test_ranks_and_buckets_of_tied_values(spark):
         got = {r.id: r.rank for r in windows.global_rank(df, "x", key, buckets=16).collect()}
         want = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[at])))}
         assert got == want
-        cuts = windows._cuts(df, "x", key, 16)
-        sizes = [r["count"] for r in df.groupBy(windows._bucket(cuts, F.col("x"), windows._key_number(df, key))).count().collect()]
-        if key == "id":
-            assert max(sizes) < 600  # 1,800 rows hold 0.0
 
 
 @pytest.mark.parametrize("values", [[0.5] * 40, [0.0] * 30 + [1.0] * 11, None])
@@ -58,16 +54,15 @@ def test_negatives_fill_every_quota_they_can(spark):
             assert len(mine) == min(need, free) and all(cat[i][1] not in closed for i in mine)
 
 
-def test_tables_are_replaced_rebuilt_and_kept(spark, tmp_path):
+def test_tables_are_rebuilt_and_kept(spark, tmp_path):
     path = str(tmp_path / "t")
+    table = writers.Versions(spark, path)
     writers.replace_table(spark.range(5), path)
-    writers.replace_table(spark.read.parquet(path).filter("id > 1"), path)  # reads what it replaces
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
-    old = writers.replace_table(spark.range(1), path, keep=True)
-    assert spark.read.parquet(old).count() == 3
+    writers.replace_table(table.read().filter("id > 1"), path)  # reads what it replaces
+    assert sorted(r.id for r in table.read().collect()) == [2, 3, 4] and table.read(1).count() == 5
     double = lambda df: df.select((F.col("id") * 2 + 1).alias("id"))
     for _ in range(2):
-        assert [r.id for r in writers.rebuild(spark, path, double).collect()] == [1]
+        assert sorted(r.id for r in writers.rebuild(spark, path, double).collect()) == [1, 3, 5, 7, 9]
     calls = []
     build = lambda: calls.append(1) or spark.range(4)
     for reuse in (True, True, False):
