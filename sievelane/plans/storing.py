@@ -5,32 +5,15 @@ Files go to a fresh path in the folder of ``spark.checkpoint.dir``, which driver
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import learn
 from ..schemas import D, I, L, S, _of
-from ..sources import readers, writers
+from ..sources import npy, readers, writers
+from ..sources.shared import fresh as _fresh
 from .adapters import PAIRS_SQL, TERMS_SQL, pairs, query, table, terms, with_
 
 
-def _fresh(spark: SparkSession) -> str:
-    """A path that nothing else uses; only a local session without a shared folder gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="sievelane-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/files-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 @query("submission_csv", with_(PAIRS_SQL) + "SELECT id, CAST(s3 >= 0.5 AS INTEGER) AS prediction FROM pairs")
 def submission_csv(spark, sf):
     """A submission, written as CSV and read with its schema."""
@@ -92,23 +75,23 @@ def append_resume(spark, sf):
     writers.append_new(rows.filter("term_id % 3 < 2").select("id", "label"), path)
     for _ in range(2):
         writers.append_new(rows.filter("term_id % 3 > 0").select("id", "label"), path)
-    return spark.read.parquet(path)
+    return writers.Versions(spark, path).read()
 
 
 @query("replaced_table", with_(PAIRS_SQL) + "SELECT id, label + 1 AS label FROM pairs")
 def replaced_table(spark, sf):
     """A table replaced by a change of itself."""
-    path = _fresh(spark)
-    writers.write_table(pairs(spark, sf).select("id", "label"), path)
-    writers.replace_table(spark.read.parquet(path).withColumn("label", F.col("label") + 1), path)
-    return spark.read.parquet(path)
+    table_ = writers.Versions(spark, _fresh(spark))
+    table_.replace(pairs(spark, sf).select("id", "label"))
+    table_.replace(table_.read().withColumn("label", F.col("label") + 1))
+    return table_.read()
 
 
 @query("rebuilt_table", with_(PAIRS_SQL) + "SELECT id, label + 1 AS label FROM pairs")
 def rebuilt_table(spark, sf):
     """A table changed twice from its backup: the change is there once."""
     path = _fresh(spark)
-    writers.write_table(pairs(spark, sf).select("id", "label"), path)
+    writers.replace_table(pairs(spark, sf).select("id", "label"), path)
     for _ in range(2):
         out = writers.rebuild(spark, path, lambda df: df.withColumn("label", F.col("label") + 1))
     return out
@@ -129,6 +112,16 @@ def vectors_table(spark, sf):
     return readers.read_vectors(spark, path, "vec_id").select("id", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
+@query("vectors_npy", "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[-1] AS DOUBLE), 6) AS last FROM embeddings")
+def vectors_npy(spark, sf):
+    """Vectors through .npy files, in ranges of some hundred rows, ids beside them."""
+    path = _fresh(spark)
+    npy.write_vectors_npy(table(spark, sf, "embeddings"), path, "vec_id")
+    e = npy.read_vectors_npy(spark, path)
+    at = lambda i: F.round(F.element_at("embedding", i).cast("double"), 6)
+    return e.select("id", F.size("embedding").alias("dims"), at(1).alias("first"), at(-1).alias("last"))
+
+
 @query("feature_store", with_(PAIRS_SQL) + "SELECT id, round(s1, 5) AS s1, CAST(label AS TINYINT) AS label, CAST(term_id % 5 AS INTEGER) AS fold FROM pairs WHERE term_id % 5 <> 4")
 def feature_store(spark, sf):
     """Features with narrow types, a folder per fold; the training folds are read, the held-out folder isn't opened."""

@@ -11,7 +11,7 @@ from ..sources.writers import append_new
 
 def label_stream(spark: SparkSession, landing: str, schema: T.StructType, out: str, checkpoint: str, label, key: str = "id", files_per_trigger: int = 100) -> StreamingQuery:
     """Label every file that lands, once: ``label`` maps a batch to rows with ``key``; keys already in ``out`` are left out,
-    so a batch that is replayed after a failure appends nothing twice. Ends when all present files are done."""
+    so a batch that is replayed after a failure appends nothing twice. ``out`` holds a table of ``writers.Versions``. Ends when all present files are done."""
 
     def batch(df: DataFrame, _: int) -> None:
         append_new(label(df).dropDuplicates([key]), out, key)

@@ -134,7 +134,7 @@ def test_append_resumes(spark, tmp_path):
     assert writers.append_new(df.filter("id < 6"), path) == 6
     assert writers.append_new(df, path) == 4
     assert writers.append_new(df, path) == 0
-    assert spark.read.parquet(path).count() == 10
+    assert writers.Versions(spark, path).read().count() == 10
 
 
 def test_submission_and_shards(spark, tmp_path):
@@ -154,4 +154,4 @@ def test_stream_labels_every_file_once(spark, tmp_path):
     label = lambda df: df.withColumn("label", (F.col("id") % 2).cast("int"))
     for _ in range(2):
         label_stream(spark, landing, schema, out, checkpoint, label, files_per_trigger=1).awaitTermination(120)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(15))
+    assert sorted(r.id for r in writers.Versions(spark, out).read().collect()) == list(range(15))
