@@ -24,6 +24,11 @@ CORRECTIONS = {
     "nayk": "nike", "addidas": "adidas", "adida": "adidas", "lcw": "lc waikiki", "lcwaikiki": "lc waikiki", "lcv": "lc waikiki",
     "lcvaykiki": "lc waikiki", "defakto": "defacto", "humel": "hummel", "skeçers": "skechers", "skeçer": "skechers",
 }
+# the words that noise leaves alone
+AUGMENT_BRANDS = [
+    "nike", "adidas", "puma", "mavi", "defacto", "koton", "lcw", "lc", "waikiki", "zara", "bershka", "colins", "converse", "vans",
+    "reebok", "hummel", "skechers", "polo", "us", "levis", "loft", "network", "kigili", "damat",
+]
 ABBREVIATIONS = {"kg": "kilogram", "gr": "gram", "cm": "santimetre", "no": "numara", "yş": "yaş", "krş": "kuruş", "tl": "lira"}
 CASE_SUFFIXES = ["dan", "den", "tan", "ten", "da", "de", "ta", "te", "ya", "ye"]
 PLURAL_SUFFIXES = ["ler", "lar"]
@@ -98,7 +103,7 @@ def stem(word: Column) -> Column:
 
 def normalise(c: Column, stemming: bool = True) -> Column:
     """Lower case, abbreviations, punctuation, then correction and stem of every word."""
-    fix: Callable[[Column], Column] = (lambda w: stem(correct_brand(w))) if stemming else correct_brand
+    fix: Callable[[Column], Column] = (lambda w: stem(correct_brand(w))) if stemming else (lambda w: correct_brand(w))  # transform gives a number, too, to what takes two arguments
     return F.array_join(F.transform(words(clean_punctuation(expand_abbreviations(turkish_lower(c)))), fix), " ")
 
 
@@ -234,7 +239,7 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
 
 
-def perturb_query(query: Column, key: Column, seed: int = 42, brands: list[str] = BRANDS) -> Column:
+def perturb_query(query: Column, key: Column, seed: int = 42, brands: list[str] = AUGMENT_BRANDS) -> Column:
     """A query with a word dropped, a typo, or both, chosen by a hash of ``key``; null if it has fewer than two words or didn't change.
 
     With probability 0.45 a word goes (of three or more), up to 0.9 one word gets a typo, else both. A typo takes the first
@@ -250,7 +255,7 @@ def perturb_query(query: Column, key: Column, seed: int = 42, brands: list[str]
 
     def typo(ws: Column) -> Column:
         start = F.floor(draw("word") * F.greatest(F.size(ws), F.lit(1))).cast("int")
-        fit = F.filter(F.transform(ws, lambda x, i: F.struct(F.pmod(i - start, F.greatest(F.size(ws), F.lit(1))).alias("o"), i.alias("i"), x.alias("x"))), lambda s: (F.length(s["x"]) >= 4) & ~s["x"].isin(brands))
+        fit = F.filter(F.transform(ws, lambda x, i: F.struct(F.pmod(i - start, F.greatest(F.size(ws), F.lit(1))).alias("o"), i.alias("i"), x.alias("x"))), lambda s: (F.length(s["x"]) >= 4) & ~F.lower(s["x"]).isin(brands))
         chosen = F.array_min(fit)
         at = (F.floor(draw("letter") * (F.length(chosen["x"]) - 1)) + 1).cast("int")
         x, kind = chosen["x"], draw("typo")

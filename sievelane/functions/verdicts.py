@@ -36,11 +36,12 @@ def numbered_verdict(reply: Column, n: Column | int, default: int | None = None)
     return _or(F.nullif(F.regexp_extract(F.coalesce(F.get(hits, F.lit(0)), F.lit("")), r"^\s*\d+\s*[.):\-]\s*([01])", 1), F.lit("")).cast("int"), default)
 
 
-def batch_verdicts(reply: Column, size: int, default: int | None = None) -> Column:
+def batch_verdicts(reply: Column, size: Column | int, default: int | None = None) -> Column:
     """``size`` verdicts of one reply: lines of a bare 0 or 1 if there are just so many, else numbered lines."""
+    n = F.lit(size) if isinstance(size, int) else size
     bare = F.filter(F.transform(F.split(text(reply), "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[01]$"))
-    numbered = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda n: numbered_verdict(reply, n, default))
-    return F.when(F.size(bare) == size, F.transform(bare, lambda x: x.cast("int"))).otherwise(numbered)
+    numbered = F.transform(F.sequence(F.lit(1), n), lambda i: numbered_verdict(reply, i, default))
+    return F.when(F.size(bare) == n, F.transform(bare, lambda x: x.cast("int"))).otherwise(numbered)
 
 
 def numbered_text(line: Column, original: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import hash_number
+
 
 def by_precedence(labels: DataFrame, key: list[str], priority: str = "priority", first_wins: bool = False) -> DataFrame:
     """One label per key: that of the highest priority (the lowest, if ``first_wins``); partial aggregation, no sort."""
@@ -54,6 +57,13 @@ def disagreement(label: Column, scores: list[Column]) -> Column:
     return F.abs(label.cast("double") - mean_of(scores))
 
 
+def disputed_tier(df: DataFrame, label: Column, scores: list[Column], base: Column, cap: int, key: str = "id", low: float = 0.30, high: float = 0.50) -> DataFrame:
+    """(key, dispute): the ``cap`` rows in the uncertain band of ``base`` whose label the mean of ``scores`` disputes by ``low`` up to below ``high``,
+    strongest first, of equal ones by key."""
+    rows = df.filter(in_band(base, 0.03, 0.97) & label.isNotNull()).select(key, F.round(disagreement(label, scores), 9).alias("dispute"))
+    return rows.filter((F.col("dispute") >= low) & (F.col("dispute") < high)).orderBy(F.desc("dispute"), key).limit(cap)
+
+
 def hybrid_decision(score: Column, band_label: Column, threshold: float, low: float, high: float) -> Column:
     """Above the band 1, below it 0; within it the label, or else the threshold."""
     base = (score >= threshold).cast("int")
@@ -87,3 +97,16 @@ def merge_synthetic(terms: DataFrame, synthetic: DataFrame, prefix: str = "SYN_"
     """Original and synthetic terms, the latter under prefixed keys."""
     copies = synthetic.select(F.concat(F.lit(prefix), F.col("term_id").cast("string")).alias("term_id"), "query")
     return terms.select(F.col("term_id").cast("string").alias("term_id"), "query").unionByName(copies)
+
+
+def augmented(pairs: DataFrame, terms: DataFrame, noisy: Callable[[Column, Column], Column], train: Column, share: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(pairs, terms) with copies of ``share`` of the training terms: a term that ``noisy`` (query, term) changes comes again under SYN_ and its id, and so
+    does each of its ``train`` rows, labels included. Held-out rows are never copied."""
+    own = pairs.filter(train).select("term_id").distinct()
+    drawn = own.filter(hash_number(F.col("term_id"), F.lit(seed), F.lit("augment")) < F.lit(int(share * 2**32)))
+    made = terms.join(drawn, "term_id", "left_semi").select("term_id", noisy(F.col("query"), F.col("term_id")).alias("query")).filter("query IS NOT NULL")
+    name = F.concat(F.lit("SYN_"), F.col("term_id").cast("string")).alias("term_id")
+    copies = pairs.filter(train).join(made.select("term_id"), "term_id", "left_semi")
+    text = lambda df: df.withColumn("term_id", F.col("term_id").cast("string"))
+    both = text(pairs).unionByName(copies.select(*[name if c == "term_id" else c for c in pairs.columns]))
+    return both, text(terms.select("term_id", "query")).unionByName(made.select(name, "query"))

@@ -7,13 +7,16 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import stacker_lexical
+from ..sources.shared import staged
+from .metrics import weighted_threshold
 from .windows import global_rank
 
 
@@ -21,6 +24,10 @@ def trees(seed: int = 42, **more) -> GBTClassifier:
     return GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **({"maxIter": 20, "maxDepth": 4} | more))
 
 
+def forest(seed: int = 42, **more) -> RandomForestClassifier:
+    return RandomForestClassifier(labelCol="label", featuresCol="features", seed=seed, **({"numTrees": 20, "maxDepth": 6} | more))
+
+
 def logistic(**more) -> LogisticRegression:
     return LogisticRegression(labelCol="label", featuresCol="features", **({"maxIter": 50, "regParam": 0.0} | more))
 
@@ -66,17 +73,45 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def stacker_features(df: DataFrame, scores: list[str], by: str = "term_id") -> tuple[DataFrame, list[str]]:
+def stacker_features(df: DataFrame, scores: list[str], by: str = "term_id", query: Column | None = None, title: Column | None = None) -> tuple[DataFrame, list[str]]:
     """``df`` with each score's percent rank and z-score among the rows of its term, and how far the scores agree; (frame, names of
-    all features)."""
+    all features). With texts also the tokens that ``query`` and ``title`` share, their Jaccard index, and how many each has."""
     from .windows import group_size, percent_rank_averaged, zscore
 
     new = {f"{s}_pct": percent_rank_averaged(s, by) for s in scores} | {f"{s}_z": F.coalesce(zscore(s, by), F.lit(0.0)) for s in scores}
     both = F.array(*scores)
     new |= {"candidates": group_size(by).cast("double"), "spread": F.array_max(both) - F.array_min(both), "mean": sum((F.col(s) for s in scores), F.lit(0.0)) / len(scores)}
+    if query is not None and title is not None:
+        shared = stacker_lexical(query, title)
+        new |= {n: c.cast("double") for n, c in zip(("shared", "token_jaccard", "query_tokens", "title_tokens"), shared, strict=True)}
     return df.withColumns(new), [*scores, *new]
 
 
+def validated_rounds(df: DataFrame, features: list[str], valid: Column, most: int = 60, tolerance: float = 0.001, **more) -> int:
+    """How many trees boosting takes until the rows of ``valid`` gain no more by another; ``most`` at the most."""
+    rows = df.filter(F.col("label").isNotNull()).withColumn("_valid", valid)
+    model = pipeline(features, trees(maxIter=most, validationIndicatorCol="_valid", validationTol=tolerance, **more)).fit(rows)
+    return len(model.stages[-1].trees)
+
+
+def refit_folds(df: DataFrame, features: list[str], folds: int = 5, most: int = 60, **more) -> tuple[dict[int, list[PipelineModel]], dict[int, int]]:
+    """(models by fold, rounds by fold): each fold's number of trees comes from stopping early on its own rows; the models that infer are
+    then fitted to the other folds again, with so many trees and without stopping."""
+    labelled = df.filter(F.col("label").isNotNull())
+    rounds = {f: validated_rounds(labelled, features, F.col("fold") == f, most, **more) for f in range(folds)}
+    return {f: [pipeline(features, trees(maxIter=n, **more)).fit(labelled.filter(F.col("fold") != f))] for f, n in rounds.items()}, rounds
+
+
+def three_learners(df: DataFrame, features: list[str], folds: int = 5, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold scores of boosted trees, a random forest and a logistic model, the best weights of the three and their threshold)."""
+    makers = {"boosted": lambda: [trees(maxIter=10)], "forest": lambda: [forest()], "linear": lambda: [logistic(maxIter=20)]}
+    rows = df.select(key, "fold", "label", *features)
+    for name, make in makers.items():
+        rows = out_of_fold(rows, fit_folds(rows, features, make, folds), name)
+    scores = staged(rows.select(key, "label", *makers))
+    return scores, weighted_threshold(scores, list(makers), F.col("label"))
+
+
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray().tolist()
     return sorted(zip(features, values, strict=True), key=lambda x: (-x[1], x[0]))

@@ -1,10 +1,11 @@
-"""TF-IDF and dense retrieval: vocabularies, weights, exact top-k joins, expansion of queries.
+"""TF-IDF and dense retrieval: vocabularies, weights, top-k by an inverted index or by cells, expansion of queries.
 
-Top-k, sparse or dense, meets blocks of both sides in NumPy; cosines of given pairs are joins on pair and token.
+Blocks of queries and items meet in NumPy; cosines of given pairs are joins on pair and token.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import counted_broadcast, staged
+from .sampling import sample_rows
+from .windows import global_rank
+
 #: Rows of a block where two sides meet.
 BLOCK = 1024
 #: Scores and postings that a sparse tile holds at once.
@@ -37,15 +42,88 @@ def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
 
 
-def sparse_top_k(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int, skip: int = 0, digits: int = 9) -> DataFrame:
+#: Items of a block of the inverted index, how many blocks a query opens first, and queries that meet a block in one task.
+INDEX_BLOCK, FIRST_BLOCKS, BLOCK_QUERIES = 256, 3, 4096
+#: Sums of bounds may be off by this much.
+SLACK = 1e-9
+
+
+class SparseIndex:
+    """An inverted index in impact order, over blocks of items with like words.
+
+    ``postings``: (block, d, token, w). ``bounds``: (token, block, top, pos): the largest weight of a token in a block, and the place of the block among the token's, from 1 for the largest. ``tokens``: (token, peak): the
+    largest of all. Items are put in the order of their heaviest tokens and cut into blocks of ``size``, so most tokens stand in few blocks. All three are tables.
+    """
+
+    def __init__(self, docs: DataFrame, d: str, size: int = INDEX_BLOCK):
+        rows = docs.select(F.col(d).cast("bigint").alias("d"), "token", "w")
+        heavy = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "token"))), 1, 4)
+        signed = rows.groupBy("d").agg(F.array_join(F.transform(heavy, lambda x: x["token"]), " ").alias("_sign"))
+        placed = global_rank(signed, "_sign", "d", "_r").select("d", F.floor(F.col("_r") / size).alias("block"))
+        self.postings = staged(rows.join(placed, "d").select("block", "d", "token", "w"))
+        best = self.postings.groupBy("token", "block").agg(F.max("w").alias("top"))
+        pos = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("top"), "block"))
+        self.bounds = staged(best.withColumn("pos", pos))
+        self.tokens = self.bounds.filter("pos = 1").select("token", F.col("top").alias("peak"))
+        self.items = self.postings.groupBy("block", F.col("d").alias("id")).agg(F.collect_list(F.struct("token", "w")).alias("_x")).select("block", "id", F.col("_x.token").alias("t"), F.col("_x.w").alias("w"))
+
+    def blocks(self) -> int:
+        return self.postings.select("block").distinct().count()
+
+    def open(self, pairs: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+        """(query_id, item_id, score): the k best items of its block for each of the ``pairs`` (q, block).
+
+        A block that many queries open is copied to one task for each BLOCK_QUERIES of them.
+        """
+        packed = queries.groupBy("q").agg(F.collect_list(F.struct("token", "w")).alias("_x")).select(F.col("q").alias("id"), F.col("_x.token").alias("t"), F.col("_x.w").alias("w"))
+        asked = pairs.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_n"))
+        left = pairs.join(asked, "block").withColumn("_s", F.pmod(F.xxhash64("q"), F.col("_n")).cast("int")).join(packed, F.col("q") == F.col("id")).select("block", "_s", "id", "t", "w")
+        right = self.items.join(asked, "block").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("block", "_s", "id", "t", "w")
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            return _sparse_tile(a, b, k, digits) if a.num_rows and b.num_rows else _no_scores()
+
+        return left.groupBy("block", "_s").cogroup(right.groupBy("block", "_s")).applyInArrow(run, _SCORES)
+
+    def search(self, queries: DataFrame, q: str, k: int, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+        """((query_id, item_id, score) with at least each query's k best items, the pairs (q, block) that were opened).
+
+        A query first opens the blocks that its tokens' impacts make most likely; the k-th score found there is its bar. A token weighs at most its weight times its peak,
+        and tokens whose peaks together stay below the bar can't lift a block over it: only the blocks of the other tokens are looked up, and only those whose own bounds
+        reach the bar are opened. What isn't opened can't hold a better item.
+        """
+        rows = queries.select(F.col(q).cast("bigint").alias("q"), "token", "w").join(self.tokens, "token")
+        asked = staged(rows.select("q", "token", "w", (F.col("w") * F.col("peak")).alias("gain")))
+        near = asked.join(self.bounds.filter(F.col("pos") <= FIRST_BLOCKS), "token").groupBy("q", "block").agg(F.sum(F.col("w") * F.col("top")).alias("s"))
+        first = staged(near.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "block"))).filter(F.col("_n") <= FIRST_BLOCKS).select("q", "block"))
+        found = staged(self.open(first, asked, k, digits))
+        best = found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).filter(F.col("_n") == k)
+        bar = best.select(F.col("query_id").alias("q"), F.col("score").alias("bar"))
+        risen = F.sum("gain").over(Window.partitionBy("q").orderBy("gain", "token"))
+        told = asked.join(bar, "q", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0))).withColumn("_sum", risen)
+        low = F.col("_sum") < F.col("bar") - SLACK
+        rest = F.coalesce(F.max(F.when(low, F.col("_sum"))).over(Window.partitionBy("q")), F.lit(0.0))
+        strong = told.withColumn("rest", rest).filter(~low)
+        bound = strong.join(self.bounds, "token").groupBy("q", "block", "bar", "rest").agg(F.sum(F.col("w") * F.col("top")).alias("s"))
+        more = bound.filter(F.col("s") + F.col("rest") >= F.col("bar") - SLACK).select("q", "block").join(first, ["q", "block"], "left_anti")
+        more = staged(more)
+        return found.unionByName(self.open(more, asked, k, digits)), first.unionByName(more)
+
+
+_SCORES = "query_id long, item_id long, score double"
+
+
+def _no_scores() -> pa.Table:
+    return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def sparse_top_k(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int, skip: int = 0, digits: int = 9, size: int = INDEX_BLOCK) -> DataFrame:
     """(q, d, score, rank): ranks skip + 1 .. skip + k by the products of unit vectors, among the pairs that share a token.
 
-    ``queries`` and ``docs``: (q, token, w) and (d, token, w), weights above 0, keys whole numbers. A token that most queries and docs have would make
-    a join on tokens emit nearly all pairs; so both sides are dealt to blocks, and a task gives only the best of its block for each
-    query. Scores that agree to ``digits`` tie, and ties go to the smaller key.
+    ``queries`` and ``docs``: (q, token, w) and (d, token, w), weights above 0, keys whole numbers. Exact, by a ``SparseIndex`` of ``docs``. Scores that agree to ``digits`` tie, and ties go
+    to the smaller key.
     """
-    packed = lambda df, key: df.groupBy(F.col(key).cast("bigint").alias("id")).agg(F.collect_list(F.struct("token", "w")).alias("_x")).select("id", F.col("_x.token").alias("t"), F.col("_x.w").alias("w"))
-    part = _tiles(packed(queries, q), packed(docs, d), lambda a, b: _sparse_tile(a, b, skip + k, digits))
+    part, _ = SparseIndex(docs, d, size).search(queries, q, skip + k, digits)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     ranked = part.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > skip) & (F.col("rank") <= skip + k))
     return ranked.select(F.col("query_id").alias(q), F.col("item_id").alias(d), "score", "rank")
@@ -116,33 +194,123 @@ def _tiles(queries: DataFrame, items: DataFrame, best: Callable[[pa.Table, pa.Ta
     right = items.withColumn("ib", dealt(ni)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return best(a, b)
+        return best(a, b) if a.num_rows and b.num_rows else _no_scores()
 
-    return left.repartition(nq * ni, "qb", "ib").groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, "query_id long, item_id long, score double")
+    return left.repartition(nq * ni, "qb", "ib").groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, _SCORES)
+
+
+def _dense_tile(a: pa.Table, b: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k best of the vectors ``b`` for each of ``a``."""
+    matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    qi, ii = a["id"].to_numpy(), b["id"].to_numpy()
+    s = np.round(matrix(a) @ matrix(b).T, digits) + 0.0
+    order = np.lexsort((np.broadcast_to(ii, s.shape), -s), axis=1)[:, :k]
+    rows = np.repeat(np.arange(len(qi)), order.shape[1])
+    return pa.table({"query_id": qi[rows], "item_id": ii[order.ravel()], "score": s[rows, order.ravel()]})
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _ranked(part: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK, digits: int = 6) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of the highest dot product for each query.
 
-    ``queries`` and ``items``: (id, embedding), ids whole numbers, all of one length, no nulls. Both sides are dealt to
-    blocks; a task holds one block of each and gives k rows per query, which a last ranking merges. Scores are
+    ``queries`` and ``items``: (id, embedding), ids whole numbers, all of one length, no nulls. All pairs of blocks of both sides are compared, so
+    this is exact and its work is their product; ``CellIndex`` is the other way. A task holds one block of each side and gives k rows per query, which a last ranking merges. Scores are
     rounded to ``digits`` before they are compared; ties go to the smaller id.
     """
-    vectors = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return _ranked(_tiles(_vectors(queries), _vectors(items), lambda a, b: _dense_tile(a, b, k, digits), block), k)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        qi, ii = a["id"].to_numpy(), b["id"].to_numpy()
-        s = np.round(matrix(a) @ matrix(b).T, digits) + 0.0
-        order = np.lexsort((np.broadcast_to(ii, s.shape), -s), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        return pa.table({"query_id": qi[rows], "item_id": ii[order.ravel()], "score": s[rows, order.ravel()]})
-
-    part = _tiles(vectors(queries), vectors(items), run, block)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+#: Vectors that the cells are fitted to, at most, and the most cells: both are what the driver and each task hold.
+FIT_VECTORS, MOST_CELLS = 16_384, 4_096
+#: Vectors of a cell, queries or items, that meet in one task.
+CELL_ROWS = 2_048
+
+
+class CellIndex:
+    """Cells of near vectors, each about a centre, for approximate search by dot product.
+
+    The centres are fitted by a few rounds of k-means to at most FIT_VECTORS vectors, those of the smallest hashes of their ids; every vector is then put into the cell of its nearest centre,
+    so each item is in the index once. ``cells``: how many, the square root of the number of items by default, at most MOST_CELLS.
+    """
+
+    def __init__(self, items: DataFrame, cells: int | None = None, rounds: int = 8, seed: int = 42):
+        rows = _vectors(items)
+        n = rows.count()
+        self.cells = max(1, min(MOST_CELLS, n, cells or math.isqrt(n)))
+        drawn = sample_rows(rows, min(n, FIT_VECTORS), "id", seed).orderBy("id").toPandas()  # bounded by FIT_VECTORS
+        self.centres = _centres(np.array(drawn["v"].tolist()), self.cells, rounds, seed) if n else np.zeros((1, 1))
+        self.items = staged(self._probed(rows, 1))
+
+    def _probed(self, rows: DataFrame, probes: int) -> DataFrame:
+        """(id, v, cell): a row for each of the ``probes`` cells whose centres are nearest."""
+        centres, half = self.centres, (self.centres**2).sum(1) / 2
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    far = half - part.column(1).flatten().to_numpy().reshape(part.num_rows, -1) @ centres.T
+                    near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                    row = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
+                    nth = np.tile(np.arange(near.shape[1], dtype=np.int32), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(near.ravel().astype(np.int32)), pa.array(nth)], names=["id", "v", "cell", "nth"])
+
+        return rows.mapInArrow(run, "id long, v array<double>, cell int, nth int")
+
+    def probes(self, queries: DataFrame, k: int, target: float = 0.95, sample: int = 256, seed: int = 42) -> int:
+        """How many cells to probe, so that ``target`` of the k best items of ``sample`` queries lie in them; the sample is compared with all items."""
+        rows = sample_rows(queries, sample, "id", seed)
+        best = dense_top_k(rows, self.items.select("id", F.col("v").alias("embedding")), k).select("query_id", F.col("item_id").alias("id"))
+        order = self._probed(_vectors(rows), self.cells).select(F.col("id").alias("query_id"), "cell", "nth")
+        at = best.join(self.items.select("id", "cell"), "id").join(order, ["query_id", "cell"]).groupBy("nth").agg(F.count("*").alias("n"))
+        counts = {r["nth"]: r["n"] for r in at.collect()}  # a row for each cell
+        total, seen = sum(counts.values()), 0
+        for nth in sorted(counts):
+            seen += counts[nth]
+            if seen >= target * total:
+                return nth + 1
+        return self.cells
+
+    def search(self, queries: DataFrame, k: int, probes: int, digits: int = 6) -> DataFrame:
+        """As ``dense_top_k``, among the items of the ``probes`` nearest cells; their scores are exact. A cell that many queries probe, or that holds many items, is cut
+        into parts of CELL_ROWS of either, and its pairs of parts are tasks of their own."""
+        asked = staged(self._probed(_vectors(queries), min(probes, self.cells)))
+        parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+        counts = counted_broadcast(parts(asked, "_nq").join(parts(self.items, "_ni"), "cell"))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.join(counts, "cell").withColumn("_q", own("_nq")).withColumn("_i", every("_ni")).select("cell", "_q", "_i", "id", "v")
+        right = self.items.join(counts, "cell").withColumn("_i", own("_ni")).withColumn("_q", every("_nq")).select("cell", "_q", "_i", "id", "v")
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            return _dense_tile(a, b, k, digits) if a.num_rows and b.num_rows else _no_scores()
+
+        return _ranked(left.groupBy("cell", "_q", "_i").cogroup(right.groupBy("cell", "_q", "_i")).applyInArrow(run, _SCORES), k)
+
+
+def _centres(vectors: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
+    """k-means by Lloyd's rounds from ``cells`` of the vectors; a cell without vectors keeps its centre."""
+    centres = vectors[np.random.default_rng(seed).permutation(len(vectors))[:cells]]
+    for _ in range(rounds):
+        near = np.concatenate([np.argmin((centres**2).sum(1) / 2 - vectors[lo : lo + 1024] @ centres.T, axis=1) for lo in range(0, len(vectors), 1024)])
+        sums, many = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(sums, near, vectors)
+        centres = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centres)
+    return centres
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact (query_id, item_id) rows that were found."""
+    whole = exact.select("query_id", "item_id")
+    return whole.join(found.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi").count() / max(1, whole.count())
 
 
 def drop_false_negatives(ranked: DataFrame, positives: DataFrame, q: str, d: str, share: float = 0.95) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import learn, retrieval, sampling, windows
+from ..operators.joins import flag_members
+from ..operators.labels import augmented
 from .adapters import PAIRS_SQL, POSITIVES_SQL, items, pairs, positives, query, table, terms, with_
 
 VOCABULARY = 30_000
@@ -86,6 +88,14 @@ def emb_topk(spark, sf):
     return _emb(spark, sf, 15).select("query_id", "item_id", "rank", "score")
 
 
+@query("emb_topk_cells")
+def emb_topk_cells(spark, sf):
+    """The same by a cell index, with as many probes as a sample of queries needs for nineteen of twenty. Approximate, so there is no SQL; tests measure its recall."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = retrieval.CellIndex(e)
+    return index.search(e, 15, index.probes(e, 15)).select("query_id", "item_id", "rank", "score")
+
+
 @query(
     "emb_fn_filter",
     with_(
@@ -149,6 +159,18 @@ def sample_rows(spark, sf):
     return sampling.sample_rows(pairs(spark, sf).select("id"), 1000, "id")
 
 
+@query("subsample", with_(PAIRS_SQL) + f"SELECT id FROM pairs ORDER BY {_HASH.format("id || '|42'")}, id LIMIT (SELECT CAST(floor(0.6::DOUBLE * count(*)) AS BIGINT) FROM pairs)")
+def subsample(spark, sf):
+    """Six tenths of the pairs, in the order in which they stand."""
+    return sampling.keep_share(pairs(spark, sf).select("id"), 0.6, "id")
+
+
+@query("shuffle_order", with_(PAIRS_SQL) + f"SELECT id, row_number() OVER (ORDER BY {_HASH.format("id || '|42'")}, id) - 1 AS place FROM pairs")
+def shuffle_order(spark, sf):
+    """The place of each pair in the shuffled order."""
+    return sampling.shuffled_places(pairs(spark, sf).select("id"), "id")
+
+
 @query("sample_per_term", with_(PAIRS_SQL) + "SELECT id FROM pairs QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY " + _HASH.format("term_id || '|' || id || '|42'") + ", id) <= 2")
 def sample_per_term(spark, sf):
     return sampling.sample_per_group(pairs(spark, sf).select("id", "term_id"), ["term_id"], "id", 2).select("id")
@@ -308,6 +330,29 @@ def neg_remined(spark, sf):
     return sampling.remined_negatives(near.withColumn("p", F.round((F.col("score") + 1) / 2, 6)), pos, pool, "p", 0.0, 0.7)
 
 
+@query("neg_remined_model")
+def neg_remined_model(spark, sf):
+    """Of the 200 nearest, six that a fitted model scores below 0.2 and one random item for each positive. Learned, so there is no SQL."""
+    near, pos, pool = _near(spark, sf)
+    near = near.filter("rank <= 200").join(pos.withColumn("_p", F.lit(1.0)), ["term_id", "item_id"], "left").select("term_id", "item_id", F.col("score").alias("cosine"), F.log("rank").alias("depth"), F.coalesce("_p", F.lit(0.0)).alias("label"))
+    model = learn.pipeline(["cosine", "depth"], learn.logistic(maxIter=20)).fit(near)
+    return sampling.remined_negatives(learn.predict(model, near, "p"), pos, pool, "p", below=0.2)
+
+
+@query(
+    "hard_validation_retrieved",
+    "WITH " + _TFIDF + ", " + _QUERIES + ", " + PAIRS_SQL + ", " + _PART_SCORES
+    + """, known AS (SELECT term_id, item_id FROM pairs WHERE label = 1 AND term_id % 5 = 4),
+near AS (SELECT term_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY score DESC, item_id) AS rank FROM s WHERE term_id IN (SELECT term_id FROM known)) WHERE rank <= 20)
+SELECT term_id, item_id, CAST((term_id, item_id) IN (SELECT term_id, item_id FROM known) AS INTEGER) AS label FROM (SELECT * FROM near UNION SELECT * FROM known)""",
+)
+def hard_validation_retrieved(spark, sf):
+    """Held-out terms with the 20 items that retrieval finds for each, and their known positives, as a test set would have them."""
+    known = positives(spark, sf).filter("term_id % 5 = 4").distinct()
+    near = lexical_candidates(spark, sf, 20).join(known.select("term_id").distinct(), "term_id", "left_semi")
+    return flag_members(near.select("term_id", "item_id"), known, ["term_id", "item_id"]).select("term_id", "item_id", F.col("label").cast("int").alias("label"))
+
+
 _EXAM_HASH = _HASH.format("term_id || '|' || item_id || '|42'")
 
 
@@ -343,6 +388,14 @@ def augmented_terms(spark, sf):
     return merge_synthetic(t, noisy)
 
 
+@query("augmented_pairs")
+def augmented_pairs(spark, sf):
+    """The pairs with copies of the training rows of perturbed terms. No SQL: several hashed draws per query."""
+    p = pairs(spark, sf).select("term_id", "item_id", "label", sampling.hash_fold(F.col("term_id")).alias("fold"))
+    both, _ = augmented(p, terms(spark, sf), lambda q, k: X.perturb_query(X.normalise_basic(q), k), F.col("fold") != 4)
+    return both
+
+
 def _learning_rows(spark, sf):
     p = pairs(spark, sf).withColumns({"fold": sampling.hash_fold(F.col("term_id")), "half": sampling.hash_half(F.col("term_id"))})
     return p.select("id", "term_id", "s1", "s2", "s3", "fold", "half", F.col("label").cast("double").alias("label"))
@@ -364,15 +417,32 @@ def stack_trees_oof(spark, sf):
 
 @query("stack_features")
 def stack_features(spark, sf):
-    """A stacker of boosted trees on scores, their ranks and z-scores in the term and their spread: half of the terms out of fold, the others, as
+    """A stacker of boosted trees on scores, their ranks and z-scores in the term, their spread and the words that query and title share: half of the terms out of fold, the others, as
     new rows, by the models of all folds."""
-    rows, features = learn.stacker_features(_learning_rows(spark, sf), ["s1", "s2", "s3"])
+    texts = items(spark, sf).select("item_id", "title")
+    rows = _learning_rows(spark, sf).withColumn("item_id", F.col("id") % 10_000_000).join(terms(spark, sf), "term_id").join(texts, "item_id")
+    rows, features = learn.stacker_features(rows, ["s1", "s2", "s3"], query=F.col("query"), title=F.col("title"))
     known, new = rows.filter("half = 0"), rows.filter("half = 1")
     models = learn.fit_folds(known, features, lambda: [learn.trees(maxIter=5)])
     scored = learn.out_of_fold(known, models, "score").unionByName(learn.fold_ensemble(new, models))
     return scored.select("id", "half", F.round("score", 6).alias("score"), "label")
 
 
+@query("stack_validated")
+def stack_validated(spark, sf):
+    """Boosted trees whose number comes from early stopping on each fold, fitted again without stopping: out-of-fold scores and each fold's number of trees. Learned, so there is no SQL."""
+    rows = _learning_rows(spark, sf)
+    models, rounds = learn.refit_folds(rows, ["s1", "s2", "s3"], most=20)
+    trees = F.get(F.array(*[F.lit(rounds[f]) for f in range(5)]), F.col("fold"))
+    return learn.out_of_fold(rows, models).select("id", "fold", trees.alias("trees"), F.round("oof", 6).alias("oof"), "label")
+
+
+@query("stack_three")
+def stack_three(spark, sf):
+    """The best of 66 weights of three learners' out-of-fold scores, and its threshold. Learned, so there is no SQL."""
+    return learn.three_learners(_learning_rows(spark, sf), ["s1", "s2", "s3"])[1]
+
+
 @query("hashed_embeddings")
 def hashed_embeddings(spark, sf):
     """The stand-in encoder over item titles."""

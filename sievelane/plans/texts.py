@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import verdicts as V
 from ..functions.vectors import softmax1
+from ..operators.normalise import normalise_texts
 from ..sources import readers
 from .adapters import ITEMS_SQL, PAIRS_SQL, TERMS_SQL, items, pairs, query, table, terms, with_
 
@@ -62,10 +63,7 @@ def _normalise_sql(c: str) -> str:
 
 @query("normalize_full", with_(TERMS_SQL) + f"SELECT term_id, {_normalise_sql('query')} AS qn FROM terms")
 def normalize_full(spark, sf):
-    # queries repeat: each distinct text is normalised once
-    t = terms(spark, sf)
-    fixed = t.select("query").distinct().withColumn("qn", X.normalise(F.col("query")))
-    return t.join(fixed, "query").select("term_id", "qn")
+    return normalise_texts(terms(spark, sf), "query", "qn").select("term_id", "qn")
 
 
 _SETS = f"s AS (SELECT *, list_distinct({_words(_basic('query'))}) AS q, list_distinct({_words(_basic('title'))}) AS t, {_basic('query')} AS qn, {_basic('title')} AS tn FROM j)"
