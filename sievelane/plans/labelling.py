@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators import gates, joins, labels, sampling
+from ..operators import gates, joins, judge, labels, sampling
+from ..operators.windows import global_rank
+from ..sources.shared import fresh
 from .adapters import ITEMS_SQL, PAIRS_SQL, TERMS_SQL, items, pairs, query, table, terms, with_
 
 
@@ -116,6 +119,75 @@ def disputed_tier(spark, sf):
     return _disputes(spark, sf).filter("dispute >= 0.30 AND dispute < 0.50")
 
 
+_TIER = "SELECT id, round({0}, 9) AS dispute FROM pairs WHERE {1} BETWEEN 0.03 AND 0.97 AND round({0}, 9) >= 0.30 AND round({0}, 9) < 0.50 ORDER BY dispute DESC, id LIMIT 2000"
+
+
+@query("disputed_tier_top", with_(PAIRS_SQL) + _TIER.format("abs(label - (s1 + s2 + s3) / 3.0::DOUBLE)", "s3"))
+def disputed_tier_top(spark, sf):
+    """The first 2,000 of the tier, strongest first, within the uncertain band of one model."""
+    return labels.disputed_tier(pairs(spark, sf), F.col("label"), [F.col("s1"), F.col("s2"), F.col("s3")], F.col("s3"), 2000)
+
+
+@query("disputed_tier_pair", with_(PAIRS_SQL) + _TIER.format("abs(label - (s1 + s2) / 2.0::DOUBLE)", "s1"))
+def disputed_tier_pair(spark, sf):
+    """The same with two models and another base."""
+    return labels.disputed_tier(pairs(spark, sf), F.col("label"), [F.col("s1"), F.col("s2")], F.col("s1"), 2000)
+
+
+_HEAD = "Answer 1 if the title has an even number of letters, else 0.\n"
+_EXAMPLES = [("ab", 1), ("abc", 0)]
+
+
+def _moody(prompt: str, attempt: int) -> str:
+    """A stand-in for a service: it is busy, refuses, leaves a line out or answers in bare lines, by the length of the first title."""
+    titles = [line.split(". ", 1)[1] for line in prompt.split("\n")[1 + len(_EXAMPLES) :]]
+    first = len(titles[0])
+    if first % 5 == 0 and attempt < 2:
+        raise judge.Transient("busy")
+    if first % 7 == 0:
+        raise judge.Permanent("refused")
+    out = [str(1 - len(t) % 2) for t in titles]
+    if first % 3 == 0:
+        return "\n".join(out)
+    lines = [f"{i}. {v}" for i, v in enumerate(out, 1)]
+    return "\n".join(lines[:-1] if first % 11 == 1 else lines)
+
+
+@query(
+    "judged_rows",
+    """WITH r AS (SELECT p_partkey AS item_id, length(p_name) AS size, (row_number() OVER (ORDER BY p_partkey) - 1) // 15 AS call FROM part),
+c AS (SELECT *, first_value(size) OVER w AS first, row_number() OVER w AS n, count(*) OVER (PARTITION BY call) AS m FROM r WINDOW w AS (PARTITION BY call ORDER BY item_id)),
+a AS (SELECT item_id, CASE WHEN first % 5 = 0 THEN 3 ELSE 1 END AS attempts, CASE WHEN first % 7 = 0 THEN 'permanent: refused' WHEN first % 3 <> 0 AND first % 11 = 1 AND n = m THEN 'no verdict in the reply' END AS error, 1 - size % 2 AS v FROM c)
+SELECT item_id, CASE WHEN error IS NULL THEN CAST(v AS INTEGER) END AS verdict, CAST(attempts AS INTEGER) AS attempts, error FROM a""",
+)
+def judged_rows(spark, sf):
+    """Every title judged in calls of fifteen by a service that fails now and then: verdicts, and dead letters with their errors."""
+    titles = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_name")
+    done, dead = judge.judge(titles, "item_id", F.col("p_name"), _moody, fresh(spark), 15, _HEAD, _EXAMPLES, base=0.0)
+    given = done.select(F.col("key").alias("item_id"), "verdict", "attempts", F.lit(None).cast("string").alias("error"))
+    return given.unionByName(dead.select(F.col("key").alias("item_id"), F.lit(None).cast("int").alias("verdict"), "attempts", "error"))
+
+
+@query(
+    "judge_file_gate",
+    with_(PAIRS_SQL, "r AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 400 AS shard, (row_number() OVER (ORDER BY id) - 1) % 400 AS position FROM pairs)", "k AS (SELECT shard, count(*) AS n, shard % 4 AS kind FROM r GROUP BY shard)")
+    + """SELECT CAST(shard AS INTEGER) AS shard, kind <> 1 AS has_header, CASE WHEN kind = 3 AND n > 1 THEN n - 1 ELSE n END AS lines, CASE WHEN kind = 2 THEN n - n % 2 WHEN kind = 3 AND n > 1 THEN 1 ELSE 0 END AS wrong_ids,
+  CAST(CASE WHEN kind = 2 AND n > 1 THEN 0 WHEN kind = 3 AND n > 1 THEN n - 1 END AS INTEGER) AS first_wrong, CASE WHEN kind = 0 THEN 1 ELSE 0 END AS bad_labels FROM k""",
+)
+def judge_file_gate(spark, sf):
+    """Answer files of 400 lines: one in four each with a label that is none, without a header, with neighbours swapped, or without its last line."""
+    path = fresh(spark)
+    r = global_rank(pairs(spark, sf).select("id", "label"), "id", "id", "_r").select("id", "label", F.floor(F.col("_r") / 400).cast("int").alias("shard"), (F.col("_r") % 400).cast("int").alias("position"))
+    n, kind = F.count("*").over(Window.partitionBy("shard")), F.col("shard") % 4
+    other = F.col("position").bitwiseXOR(F.lit(1))
+    rows = r.withColumn("_n", n).withColumn("at", F.when((kind == 2) & (other < F.col("_n")), other).otherwise(F.col("position"))).filter((kind != 3) | (F.col("_n") == 1) | (F.col("position") < F.col("_n") - 1))
+    line = F.concat(F.col("id").cast("string"), F.lit(","), F.when((kind == 0) & (F.col("position") == 0), "maybe").otherwise(F.col("label").cast("string")))
+    text = rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", line.alias("line")))).alias("_l"))  # 400 lines
+    body = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
+    text.select("shard", F.when(kind == 1, body).otherwise(F.concat(F.lit("id,label\n"), body)).alias("value")).write.partitionBy("shard").text(path)
+    return gates.file_gate(spark, path, r)
+
+
 @query(
     "uncertainty_topk",
     with_(PAIRS_SQL) + "SELECT id, round(abs((s1 + s2 + s3) / 3.0::DOUBLE - 0.5), 9) AS uncertainty FROM pairs WHERE item_id % 3 <> 0 ORDER BY uncertainty, id LIMIT 500",
