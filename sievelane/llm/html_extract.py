@@ -62,7 +62,7 @@ CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 ROTATING_SHARE, ROTATING_PAGES = 0.1, 20
 #: Nodes of a wrapper.
 WRAPPER_NODES = 400
-#: Elements nested deeper are taken as part of the one at this depth.
+#: Elements nested deeper are taken as part of the one at this depth, but for those that are dropped or say that they aren't content.
 DEEPEST = 80
 #: Cells of an alignment's table that are held at once.
 TABLE = 1 << 20
@@ -107,6 +107,7 @@ def parse(source: str) -> Node:
     buffer: list[str] = []
     at = links = 0
     skip: list[str] = []  # open inline elements that are dropped
+    deep: set[Node] = set()  # elements at DEEPEST with others below
 
     def flush() -> None:
         nonlocal links
@@ -179,9 +180,16 @@ def parse(source: str) -> Node:
             stack.pop()
         key, drop, told, header = _traits(tag, m[3] or m[6] or "")
         open_ = not (m[3] or m[6] or "").endswith("/") or tag not in ("svg", "math")
-        if len(stack) > DEEPEST and not drop and not told:
+        if len(stack) > DEEPEST:
+            if tag in ("article", "main", "h1"):
+                for x in reversed(stack):
+                    if not isinstance(x.children, _Aside) or x.children.main:
+                        break
+                    x.children.main = True
             if open_:
-                stack.append(_Inner(tag, stack[-1]))
+                top = stack[-1].top if isinstance(stack[-1], _Inner) else stack[-1]
+                deep.add(top)
+                stack.append(_Inner(tag, stack[-1], top, drop, told))
             continue
         node = Node(tag, key, drop, told)
         if header:
@@ -190,18 +198,47 @@ def parse(source: str) -> Node:
         if open_:
             stack.append(node)
     flush()
+    for node in deep:
+        node.children = list(_spread(node.children))
     _settle(root, False)
     return root
 
 
+class _Aside(list):
+    """What stands in an element below DEEPEST that is dropped or says that it isn't content; ``main``: it holds an article, a main part or
+    a first heading, so it stays unless it is dropped."""
+
+    __slots__ = ("drop", "main")
+
+    def __init__(self, drop: bool):
+        super().__init__()
+        self.drop, self.main = drop, False
+
+
 class _Inner(Node):
-    """An element below DEEPEST: an end tag finds it, its text goes to the one above."""
+    """An element below DEEPEST: an end tag finds it, its text goes to ``top``, the element at that depth, if it isn't put aside."""
 
-    __slots__ = ()
+    __slots__ = ("top",)
 
-    def __init__(self, tag: str, above: Node):
+    def __init__(self, tag: str, above: Node, top: Node, drop: bool, told: bool):
         self.tag, self.key, self.drop, self.told, self.at = tag, tag, False, False, -1
-        self.children, self.links = above.children, 0
+        self.children, self.links, self.top = above.children, 0, top
+        if drop or told:
+            self.children = _Aside(drop)
+            above.children.append(self.children)
+
+
+def _spread(children: list) -> Iterator:
+    """``children`` without what was put aside for good; not by recursion, since it may be nested deep."""
+    todo = [iter(children)]
+    while todo:
+        c = next(todo[-1], None)
+        if c is None:
+            todo.pop()
+        elif not isinstance(c, _Aside):
+            yield c
+        elif c.main and not c.drop:
+            todo.append(iter(c))
 
 
 def _settle(node: Node, inside: bool) -> None:
