@@ -63,7 +63,9 @@ def _normalise_sql(c: str) -> str:
 
 @query("normalize_full", with_(TERMS_SQL) + f"SELECT term_id, {_normalise_sql('query')} AS qn FROM terms")
 def normalize_full(spark, sf):
-    return normalise_texts(terms(spark, sf), "query", "qn").select("term_id", "qn")
+    # queries repeat: each distinct text is normalised once
+    t = terms(spark, sf)
+    return t.join(normalise_texts(t.select("query").distinct(), "query", "qn"), "query").select("term_id", "qn")
 
 
 _SETS = f"s AS (SELECT *, list_distinct({_words(_basic('query'))}) AS q, list_distinct({_words(_basic('title'))}) AS t, {_basic('query')} AS qn, {_basic('title')} AS tn FROM j)"

@@ -11,8 +11,6 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 from sievelane import plans  # noqa: E402
 
-SLOW = {"neg_mixed", "weight_grid"}
-
 
 @pytest.fixture(scope="module")
 def duck(data):
@@ -31,7 +29,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(n for n in plans.ORACLE if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE))
 def test_query_matches_sql(spark, data, duck, name):
     df = entry.queries()[name](spark, data)
     columns = sorted(df.columns)
