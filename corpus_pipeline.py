@@ -7,6 +7,7 @@ of the operators say; extra columns come along.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put all documents in the order in which the sources meet their target weights."""
+    """Put all documents in the order in which the sources meet their target weights: files in the order of their names, and the rows in each,
+    are the mix. ``mixed_place`` reads it back, whatever order the files are scanned in."""
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
@@ -68,10 +70,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.orderBy("slot", "place").select(*[F.col(at[c]).alias(c) for c in columns])  # no input column is called slot or place now
 
 
+MIX = ["mix_file", "mix_row"]
+
+
+def mixed_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_file and mix_row, long: the number of the Parquet file that a row stands in, from its name, and its place in that file; together they
+    order the rows as they were written. Rows that come from no file have nulls. Own columns of these names get ``_in`` behind them."""
+    names = {c.lower() for c in docs.columns}
+    for new in MIX:
+        if new in names:
+            docs = docs.withColumnRenamed(new, f"{new}_in")
+    number = F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS BIGINT)") * 1_000_000 + F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '-c([0-9]+)', 1) AS BIGINT)"), F.lit(0))
+    try:
+        return docs.select("*", number.alias(MIX[0]), F.col("_metadata.row_index").alias(MIX[1]))
+    except AnalysisException:  # not the rows of files
+        return docs.withColumns({c: F.lit(None).cast("bigint") for c in MIX})
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs`` but for the text, with n_pieces, ids and round_trip; own columns of these names come out with
-    ``_in`` behind them."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.PieceModel.load(PIECE_MODEL))
+    """The columns of ``docs`` but for the text, with mix_file and mix_row, its place in the mix, and n_pieces, ids and round_trip; own columns of
+    these names come out with ``_in`` behind them."""
+    return sentencepiece_codec.encode(mixed_place(docs), sentencepiece_codec.PieceModel.load(PIECE_MODEL))
 
 
 STAGES = [
