@@ -105,10 +105,10 @@ def refit_folds(df: DataFrame, features: list[str], folds: int = 5, most: int =
 def three_learners(df: DataFrame, features: list[str], folds: int = 5, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(out-of-fold scores of boosted trees, a random forest and a logistic model, the best weights of the three and their threshold)."""
     makers = {"boosted": lambda: [trees(maxIter=10)], "forest": lambda: [forest()], "linear": lambda: [logistic(maxIter=20)]}
-    rows = df.select(key, "fold", "label", *features)
+    rows = staged(df.select(key, "fold", "label", *features))
     for name, make in makers.items():
-        rows = out_of_fold(rows, fit_folds(rows, features, make, folds), name)
-    scores = staged(rows.select(key, "label", *makers))
+        rows = staged(out_of_fold(rows, fit_folds(rows, features, make, folds), name))  # else each learner's folds would hold those of the one before
+    scores = rows.select(key, "label", *makers)
     return scores, weighted_threshold(scores, list(makers), F.col("label"))
 
 

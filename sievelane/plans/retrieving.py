@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import learn, retrieval, sampling, windows
 from ..operators.joins import flag_members
 from ..operators.labels import augmented
+from ..sources.shared import staged
 from .adapters import PAIRS_SQL, POSITIVES_SQL, items, pairs, positives, query, table, terms, with_
 
 VOCABULARY = 30_000
@@ -431,8 +432,8 @@ def stack_features(spark, sf):
 @query("stack_validated")
 def stack_validated(spark, sf):
     """Boosted trees whose number comes from early stopping on each fold, fitted again without stopping: out-of-fold scores and each fold's number of trees. Learned, so there is no SQL."""
-    rows = _learning_rows(spark, sf)
-    models, rounds = learn.refit_folds(rows, ["s1", "s2", "s3"], most=20)
+    rows = staged(_learning_rows(spark, sf))
+    models, rounds = learn.refit_folds(rows, ["s1", "s2", "s3"], most=8, maxDepth=3)
     trees = F.get(F.array(*[F.lit(rounds[f]) for f in range(5)]), F.col("fold"))
     return learn.out_of_fold(rows, models).select("id", "fold", trees.alias("trees"), F.round("oof", 6).alias("oof"), "label")
 
