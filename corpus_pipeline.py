@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelane.llm import mixing, ngram_join, sentencepiece_codec, substring_dedup, toxicity
-from sievelane.llm.common import bounded, materialise, table
+from sievelane.llm.common import bounded, materialise, small_batches, table
 from sievelane.llm.queries import PIECE_MODEL
 
 #: Stages on word shingles compare shingles of five words at this similarity.
@@ -22,6 +22,7 @@ WINDOW_WORDS = 50
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose text is predicted toxic; learn from ``labels``, but not from its held-out fold."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     # the score's columns are dropped again, so extra columns of docs with their names are renamed meanwhile
@@ -34,6 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the smallest doc_id, and of the rows
     that repeat its id the one with the smallest digest of all columns. Rows without an id or without words stay."""
+    small_batches(spark)
     groups = ngram_join.similar_components(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
     gone = materialise(groups.filter("component_id < doc_id").select("doc_id").distinct())
     repeated = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
@@ -48,6 +50,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Cut passages of 50 words and more that start in a document with a smaller id. Documents without such a passage keep
     their text as it is; others keep their other words, joined by one space, and n_chars follows.
     A document of which nothing is left goes."""
+    small_batches(spark)
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
@@ -90,6 +93,7 @@ def mixed_place(docs: DataFrame) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` but for the text, with mix_file and mix_row, its place in the mix, and n_pieces, ids and round_trip; own columns of
     these names come out with ``_in`` behind them."""
+    small_batches(spark)
     return sentencepiece_codec.encode(mixed_place(docs), sentencepiece_codec.PieceModel.load(PIECE_MODEL))
 
 

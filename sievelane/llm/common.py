@@ -68,6 +68,13 @@ def bounded(side: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(side) if side.count() * row_bytes * 2 <= BROADCAST_BYTES else side
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of 64, if the session sets no limit itself: each task holds a batch several times over, outside the JVM's heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "8m")
+
+
 def trim() -> None:
     """Give freed memory back to the system: idle Python workers stay, and a later stage shares the executor with them."""
     pa.default_memory_pool().release_unused()
