@@ -176,6 +176,21 @@ def test_a_block_that_many_queries_open_is_split(spark, monkeypatch):
     assert one == all_ and one
 
 
+def test_items_of_one_vector_are_indexed_once(spark, monkeypatch):
+    blocks, search = [], retrieval.SparseIndex.search
+    monkeypatch.setattr(retrieval.SparseIndex, "search", lambda self, *a, **b: (blocks.append(self.blocks()), search(self, *a, **b))[1])
+    vectors = [{"a": 0.8, "b": 0.6}, {"a": 0.6, "c": 0.8}, {"a": 0.8, "d": 0.6}]
+    d = spark.createDataFrame([(i, t, w) for i in range(300) for t, w in vectors[i * i % 3 if i < 290 else 2].items()], "d long, token string, w double")
+    q = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0), (3, "c", 0.5), (3, "a", 0.5), (4, "none", 1.0)], "q long, token string, w double")
+    got = sorted((r.q, r["rank"], r.d, r.score) for r in retrieval.sparse_top_k(q, d, "q", "d", 150, skip=3, size=32).collect())
+    of = {i: vectors[i * i % 3 if i < 290 else 2] for i in range(300)}
+    want = []
+    for k, words in {1: {"a": 1.0}, 2: {"b": 1.0}, 3: {"c": 0.5, "a": 0.5}}.items():
+        order = sorted((-round(sum(w * v.get(t, 0.0) for t, w in words.items()), 9), i) for i, v in of.items())
+        want += [(k, n, i, -s) for n, (s, i) in enumerate([x for x in order if x[0] < 0], 1) if 3 < n <= 153]
+    assert got == want and blocks == [1]
+
+
 def clustered(n, dims=16, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(24, dims))
