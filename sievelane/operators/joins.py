@@ -34,8 +34,8 @@ def similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: st
 
 def flag_members(candidates: DataFrame, positives: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates and positives together, each pair once, label 1 for the positives."""
-    both = candidates.select(*keys).unionByName(positives.select(*keys)).distinct()
-    return both.join(positives.select(*keys).distinct().withColumn("_p", F.lit(1)), keys, "left").withColumn("label", F.coalesce("_p", F.lit(0))).drop("_p")
+    both = candidates.select(*keys, F.lit(0).alias("label")).unionByName(positives.select(*keys, F.lit(1).alias("label")))
+    return both.groupBy(*keys).agg(F.max("label").alias("label"))
 
 
 def default_prediction(pairs: DataFrame, predictions: DataFrame, key: str = "id", default: int = 0) -> DataFrame:
