@@ -104,7 +104,7 @@ def augmented(pairs: DataFrame, terms: DataFrame, noisy: Callable[[Column, Colum
     does each of its ``train`` rows, labels included. Held-out rows are never copied."""
     own = pairs.filter(train).select("term_id").distinct()
     drawn = own.filter(hash_number(F.col("term_id"), F.lit(seed), F.lit("augment")) < F.lit(int(share * 2**32)))
-    made = terms.join(drawn, "term_id", "left_semi").select("term_id", noisy(F.col("query"), F.col("term_id")).alias("query")).filter("query IS NOT NULL")
+    made = terms.join(drawn, "term_id", "left_semi").select("term_id", F.explode(F.array_compact(F.array(noisy(F.col("query"), F.col("term_id"))))).alias("query"))
     name = F.concat(F.lit("SYN_"), F.col("term_id").cast("string")).alias("term_id")
     copies = pairs.filter(train).join(made.select("term_id"), "term_id", "left_semi")
     text = lambda df: df.withColumn("term_id", F.col("term_id").cast("string"))
