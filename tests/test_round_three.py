@@ -48,6 +48,25 @@ def test_lists_that_terms_share_are_sampled_as_rows_are(spark, monkeypatch, ahea
     assert got == sorted(map(tuple, want.collect())) and got
 
 
+def test_many_parts_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    name = F.concat(F.lit("red bolt"), (F.col("id") % 2).cast("string"))
+    spark.range(250_000).select(F.col("id").alias("p_partkey"), name.alias("p_name"), F.lit("Brand#1").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400_000).select(F.abs(F.xxhash64("id")).alias("o_orderkey"), F.lit("LOW").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    vocab = spark.createDataFrame([("red", 1.0), ("bolt0", 1.0)], "token string, idf double")
+    weights, reps = retrieving._query_weights(spark, str(tmp_path), vocab)
+    assert "Broadcast" not in weights._jdf.queryExecution().executedPlan().toString()
+    assert reps.count() == 400_000 and sorted(r.token for r in weights.collect()) == ["bolt0", "red", "red"]
+
+
+def test_weights_of_all_items_are_not_broadcast_whatever_their_file_says(spark):
+    counts = spark.createDataFrame([(i, "red", 1) for i in range(20)] + [(0, "blue", 1)], "id long, token string, tf long")
+    vocab = retrieval.vocabulary(counts, 20, 10)
+    assert "strategy=broadcast" in vocab._jdf.queryExecution().analyzed().toString()
+    near = spark.createDataFrame([(1, 0), (1, 4), (2, 5)], "q long, id long")
+    new = retrieval.expansion(near, retrieval.tfidf(counts, vocab, "id"), spark.createDataFrame([(2, "red")], "q long, token string"), "q", "id")
+    assert "strategy=merge" in plan(new) and sorted(map(tuple, new.collect())) == [(1, "blue", 2), (1, "red", 1)]
+
+
 def test_held_out_terms_alone_get_candidates(spark, data):
     some = spark.createDataFrame([(4,), (9,)], "term_id long")
     assert {r.term_id for r in retrieving.lexical_candidates(spark, data, 2, some).select("term_id").collect()} == {4, 9}
